@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .minhash import op7_minhash
 from .sharding import LEAST_BUCKETS, SLOT_ROWS, op4_sharding
 
 
@@ -15,13 +16,16 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_sharding": op4_sharding,
+    "op7_minhash": op7_minhash,
 }
 
 _JUMPED = "(k * 2862933555777941757 + 1) % 18446744073709551616"
 
 ORACLES = {
     "op4_sharding": f"""
-WITH RECURSIVE d AS (
+WITH RECURSIVE tab AS (
+  SELECT list(r ORDER BY i) AS t FROM (SELECT i, list_reduce(range(0, 8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS r FROM range(0, 256) s(i))),
+d AS (
   SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 16 AS size, coalesce(text, '') AS t,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
 it(h, n, b, k, j) AS (
@@ -30,7 +34,8 @@ it(h, n, b, k, j) AS (
   SELECT h, n, j, {_JUMPED}, floor((j + 1) * (2147483648.0::DOUBLE / (({_JUMPED}) // 8589934592 + 1)::DOUBLE))::BIGINT
   FROM it WHERE j < n),
 s AS (SELECT h, max(b) FILTER (WHERE n = 40) AS shard, max(b) FILTER (WHERE n = 41) AS grown_shard FROM it WHERE j >= n GROUP BY h)
-SELECT doc_id, size, 'key' AS law, shard::INTEGER AS shard, grown_shard::INTEGER AS grown_shard,
+SELECT doc_id, size, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(d.t)), '..'), lambda x: ('0x' || x)::BIGINT),
+         lambda c, b: xor(c >> 8, tab.t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32, 'key' AS law, shard::INTEGER AS shard, grown_shard::INTEGER AS grown_shard,
        row_number() OVER (PARTITION BY shard ORDER BY h % greatest({LEAST_BUCKETS}, ((SELECT count(*) FROM d) + {40 * SLOT_ROWS - 1}) // {40 * SLOT_ROWS}), doc_id, size) - 1 AS slot
-FROM d JOIN s USING (h)""",
+FROM d JOIN s USING (h), tab""",
 }
