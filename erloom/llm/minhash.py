@@ -27,7 +27,7 @@ BANDS, ROWS = 30, 5
 #: Members of a bucket that are compared with each other outright; larger buckets go by leader and neighbours.
 SMALL_BUCKET = 8
 #: Members of a bucket that one task orders.
-BUCKET_PART = 1000
+BUCKET_PART = 250
 #: Rank cells below 1 are [0, FIRST), [FIRST, 2 FIRST), ... ; above 1 they have length 1.
 FIRST = 2.0**-3
 _ONE = 1 << 48  # fixed point of ranks

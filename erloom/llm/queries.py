@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .minhash import op7_minhash
+from .packing import op10_packing
 from .sharding import LEAST_BUCKETS, SLOT_ROWS, op4_sharding
 
 
@@ -17,6 +18,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_sharding": op4_sharding,
     "op7_minhash": op7_minhash,
+    "op10_packing": op10_packing,
 }
 
 _JUMPED = "(k * 2862933555777941757 + 1) % 18446744073709551616"
