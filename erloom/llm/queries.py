@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ans import op3_ans
 from .minhash import op7_minhash
 from .packing import op10_packing
 from .sharding import LEAST_BUCKETS, SLOT_ROWS, op4_sharding
@@ -16,6 +17,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_ans": op3_ans,
     "op4_sharding": op4_sharding,
     "op7_minhash": op7_minhash,
     "op10_packing": op10_packing,
