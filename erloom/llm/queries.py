@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .ans import op3_ans
+from .decontam import op8_decontamination
+from .html import op5_html
 from .minhash import op7_minhash
 from .packing import op10_packing
 from .secrets import ACCESS, ASSIGN, HEX, TOKEN, TOKEN_DIGITS, TOKEN_DISTINCT, TOKEN_LETTERS, WIDE_OWNERS, op9_secrets
@@ -20,7 +22,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_ans": op3_ans,
     "op4_sharding": op4_sharding,
+    "op5_html": op5_html,
     "op7_minhash": op7_minhash,
+    "op8_decontamination": op8_decontamination,
     "op9_secrets": op9_secrets,
     "op10_packing": op10_packing,
 }
