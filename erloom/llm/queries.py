@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ans import op3_ans
 from .decontam import op8_decontamination
+from .embedding import op6_embeddings
 from .html import op5_html
 from .minhash import op7_minhash
 from .packing import op10_packing
@@ -23,6 +24,7 @@ QUERIES = {
     "op3_ans": op3_ans,
     "op4_sharding": op4_sharding,
     "op5_html": op5_html,
+    "op6_embeddings": op6_embeddings,
     "op7_minhash": op7_minhash,
     "op8_decontamination": op8_decontamination,
     "op9_secrets": op9_secrets,
