@@ -8,6 +8,7 @@ from .ans import op3_ans
 from .decontam import op8_decontamination
 from .embedding import op6_embeddings
 from .html import op5_html
+from .langid import op1_langid
 from .minhash import op7_minhash
 from .packing import op10_packing
 from .secrets import ACCESS, ASSIGN, HEX, TOKEN, TOKEN_DIGITS, TOKEN_DISTINCT, TOKEN_LETTERS, WIDE_OWNERS, op9_secrets
@@ -21,6 +22,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_langid": op1_langid,
     "op3_ans": op3_ans,
     "op4_sharding": op4_sharding,
     "op5_html": op5_html,
