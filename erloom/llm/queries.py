@@ -11,6 +11,7 @@ from .html import op5_html
 from .langid import op1_langid
 from .minhash import op7_minhash
 from .packing import op10_packing
+from .quality import op2_quality
 from .secrets import ACCESS, ASSIGN, HEX, TOKEN, TOKEN_DIGITS, TOKEN_DISTINCT, TOKEN_LETTERS, WIDE_OWNERS, op9_secrets
 from .sharding import LEAST_BUCKETS, SLOT_ROWS, op4_sharding
 
@@ -23,6 +24,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_langid": op1_langid,
+    "op2_quality": op2_quality,
     "op3_ans": op3_ans,
     "op4_sharding": op4_sharding,
     "op5_html": op5_html,
