@@ -96,63 +96,94 @@ class _Items:
         self.distinct = np.unique(self.seed)
 
 
+def find(items: _Items, texts: pa.Array, threshold: float) -> list[tuple[int, int, float, int, int]]:
+    """(row, item_id, coverage, tiles, longest tile) of every contaminated pair among the texts."""
+    starts, codes, vocabulary = split_words(texts)
+    words = word_hashes(vocabulary)[codes] if len(codes) else np.zeros(0, dtype=np.uint64)
+    keep = words != 0
+    ends = np.concatenate([[0], np.cumsum(keep)])[starts]
+    words = words[keep]
+    hashes = running_hashes(words, MIN_MATCH)
+    hit = np.flatnonzero(np.isin(hashes, items.distinct)) if len(items.distinct) else np.zeros(0, dtype=np.int64)
+    doc = np.searchsorted(ends, hit, side="right") - 1
+    if len(hit):
+        inside = hit + MIN_MATCH <= ends[doc + 1]
+        hit, doc = hit[inside], doc[inside]
+    found: dict[tuple[int, int], set[int]] = {}
+    lo, hi = np.searchsorted(items.seed, hashes[hit], "left"), np.searchsorted(items.seed, hashes[hit], "right")
+    for d, a, b in zip(doc.tolist(), lo.tolist(), hi.tolist(), strict=True):
+        for k in range(a, b):
+            found.setdefault((d, int(items.owner[k])), set()).add(int(items.place[k]))
+    out = []
+    for (d, k), places in found.items():
+        item = items.words[k]
+        under = np.zeros(len(item), dtype=bool)
+        for p in places:
+            under[p : p + MIN_MATCH] = True
+        if under.mean() < threshold:  # tiles cover no more than seeds do
+            continue
+        own = tiles(item, words[ends[d] : ends[d + 1]])
+        share = sum(t[2] for t in own) / len(item)
+        if share >= threshold:
+            out.append((d, items.ids[k], share, len(own), max(t[2] for t in own)))
+    return out
+
+
 def _search(held, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items: _Items = held.value
         for batch in batches:
             for rows, texts in chunks(batch):
-                starts, codes, vocabulary = split_words(texts)
-                words = word_hashes(vocabulary)[codes] if len(codes) else np.zeros(0, dtype=np.uint64)
-                keep = words != 0
-                ends = np.concatenate([[0], np.cumsum(keep)])[starts]
-                words = words[keep]
-                hashes = running_hashes(words, MIN_MATCH)
-                hit = np.flatnonzero(np.isin(hashes, items.distinct)) if len(items.distinct) else np.zeros(0, dtype=np.int64)
-                doc = np.searchsorted(ends, hit, side="right") - 1
-                inside = hit + MIN_MATCH <= ends[doc + 1] if len(hit) else np.zeros(0, dtype=bool)
-                hit, doc = hit[inside], doc[inside]
-                found: dict[tuple[int, int], set[int]] = {}
-                lo, hi = np.searchsorted(items.seed, hashes[hit], "left"), np.searchsorted(items.seed, hashes[hit], "right")
-                for d, a, b in zip(doc.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                    for k in range(a, b):
-                        found.setdefault((d, int(items.owner[k])), set()).add(int(items.place[k]))
-                names, out = rows.column("doc_id").to_pylist(), []
-                for (d, k), places in found.items():
-                    item = items.words[k]
-                    under = np.zeros(len(item), dtype=bool)
-                    for p in places:
-                        under[p : p + MIN_MATCH] = True
-                    if under.mean() < threshold:  # tiles cover no more than seeds do
-                        continue
-                    own = tiles(item, words[ends[d] : ends[d + 1]])
-                    share = sum(t[2] for t in own) / len(item)
-                    if share >= threshold:
-                        out.append((names[d], items.ids[k], share, len(own), max(t[2] for t in own)))
-                cols = list(zip(*out, strict=True)) or [[], [], [], [], []]
+                found = find(held.value, texts, threshold)
+                names = rows.column("doc_id").to_pylist()
+                cols = list(zip(*((names[d], *rest) for d, *rest in found), strict=True)) or [[], [], [], [], []]
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "coverage", "n_tiles", "longest"])
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE) -> DataFrame:
-    """(doc_id, item_id, coverage, n_tiles, longest) of every pair of a document and a test item of which tiles
-    cover `threshold` or more of the words.
+def _clean(held, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, texts in chunks(batch):
+                keep = np.ones(len(texts), dtype=bool)
+                keep[[f[0] for f in find(held.value, texts, threshold)]] = False
+                yield rows.filter(pa.array(keep))
 
-    Items go out in blocks of ITEM_CHARS characters, one pass over the documents for each, so what is broadcast
-    is bounded whatever the size of the benchmark. Null, empty and very short items (under MIN_MATCH words) and
-    null or empty documents match nothing; repeated rows are searched once each; other columns are ignored."""
-    spark = docs.sparkSession
-    prepare(spark)
+    return run
+
+
+def _blocks(benchmark: DataFrame) -> list:
+    """Broadcast test items, ITEM_CHARS characters at a time."""
+    sc = benchmark.sparkSession.sparkContext
     block, size, blocks = [], 0, []
     for item_id, text in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
         block.append((item_id, text))
         size += len(text)
         if size >= ITEM_CHARS:
-            blocks.append(spark.sparkContext.broadcast(_Items(*map(list, zip(*block, strict=True)))))
+            blocks.append(sc.broadcast(_Items(*map(list, zip(*block, strict=True)))))
             block, size = [], 0
-    blocks.append(spark.sparkContext.broadcast(_Items(*map(list, zip(*block, strict=True))) if block else _Items([], [])))
-    passes = [docs.select("doc_id", "text").mapInArrow(_search(b, threshold), "doc_id long, item_id long, coverage double, n_tiles long, longest long") for b in blocks]
+    blocks.append(sc.broadcast(_Items(*map(list, zip(*block, strict=True))) if block else _Items([], [])))
+    return blocks
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE) -> DataFrame:
+    """The rows of docs, all columns, that hold no test item."""
+    prepare(docs.sparkSession)
+    for held in _blocks(benchmark):
+        docs = docs.mapInArrow(_clean(held, threshold), docs.schema)
+    return docs
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE) -> DataFrame:
+    """(doc_id, item_id, coverage, n_tiles, longest) of every pair of a document and a test item of which tiles
+    cover `threshold` or more of the words.
+
+    Items go out in blocks of ITEM_CHARS characters, one pass over the documents for each, so what is broadcast
+    is bounded whatever the size of the benchmark. Null, empty and very short items (under MIN_MATCH words) and
+    null or empty documents match nothing; repeated rows are searched once each; other columns are ignored."""
+    prepare(docs.sparkSession)
+    passes = [docs.select("doc_id", "text").mapInArrow(_search(b, threshold), "doc_id long, item_id long, coverage double, n_tiles long, longest long") for b in _blocks(benchmark)]
     out = passes[0]
     for p in passes[1:]:
         out = out.unionAll(p)

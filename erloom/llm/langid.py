@@ -31,8 +31,8 @@ LEXICON, PURITY, LEAST_SEEN = 3000, 0.9, 3
 EPOCHS, RATE, DECAY = 5, 0.5, 1e-4
 #: Words of a sequence; a longer text is cut into sequences.
 LONGEST = 256
-#: Documents whose language is less sure than this are rejected by a filtering stage.
-SURE = 0.5
+#: A filtering stage rejects documents without letters and those of which no language has this share.
+SURE = 0.4
 
 
 def _letters(word: str) -> str:
@@ -246,6 +246,26 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_predict(held), _SCHEMA)
 
 
+def _keep(held, sure: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model | None = held.value
+        for batch in batches:
+            for rows, texts in chunks(batch):
+                if model is None:
+                    yield rows
+                    continue
+                best, score, _ = model.predict(texts)
+                yield rows.filter(pa.array((best >= 0) & (score >= sure)))
+
+    return run
+
+
+def keep_identified(docs: DataFrame, model: Model | None, sure: float = SURE) -> DataFrame:
+    """The rows of docs, all columns, whose language is identified; all of them if there was nothing to learn from."""
+    prepare(docs.sparkSession)
+    return docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(model), sure), docs.schema)
+
+
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = identify(docs, fit(docs))

@@ -237,6 +237,17 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     return out.select("doc_id", F.coalesce("component", "exact_id").alias("component_id"), "exact_id")
 
 
+def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """The rows of docs, all columns, that are the one of their class: that of the smallest doc_id. Rows with a null
+    doc_id can't be told apart and stay."""
+    classes = near_duplicates(docs.where("doc_id is not null"), threshold)
+    kept = staged(classes.where("doc_id = component_id").select("doc_id"), "kept")
+    out = docs.join(kept.distinct(), "doc_id", "left_semi").select(docs.columns)
+    if kept.groupBy("doc_id").count().where("count > 1").limit(1).count():  # the same row more than once
+        out = out.dropDuplicates(["doc_id"])
+    return out.unionAll(docs.where("doc_id is null"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document: its class, and whether it is the one of its class that stays."""
     out = near_duplicates(table(spark, sf_dir, "documents"))

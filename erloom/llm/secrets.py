@@ -52,7 +52,7 @@ def _token_like(v: Column) -> Column:
 
 
 def scan(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
-    """(doc_id, text_hash, base, extra, n_live, n_copied) for each distinct (doc_id, text) of docs.
+    """(doc_id, text_hash, base, extra, n_live, n_copied) for each row of docs.
 
     base has all spans of the first three kinds; extra the owner-specific generic tokens that touch none of
     them; n_live and n_copied count the spans of both by the ownership of their values. A null text counts as
@@ -93,6 +93,16 @@ def masked(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(F.array_sort(spans), start, add, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))).otherwise(text)
 
 
+def mask_secrets(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
+    """The rows of docs, all columns, with their spans masked: those of the first three kinds, and generic tokens that
+    stay with few owners. Other texts aren't changed and no row goes."""
+    found = scan(docs, repository, owner).select("doc_id", "text_hash", F.concat("base", "extra").alias("_spans")).where(F.size("_spans") > 0).distinct()
+    found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_spans")
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash")), "left")
+    text = masked(F.col("text"), F.coalesce("_spans", F.array().cast(_SPAN)))
+    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in all documents; a source is an owner, its part in one language a repository."""
     found = scan(table(spark, sf_dir, "documents"), F.concat_ws("/", "source", "lang"), F.col("source"))
