@@ -1,4 +1,39 @@
-"""Every query of the entity-resolution engine with its DuckDB counterpart."""
+"""Every query of the entity-resolution engine with its DuckDB counterpart.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES maps a name to (spark, sf_dir) -> DataFrame; ORACLES to the same relation in DuckDB's SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from erloom.operators import blocking
+from erloom.sources.fixtures import registry
+
+from .dialect import Duck, Spark
+
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
+
+
+def dual(build: Callable[[Spark], str]) -> Callable[[Spark], str]:
+    """Register a query that both engines run from one text."""
+    name = build.__name__
+    QUERIES[name] = lambda spark, sf_dir: spark.sql(build(Spark(sf_dir)))
+    ORACLES[name] = build(Duck())
+    return build
+
+
+def with_(d: Spark, *ctes: str) -> str:
+    return "WITH " + ",\n".join(ctes) + "\n"
+
+
+def scored(d: Spark) -> str:
+    """Pairs with a probability from key arithmetic, so that decision rules need no trained model."""
+    return f"{blocking.blocked(d, registry(d))},\nscored AS (SELECT rid, s1, score, rk, cast(((rid * 7919 + s1 * 104729) % 1000) as double) / 1000 AS p FROM cand)"
+
+
+def _load() -> None:
+    from . import catalog, decisions, linkage, rescue  # noqa: F401
+
+
+_load()
