@@ -230,7 +230,7 @@ def null_safe_compare(d):
 
 @dual
 def like_predicates(d):
-    return with_(d, registry(d)) + "SELECT eid FROM q WHERE name_full LIKE '%llc' AND name_core ILIKE '%B%' AND NOT starts_with(name_core, 'r') AND contains(address, ' st ')"
+    return with_(d, registry(d)) + f"SELECT eid FROM q WHERE name_full LIKE '%llc' AND name_core ILIKE '%B%' AND NOT {"startswith" if d.name == "spark" else "starts_with"}(name_core, 'r') AND contains(address, ' st ')"
 
 
 @dual
