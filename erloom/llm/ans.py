@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import chunks, prepare, scratch_dir, table
+from .common import chunks, prepare, scratch_dir, staged, table
 from .tokens import default_tokenizer, encoder
 
 END_ID = 0
@@ -33,8 +33,8 @@ LOW = 1 << 31
 LANES, STEPS = 64, 128
 #: A block ends with the document that reaches this many ids.
 BLOCK_TOKENS = 1 << 18
-#: Bytes of text for each output part, about.
-PART_BYTES = 24_000_000
+#: Ids of each output part, about.
+PART_TOKENS = 8_000_000
 
 
 def scale(counts: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -106,24 +106,37 @@ class Coder:
 _SCHEMA = "part int, block int, docs array<long>, sizes array<long>, tokens long, header binary, payload binary, crc long"
 
 
-def _count(path: str):
+def _tokens(path: str):
+    """doc_id, text -> doc_id and its ids, the end id included, as bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        sums = np.zeros(coder.size, dtype=np.int64)
         for batch in batches:
-            for _, texts in chunks(batch, limit=12_000_000):
-                ids = coder.encode(texts)[1]
-                sums += np.bincount(ids, minlength=coder.size)
-                sums[END_ID] += len(texts)
+            for rows, texts in chunks(batch, limit=12_000_000):
+                starts, ids = coder.encode(texts)
+                full = np.full(len(ids) + len(texts), END_ID, dtype=ids.dtype)
+                full[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), np.diff(starts))] = ids
+                ends = (starts + np.arange(len(starts))) * ids.itemsize
+                held = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(full)])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), held], ["doc_id", "ids"])
+
+    return run
+
+
+def _count(size: int, kind: np.dtype):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(size, dtype=np.int64)
+        for batch in batches:
+            sums += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype=kind), minlength=size)
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sums[some])], ["id", "n"])
 
     return run
 
 
-def _blocks(path: str, freq):
+def _blocks(kind: np.dtype, freq):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, code, part = encoder(path), Coder(freq.value), TaskContext.get().partitionId()
+        code, part = Coder(freq.value), TaskContext.get().partitionId()
         docs, sizes, held, block = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -132,24 +145,17 @@ def _blocks(path: str, freq):
             kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["part", "block", "docs", "sizes", "tokens", "header", "payload", "crc"])
 
+        tokens = 0
         for batch in batches:
-            for rows, texts in chunks(batch, limit=12_000_000):
-                starts, ids = coder.encode(texts)
-                at = np.arange(len(ids)) + np.repeat(np.arange(len(texts)), np.diff(starts))
-                full = np.full(len(ids) + len(texts), END_ID, dtype=ids.dtype)
-                full[at] = ids
-                ends = starts[1:] + np.arange(1, len(texts) + 1)
-                names, n, a = rows.column("doc_id").to_pylist(), np.diff(np.append(0, ends)), 0
-                while a < len(names):
-                    base = ends[a - 1] if a else 0
-                    b = min(len(names), int(np.searchsorted(ends, base + BLOCK_TOKENS - sum(sizes))) + 1)
-                    docs += names[a:b]
-                    sizes += n[a:b].tolist()
-                    held.append(full[base : ends[b - 1]])
-                    a = b
-                    if sum(sizes) >= BLOCK_TOKENS:
-                        yield flush()
-                        docs, sizes, held, block = [], [], [], block + 1
+            for name, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
+                own = np.frombuffer(ids.as_buffer(), dtype=kind)
+                docs.append(name)
+                sizes.append(len(own))
+                held.append(own)
+                tokens += len(own)
+                if tokens >= BLOCK_TOKENS:
+                    yield flush()
+                    docs, sizes, held, block, tokens = [], [], [], block + 1, 0
         if docs:
             yield flush()
 
@@ -161,16 +167,19 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> np.ndarray:
     doc_id, each document's ids followed by END_ID. Returns the shared frequency table, also kept at path/table."""
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.select("doc_id", "text")
-    counted = docs.mapInArrow(_count(tokenizer), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row for each id
-    counts = np.zeros(encoder(tokenizer).size, dtype=np.int64)
+    coder = encoder(tokenizer)
+    kind = coder.ids.dtype
+    # a document is encoded once; its ids, shorter than its text, are what is counted and put in order
+    tokens = staged(docs.select("doc_id", "text").mapInArrow(_tokens(tokenizer), "doc_id long, ids binary"), "tokens")
+    counted = tokens.select("ids").mapInArrow(_count(coder.size, kind), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row for each id
+    counts = np.zeros(coder.size, dtype=np.int64)
     for i, n in counted:
         counts[i] = n
     freq = scale(counts)
     spark.createDataFrame([(i, int(f)) for i, f in enumerate(freq)], "id int, freq int").coalesce(1).write.parquet(f"{path}/table")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ordered = docs.repartitionByRange(max(1, -(-size // PART_BYTES)), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ordered.mapInArrow(_blocks(tokenizer, spark.sparkContext.broadcast(freq)), _SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
+    parts = max(1, -(-int(counts.sum()) // PART_TOKENS))
+    ordered = tokens.repartitionByRange(parts, "doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", F.xxhash64("ids"))
+    ordered.mapInArrow(_blocks(kind, spark.sparkContext.broadcast(freq)), _SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
     return freq
 
 
