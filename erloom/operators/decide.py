@@ -76,3 +76,40 @@ def name_class(query: str, entity: str) -> str:
 @F.pandas_udf(T.StringType())
 def name_class_of(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else name_class(x, y) for x, y in zip(a, b, strict=True)])
+
+
+def address_class(query: str, entity: str) -> tuple[str, int | None]:
+    """How a record's address differs, and by how much its only changed number does: missing, s_missing, same, same_ns
+    (but for spaces), numdrop, numadd, numchg1, numchg, typo (all words at 80 or more), street (same numbers) or other."""
+    if not query:
+        return "missing", None
+    if not entity:
+        return "s_missing", None
+    a, b = query.split(), entity.split()
+    if sorted(a) == sorted(b):
+        return "same", None
+    if "".join(a) == "".join(b):
+        return "same_ns", None
+    na, nb = [int(x) for x in a if x.isdigit()], [int(x) for x in b if x.isdigit()]
+    wa, wb = sorted({x for x in a if not x.isdigit()}), sorted({x for x in b if not x.isdigit()})
+    if wa == wb:
+        if set(na) < set(nb):
+            return "numdrop", None
+        if set(nb) < set(na):
+            return "numadd", None
+        apart = [(x, y) for x, y in zip(na, nb, strict=False) if x != y]
+        if len(na) == len(nb) and len(apart) == 1:
+            return "numchg1", apart[0][0] - apart[0][1]
+        return "numchg", None
+    if na == nb:
+        more, less = [x for x in wa if x not in wb], [x for x in wb if x not in wa]
+        if len(more) == len(less) and all(max(ratio(x, y) for y in less) >= 80 for x in more):
+            return "typo", None
+        return "street", None
+    return "other", None
+
+
+@F.pandas_udf(T.StructType([T.StructField("address_class", T.StringType()), T.StructField("delta", T.LongType())]))
+def address_class_of(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    found = [address_class(x or "", y or "") for x, y in zip(a, b, strict=True)]
+    return pd.DataFrame({"address_class": [f[0] for f in found], "delta": pd.array([f[1] for f in found], dtype="Int64")})

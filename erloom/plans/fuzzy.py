@@ -48,6 +48,20 @@ def name_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("rid", "s1", decide.name_class_of("q_name", "s_name").alias("name_class"))
 
 
+def address_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _pairs(spark, sf_dir).select("rid", "s1", decide.address_class_of("q_address", "s_address").alias("a"))
+    return found.select("rid", "s1", "a.address_class", "a.delta")
+
+
+def replacement_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that stand in a record for another word of the entity's name, by country, with how often each comes with
+    no true pair and with one."""
+    d = Spark(sf_dir)
+    swaps = spark.sql(with_(d, scored(d)) + "SELECT c.rid, c.s1, q.country, array_except(q.nt, s.nt) AS added, t.s1 AS owner FROM scored c JOIN qt q ON q.eid = c.rid JOIN st s ON s.eid = c.s1 LEFT JOIN truth t ON t.rid = c.rid WHERE c.rk = 1 AND size(array_except(q.nt, s.nt)) = 1 AND size(array_except(s.nt, q.nt)) >= 1")
+    words = swaps.select("country", F.explode("added").alias("w"), F.col("owner").isNull().alias("decoy"))
+    return words.groupBy("country", "w").agg(F.count_if("decoy").alias("decoy_n"), F.count_if(~F.col("decoy")).alias("true_n")).where("decoy_n >= 2 AND true_n <= 0.002 * decoy_n")
+
+
 def expected_f05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide.expected_f05(QUERIES["best_owner"](spark, sf_dir))
 
@@ -62,12 +76,12 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def staged_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold tree scores, stacked with a second model on fewer features, both folds by record."""
     rows = _labelled(spark, sf_dir).persist()
-    one = models.out_of_fold(rows, _FEATURES, "fold", "p1", rounds=3, depth=3)
+    one = models.out_of_fold(rows, _FEATURES, "fold", "p1", rounds=3, depth=3).persist()
     two = models.out_of_fold(one, ["p1", "score_ratio", "record_margin"], "fold", "p2", rounds=3, depth=2).persist()
     return models.stack(models.fit_stacker(two, ["p1", "p2"]), two, ["p1", "p2"]).select("rid", "s1", "label", "p1", "p2", "ps")
 
 
-QUERIES |= {f.__name__: f for f in (normalize_full, normalize_address_us, sim_jaro_winkler, sim_fuzzy, name_classes, expected_f05, staged_models)}
+QUERIES |= {f.__name__: f for f in (normalize_full, normalize_address_us, sim_jaro_winkler, sim_fuzzy, name_classes, address_classes, replacement_words, expected_f05, staged_models)}
 _D = Duck()
 ORACLES["sim_jaro_winkler"] = with_(_D, scored(_D)) + "SELECT c.rid, c.s1, round(jaro_winkler_similarity(q.name_core, s.name_core), 6) AS jw FROM scored c JOIN q ON q.eid = c.rid JOIN s1 s ON s.eid = c.s1"
 ORACLES["normalize_address_us"] = "SELECT s_suppkey, cast(s_suppkey AS VARCHAR) || ' n main rd austin tx' AS address FROM supplier"

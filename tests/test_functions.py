@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from erloom.functions import similarity as sim
 from erloom.functions import text
-from erloom.operators.decide import best_count, name_class
+from erloom.operators.decide import address_class, best_count, name_class
 
 words = st.text("abc ", max_size=9)
 
@@ -76,3 +76,9 @@ def test_expected_f_by_enumeration():
 
 def test_name_classes():
     assert [name_class(a, b) for a, b in [("a b", "b a"), ("wisedata", "wise data"), ("wd", "wise data"), ("wise datas", "wise data"), ("x y", "a b"), ("a b c", "a b"), ("a", "a b"), ("a x", "a bbbb"), ("", "a")]] == ["eq", "spaceless", "acr", "typo", "disjoint", "add", "rm", "swap1", "empty"]
+
+
+def test_address_classes():
+    cases = [("", "1 a st", "missing", None), ("1 a st", "", "s_missing", None), ("a 1 st", "1 a st", "same", None), ("1 ast", "1 a st", "same_ns", None), ("a st", "1 a st", "numdrop", None), ("1 2 a st", "1 a st", "numadd", None), ("8 a st", "1 a st", "numchg1", 7), ("1 maple st", "1 mapel st", "typo", None), ("1 x st", "1 yyyy st", "street", None), ("2 x st", "1 yyyy st", "other", None)]
+    for q, s, c, d in cases:
+        assert address_class(q, s) == (c, d)
