@@ -76,8 +76,8 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def staged_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold tree scores, stacked with a second model on fewer features, both folds by record."""
     rows = _labelled(spark, sf_dir).persist()
-    one = models.out_of_fold(rows, _FEATURES, "fold", "p1", rounds=3, depth=3).persist()
-    two = models.out_of_fold(one, ["p1", "score_ratio", "record_margin"], "fold", "p2", rounds=3, depth=2).persist()
+    one = models.out_of_fold(rows, _FEATURES, "fold", "p1", rounds=2, depth=3).persist()
+    two = models.out_of_fold(one, ["p1", "score_ratio", "record_margin"], "fold", "p2", rounds=2, depth=2).persist()
     return models.stack(models.fit_stacker(two, ["p1", "p2"]), two, ["p1", "p2"]).select("rid", "s1", "label", "p1", "p2", "ps")
 
 
