@@ -24,10 +24,12 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: 30 bands of 5 coordinates: a pair at similarity 0.8 meets in no band with a probability under 1e-5.
 BANDS, ROWS = 30, 5
-#: Members of a bucket that are compared with each other outright; larger buckets go by leader and neighbours.
+#: Members of a bucket that are compared with each other outright; larger buckets go by leader, neighbours and tiles.
 SMALL_BUCKET = 8
 #: Members of a bucket that one task orders.
 BUCKET_PART = 250
+#: Members on a side of a tile, and different shingles that a tile multiplies at once.
+TILE, TILE_SHINGLES = 256, 8192
 #: Rank cells below 1 are [0, FIRST), [FIRST, 2 FIRST), ... ; above 1 they have length 1.
 FIRST = 2.0**-3
 _ONE = 1 << 48  # fixed point of ranks
@@ -197,6 +199,67 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.withColumn("c", common).where(F.col("c") >= threshold * (F.col("nx") + F.col("ny") - F.col("c"))).select("x", "y")
 
 
+def _tile(threshold: float):
+    """Links between the components of a tile's members: of side 0 with side 1, or among side 0 if that is all. A link
+    joins two components that no earlier link of the tile has joined."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        side, ids, c = (np.asarray(rows.column(k)) for k in ("side", "x", "c"))
+        sh = rows.column("sh").combine_chunks()
+        starts = np.asarray(sh.offsets).astype(np.int64)
+        n, values = np.diff(starts), np.asarray(sh.values)[starts[0] : starts[-1]]
+        row = np.repeat(np.arange(len(n)), n)
+        code = np.unique(values, return_inverse=True)[1]
+        # what one text alone holds is common to no pair
+        shared = np.bincount(code) > 1
+        row, code = row[shared[code]], (np.cumsum(shared) - 1)[code[shared[code]]]
+        order = np.argsort(code, kind="stable")
+        row, code = row[order], code[order]
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        b = b if len(b) else a
+        common = np.zeros((len(a), len(b)))
+        for at in range(0, int(shared.sum()), TILE_SHINGLES):
+            part = slice(*np.searchsorted(code, [at, at + TILE_SHINGLES]))
+            held = np.zeros((len(n), TILE_SHINGLES), dtype=np.float32)
+            held[row[part], code[part] - at] = 1
+            common += held[a] @ held[b].T
+        i, j = np.nonzero((common >= threshold * (n[a][:, None] + n[b][None, :] - common)) & (c[a][:, None] != c[b][None, :]))
+        own, which = np.unique(c, return_inverse=True)
+        first = np.unique(which[a[i]] * len(own) + which[b[j]], return_index=True)[1]
+        root, x, y = list(range(len(own))), [], []
+        for k in first:
+            u, v = which[a[i[k]]], which[b[j[k]]]
+            while root[u] != u:
+                u = root[u]
+            while root[v] != v:
+                v = root[v]
+            if u != v:
+                root[u] = v
+                x.append(ids[a[i[k]]])
+                y.append(ids[b[j[k]]])
+        return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
+
+    return run
+
+
+def _tiled(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (x, y) between members (band, x, c) of one bucket whose components c differ; every such pair is compared.
+
+    A component that fills a tile by itself has blocks of its own, which don't meet each other; the smaller ones of
+    a bucket share blocks."""
+    held = rest.groupBy("band", "c").agg(F.count("*").alias("n")).withColumn("g", F.when(F.col("n") > TILE, F.col("c")))
+    size = held.groupBy("band", "g").agg(F.ceil(F.sum("n") / TILE).alias("blocks"))
+    held = held.alias("h").join(size.alias("s"), F.expr("h.band = s.band and h.g <=> s.g")).select("h.band", "h.c", "h.g", "s.blocks")
+    placed = rest.join(held, ["band", "c"]).select("band", "x", "c", F.struct(F.col("g").isNotNull().alias("alone"), F.coalesce("g", F.lit(0)).alias("g"), F.pmod(F.xxhash64("x"), F.col("blocks")).alias("i")).alias("block"))
+    placed = staged(placed, "placed")
+    block = placed.select("band", "block").distinct()
+    tiles = block.withColumnRenamed("block", "lo").join(block.withColumnRenamed("block", "hi"), "band").where("lo <= hi and not (lo.alone and hi.alone and lo.g = hi.g)")
+    tiles = staged(tiles, "tiles")
+    row = lambda at, side: placed.join(tiles.where("lo < hi") if side else tiles, (placed["band"] == tiles["band"]) & (placed["block"] == tiles[at])).select(placed["band"], "lo", "hi", F.lit(side).alias("side"), "x", "c")
+    rows = row("lo", 0).unionAll(row("hi", 1)).join(sets.withColumnRenamed("doc_id", "x"), "x")
+    return rows.groupBy("band", "lo", "hi").applyInArrow(_tile(threshold), "x long, y long")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id, exact_id) of every row of docs (doc_id, text; other columns are ignored).
 
@@ -204,7 +267,8 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     similarity `threshold` or more. Copies are joined before any comparison, so a group of copies costs one
     signature. Null and empty texts join nothing; texts without words join their copies only. Inside a bucket
     every member is compared with the bucket's leader, and then what isn't joined yet with each other (up to
-    SMALL_BUCKET) or with neighbours in two orders in each of the bands. An empty table gives no rows."""
+    SMALL_BUCKET) or with neighbours in two orders in each of the bands. Of larger buckets that hold several components
+    even then, all pairs of members in different components are compared in tiles. An empty table gives no rows."""
     prepare(docs.sparkSession)
     rows = staged(docs.select("doc_id", "text").mapInArrow(_sign, "doc_id long, digest binary, n_chars long, bands array<long>"), "signatures")
     reps = staged(rows.where("n_chars > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")).select("doc_id", "digest", "bands"), "representatives")
@@ -230,6 +294,12 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
         near.append(d.select(F.least("x", "n.y").alias("x"), F.greatest("x", "n.y").alias("y")))
     second = _verify(near[0].unionAll(near[1]).distinct(), sets, threshold)
     links = staged(first.unionAll(second), "links")
+    # what larger buckets still hold besides one component
+    joined = components(links, "x", "y")
+    rest = member.where(F.col("m") > SMALL_BUCKET).join(joined.withColumnRenamed("node", "x"), "x", "left").select("band", "x", F.coalesce("component", "x").alias("c"))
+    mixed = staged(rest.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("band"), "mixed")
+    third = _tiled(staged(rest.join(mixed, "band"), "apart"), sets, threshold)
+    links = staged(links.unionAll(third), "links")
     classes = components(links, "x", "y").select(F.col("node").alias("exact_id"), "component")
     exact = reps.select("digest", F.col("doc_id").alias("rep"))
     out = rows.select("doc_id", "digest", "n_chars").join(exact, "digest", "left").withColumn("exact_id", F.when(F.col("n_chars") > 0, F.col("rep")).otherwise(F.col("doc_id")))

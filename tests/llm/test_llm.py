@@ -174,6 +174,25 @@ def test_near_duplicates(spark, docs):
     assert minhash.near_duplicates(none_of(spark)).count() == 0
 
 
+def test_near_duplicates_of_one_form(spark):
+    r, words = random.Random(21), vocabulary(22, 5000)
+    form, rows = [r.choice(words) for _ in range(204)], []
+    for i in range(300):  # two texts of a pair have similarity 0.82, all others under 0.8
+        both = [r.choice(words) for _ in range(9)]
+        rows += [(k * 300 + i, " ".join(form + both + [r.choice(words) for _ in range(22)])) for k in (0, 1)]
+    starts, sh = minhash.shingles(pa.array([t for _, t in rows], pa.large_string()))
+    sets = [set(sh[a:b].tolist()) for a, b in zip(starts, starts[1:])]
+    group = {i: i for i, _ in rows}
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                lo, hi = sorted((group[rows[i][0]], group[rows[j][0]]))
+                group = {k: lo if v == hi else v for k, v in group.items()}
+    assert len(set(group.values())) == 300
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 600 and {x.doc_id: x.component_id for x in got} == group
+
+
 def test_decontamination(spark, docs):
     item = vocabulary(77, 30)
     moved = item[15:] + ["between"] + item[:15]
