@@ -135,6 +135,22 @@ def test_html():
     assert html.main_text("<div><p>Just a paragraph without any article around it.</p></div>") == "Just a paragraph without any article around it."
 
 
+def test_html_keeps_short_and_late_text():
+    story = ["A long paragraph of the story, number %d, with many words in it." % i for i in range(12)]
+    body = "".join(f"<p>{x}</p>" for x in story)
+    # a heading and a short paragraph beside removed elements of an article
+    page = f"<article><h1>A short heading here</h1><div class='ad'>Buy</div>{body}<form>x</form><p>The end.</p></article>"
+    assert html.main_text(page) == "\n\n".join(["A short heading here", *story, "The end."])
+    # without an article, text on both sides of an advert
+    page = f"<nav>menu</nav><div><h1>A short heading</h1><div class='ad'>Buy</div>{body}<div class='ad'>Buy</div><p>A closing paragraph of the story.</p></div><footer>x</footer>"
+    assert html.main_text(page) == "\n\n".join(["A short heading", *story, "A closing paragraph of the story."])
+    # beyond a header or footer a short region stands alone
+    assert html.main_text(f"<p>Short one.</p><nav>menu</nav>{body}<footer>x</footer><p>Other.</p>") == "\n\n".join(story)
+    # teaser cards beside a story that is no article
+    page = f"<div>{body}</div><nav>more</nav><article><p>A teaser card with a few words.</p></article>"
+    assert html.main_text(page) == "\n\n".join(story)
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(150, 16))
