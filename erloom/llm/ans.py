@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import chunks, prepare, scratch_dir, staged, table
+from .common import chunks, scratch_dir, staged, table
 from .tokens import default_tokenizer, encoder
 
 END_ID = 0
@@ -166,7 +166,6 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> np.ndarray:
     """Write the ids of all docs (doc_id, text; null text: empty; other columns are ignored) to path, in ascending
     doc_id, each document's ids followed by END_ID. Returns the shared frequency table, also kept at path/table."""
     spark = docs.sparkSession
-    prepare(spark)
     coder = encoder(tokenizer)
     kind = coder.ids.dtype
     # a document is encoded once; its ids, shorter than its text, are what is counted and put in order

@@ -12,7 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Texts handled at once inside a Python worker, in UTF-8 bytes; a longer text is handled alone.
+#: Texts handled at once inside a Python worker, in UTF-8 bytes; a longer text is handled alone. Spark itself bounds an
+#: Arrow batch by spark.sql.execution.arrow.maxBytesPerBatch.
 CHUNK_BYTES = 6_000_000
 
 
@@ -20,27 +21,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def prepare(spark: SparkSession) -> None:
-    """Keep Arrow batches small, since a row may hold a very long text."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, "2000")
-
-
 _fallback: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a temporary one serves a session
+    whose executors are threads of one machine; on a cluster it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _fallback:
             _fallback.append(tempfile.mkdtemp(prefix="erloom-"))
         found = _fallback[0]
     return found.rstrip("/")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def scratch_path(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, removed when the process ends."""
+    path = f"{scratch_dir(spark)}/erloom-{what}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
     try:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -52,37 +56,42 @@ def staged(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage ends there,
     and a lost executor costs only its own tasks."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/erloom-{what}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, what)
     df.write.option("compression", codec).parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
 
+def release(*frames: DataFrame) -> None:
+    """Remove the tables of staged frames that nothing reads any more."""
+    for df in frames:
+        remove(df.sparkSession, df._scratch)
 
-def components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
+
+def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a, b): one row (node, component) for each node that
     has an edge to another node; component is the smallest node reachable.
 
-    Alternating large-star and small-star contraction. Minima are written before they are joined, so
-    both join sides are plain exchanges that adaptive execution can split at a hot node.
-    Self-loops and null ends are ignored; no edges give an empty result."""
+    Alternating large-star and small-star contraction until every node hangs on one other. Minima are written
+    before they are joined, so both join sides are plain exchanges that adaptive execution can split at a hot node;
+    the tables of a round are removed after the next. Self-loops and null ends are ignored; no edges give an empty
+    result; equal edges count once."""
     e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     e = staged(e.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).distinct(), "edges")
-    mark = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())
-    seen = mark(e)
     for _ in range(rounds):
-        if not seen[0]:
+        ends = e.select(F.col("hi").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(e.select(F.col("lo").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        ends = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if not ends.agg(F.coalesce(F.count_if((F.col("up") > 1) | (F.col("up") * F.col("down") > 0)), F.lit(0))).first()[0]:
             break
         both = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionAll(e.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
         low = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        large = both.where("v > u").join(low, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo < hi").distinct()
         large = staged(large, "large")
         low2 = staged(large.groupBy("hi").agg(F.min("lo").alias("m")), "low")
         small = large.join(low2, "hi").select("m", F.explode(F.array("lo", "hi")).alias("v")).where("v > m")
-        e = staged(small.select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct(), "edges")
-        now = mark(e)
-        if now == seen:
-            break
-        seen = now
+        old, e = e, staged(small.select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct(), "edges")
+        release(old, low, large, low2)
     else:
         raise RuntimeError("components did not settle")
     star = e.select(F.col("hi").alias("node"), F.col("lo").alias("component"))

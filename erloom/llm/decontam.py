@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import chunks, prepare, split_words, table
+from .common import chunks, split_words, table
 from .minhash import word_hashes
 
 #: A tile has so many words at least; seeds are as long, so that no tile is missed.
@@ -169,7 +169,6 @@ def _blocks(benchmark: DataFrame) -> list:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE) -> DataFrame:
     """The rows of docs, all columns, that hold no test item."""
-    prepare(docs.sparkSession)
     for held in _blocks(benchmark):
         docs = docs.mapInArrow(_clean(held, threshold), docs.schema)
     return docs
@@ -182,7 +181,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = COVER
     Items go out in blocks of ITEM_CHARS characters, one pass over the documents for each, so what is broadcast
     is bounded whatever the size of the benchmark. Null, empty and very short items (under MIN_MATCH words) and
     null or empty documents match nothing; repeated rows are searched once each; other columns are ignored."""
-    prepare(docs.sparkSession)
     passes = [docs.select("doc_id", "text").mapInArrow(_search(b, threshold), "doc_id long, item_id long, coverage double, n_tiles long, longest long") for b in _blocks(benchmark)]
     out = passes[0]
     for p in passes[1:]:

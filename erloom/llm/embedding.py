@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, prepare, staged, table
+from .common import components, staged, table
 
 COSINE = 0.95
 PASSES, BITS, WINDOW = 24, 64, 12
@@ -121,7 +121,6 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSE
     their own; vectors of different lengths never link. Equal vectors are one representative with a count, so a
     group of copies costs one vector. An empty table gives no rows."""
     spark = vectors.sparkSession
-    prepare(spark)
     rows = staged(vectors.select("vec_id", "embedding").mapInArrow(_unit, "vec_id long, digest binary, unit binary"), "vectors")
     reps = staged(rows.groupBy("digest").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("unit").alias("unit")), "representatives")
     keyed = reps.select("vec_id", "unit").mapInArrow(_keys(passes), "pass int, key binary, vec_id long, unit binary")

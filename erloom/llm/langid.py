@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, chunks, prepare, split_words, table
+from .common import GOLDEN, chunks, split_words, table
 from .sample import bounded, held_out
 
 UNKNOWN = "und"
@@ -241,7 +241,6 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, lang_pred, score) of every row of docs (doc_id, text; other columns are ignored); score is the
     expected share of words in lang_pred. A text that is null or has no letter is `und` with score 0, as is every
     text if there was nothing to learn from."""
-    prepare(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select("doc_id", "text").mapInArrow(_predict(held), _SCHEMA)
 
@@ -262,7 +261,6 @@ def _keep(held, sure: float):
 
 def keep_identified(docs: DataFrame, model: Model | None, sure: float = SURE) -> DataFrame:
     """The rows of docs, all columns, whose language is identified; all of them if there was nothing to learn from."""
-    prepare(docs.sparkSession)
     return docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(model), sure), docs.schema)
 
 

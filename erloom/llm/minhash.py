@@ -1,4 +1,4 @@
-"""Near-duplicate documents by DartMinHash over five-word shingles.
+"""Near-duplicate documents by DartMinHash over five-word shingles, each weighted by its count in the text.
 
 Each shingle of weight w owns the strip [0, w) x [0, inf) of a (weight, rank) plane in which a fixed random
 process has thrown darts. A document sees the darts inside its own strips up to a rank chosen from its total
@@ -18,16 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import _M1, _M2, GOLDEN, chunks, components, mix, prepare, split_words, staged, table
+from .common import _M1, _M2, GOLDEN, chunks, components, mix, split_words, staged, table
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: 30 bands of 5 coordinates: a pair at similarity 0.8 meets in no band with a probability under 1e-5.
 BANDS, ROWS = 30, 5
-#: Members of a bucket that are compared with each other outright; larger buckets go by leader, neighbours and tiles.
+#: Members of a bucket whose pairs are listed; those of a larger bucket are compared in tiles.
 SMALL_BUCKET = 8
-#: Members of a bucket that one task orders.
-BUCKET_PART = 250
 #: Members on a side of a tile, and different shingles that a tile multiplies at once.
 TILE, TILE_SHINGLES = 256, 8192
 #: Rank cells below 1 are [0, FIRST), [FIRST, 2 FIRST), ... ; above 1 they have length 1.
@@ -44,9 +42,8 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return h
 
 
-def shingles(texts: pa.Array, distinct: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(start of each text's shingles with one end more, shingle hashes of each text; distinct ones, sorted, or
-    else all in order).
+def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start of each text's shingles with one end more, hashes of each text's distinct shingles, their counts).
 
     Words are white-space tokens without marks, in lower case. A text of one to four words has one shingle
     of them all; a text without words has none."""
@@ -70,15 +67,38 @@ def shingles(texts: pa.Array, distinct: bool = True) -> tuple[np.ndarray, np.nda
             whole = mix(np.array([whole ^ w], dtype=np.uint64))[0]
         h[s] = whole
     h = mix(h[full])
-    starts = np.concatenate([[0], np.cumsum(np.where(n > 0, np.maximum(1, n - SHINGLE_WORDS + 1), 0))])
-    if not distinct:
-        return starts, h
-    doc = np.repeat(np.arange(texts_n), np.diff(starts))
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    return np.concatenate([[0], np.cumsum(np.bincount(doc[new], minlength=texts_n))]), h[new]
+    doc = np.repeat(np.arange(texts_n), np.where(n > 0, np.maximum(1, n - SHINGLE_WORDS + 1), 0))
+    first, counts = _counted(mix(h ^ mix(doc.astype(np.uint64))))
+    return np.concatenate([[0], np.cumsum(np.bincount(doc[first], minlength=texts_n))]), h[first], counts[first]
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which keys are the first of their value, how often the value occurs, given there)."""
+    first, counts = np.ones(len(keys), dtype=bool), np.ones(len(keys), dtype=np.int64)
+    ordered = np.sort(keys)
+    repeated = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if len(repeated):  # few, so a table of their leading bits spares the search for the rest
+        table = np.zeros(1 << 20, dtype=bool)
+        table[repeated >> np.uint64(44)] = True
+        at = np.flatnonzero(table[keys >> np.uint64(44)])
+        at = at[repeated[np.minimum(np.searchsorted(repeated, keys[at]), len(repeated) - 1)] == keys[at]]
+        at = at[np.argsort(keys[at], kind="stable")]
+        begin = np.flatnonzero(np.concatenate([[True], keys[at][1:] != keys[at][:-1]]))
+        first[at] = False
+        first[at[begin]] = True
+        counts[at[begin]] = np.diff(np.append(begin, len(at)))
+    return first, counts
+
+
+def strips(starts: np.ndarray, elements: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the element, hash, weight of at most 1) of each strip of a unit of weight. With whole weights the share
+    of common strips of two sets is their weighted Jaccard similarity."""
+    units = np.ceil(weights).astype(np.int64)
+    which = np.repeat(np.arange(len(elements)), units)
+    unit = np.arange(len(which)) - np.repeat(np.cumsum(units) - units, units)
+    with np.errstate(over="ignore"):
+        h = mix(elements[which] ^ (unit.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    return which, h, np.minimum(1.0, weights[which] - unit)
 
 
 def _throw(h: np.ndarray, wide: np.ndarray, at: np.ndarray, length: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,11 +154,9 @@ def _signatures(starts: np.ndarray, elements: np.ndarray, weights: np.ndarray |
     sets = len(starts) - 1
     doc = np.repeat(np.arange(sets), np.diff(starts))
     w = np.ones(len(elements)) if weights is None else np.asarray(weights, dtype=np.float64)
-    if (w > 1).any():  # one strip for each unit of weight
-        units = np.ceil(w).astype(np.int64)
-        which = np.repeat(np.arange(len(w)), units)
-        unit = np.arange(len(which)) - np.repeat(np.cumsum(units) - units, units)
-        elements, doc, w = mix(elements[which] ^ (unit.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))), doc[which], np.minimum(1.0, w[which] - unit)
+    if weights is not None:  # one strip for each unit of weight
+        which, elements, w = strips(starts, elements, w)
+        doc = doc[which]
     total = np.bincount(doc, weights=w, minlength=sets)
     out = np.full(sets * k, np.iinfo(np.uint64).max, dtype=np.uint64)
     goal = np.where(total > 0, (k * np.log(k) + 2 * k) / np.maximum(total, 1e-12), 0.0)
@@ -176,24 +194,27 @@ def _lists(starts: np.ndarray, values: np.ndarray) -> pa.Array:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, texts in chunks(batch):
-            starts, sh = shingles(texts, distinct=False)  # repeats throw the same darts
-            keys = band_keys(signatures(starts, sh))
+            starts, sh, counts = shingles(texts)
+            keys = band_keys(signatures(starts, sh, counts))
             some = np.diff(starts) > 0
             ends = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))])
-            digest = [hashlib.md5(t.encode()).digest() for t in texts.to_pylist()]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(digest, pa.binary()), pa.array(pc.utf8_length(texts).cast(pa.int64())), _lists(ends, keys[some].reshape(-1))], ["doc_id", "digest", "n_chars", "bands"])
+            digest = [hashlib.md5(t.encode()).hexdigest() if t else None for t in texts.to_pylist()]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(digest, pa.string()), _lists(ends, keys[some].reshape(-1))], ["doc_id", "digest", "bands"])
 
 
 def _shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The strips of each text's shingles."""
     for batch in batches:
         for rows, texts in chunks(batch):
-            starts, sh = shingles(texts)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), _lists(starts, sh)], ["doc_id", "sh"])
+            starts, sh, counts = shingles(texts)
+            _, units, _ = strips(starts, sh, counts)
+            ends = np.concatenate([[0], np.cumsum(counts)])[starts]
+            yield pa.RecordBatch.from_arrays([rows.column("node"), _lists(ends, units)], ["node", "sh"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Those of the pairs (x, y) whose shingle sets have a Jaccard similarity of threshold or more."""
-    s = lambda k: sets.select(F.col("doc_id").alias(k), F.col("sh").alias(f"s{k}"), F.size("sh").alias(f"n{k}"))
+    """Those of the pairs (x, y) whose weighted shingles have a Jaccard similarity of threshold or more."""
+    s = lambda k: sets.select(F.col("node").alias(k), F.col("sh").alias(f"s{k}"), F.size("sh").alias(f"n{k}"))
     both = pairs.join(s("x"), "x").join(s("y"), "y").where(F.least("nx", "ny") >= threshold * F.greatest("nx", "ny"))
     common = F.size(F.array_intersect("sx", "sy"))
     return both.withColumn("c", common).where(F.col("c") >= threshold * (F.col("nx") + F.col("ny") - F.col("c"))).select("x", "y")
@@ -256,66 +277,76 @@ def _tiled(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     tiles = block.withColumnRenamed("block", "lo").join(block.withColumnRenamed("block", "hi"), "band").where("lo <= hi and not (lo.alone and hi.alone and lo.g = hi.g)")
     tiles = staged(tiles, "tiles")
     row = lambda at, side: placed.join(tiles.where("lo < hi") if side else tiles, (placed["band"] == tiles["band"]) & (placed["block"] == tiles[at])).select(placed["band"], "lo", "hi", F.lit(side).alias("side"), "x", "c")
-    rows = row("lo", 0).unionAll(row("hi", 1)).join(sets.withColumnRenamed("doc_id", "x"), "x")
+    rows = row("lo", 0).unionAll(row("hi", 1)).join(sets.withColumnRenamed("node", "x"), "x")
     return rows.groupBy("band", "lo", "hi").applyInArrow(_tile(threshold), "x long, y long")
 
 
+def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): the id, digest and node of every row of docs (no node for a null or empty text), and the
+    component of every node that has a link. A node is a 64-bit hash of the text's digest."""
+    node = F.xxhash64("digest").alias("node")
+    rows = staged(docs.select("doc_id", "text").mapInArrow(_sign, "doc_id long, digest string, bands array<long>"), "signatures")
+    reps = staged(rows.where("digest is not null").groupBy("digest").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("doc_id")).select(node, "bands", "doc_id"), "representatives")
+    member = reps.select(F.col("node").alias("x"), F.explode("bands").alias("band"))
+    # leaders are the first in one order for all bands, so that few different documents lead
+    order = lambda salt: F.min(F.struct(F.xxhash64("x", F.lit(salt)).alias("o"), "x"))["x"]
+    buckets = staged(member.groupBy("band").agg(F.count("*").alias("m"), order(1).alias("l1"), order(2).alias("l2")).where("m > 1"), "buckets")
+    member = staged(member.join(buckets, "band"), "members")
+    led = member.select(F.explode(F.array_distinct(F.array("l1", "l2"))).alias("l"), "x").where("l <> x").select(F.least("l", "x").alias("x"), F.greatest("l", "x").alias("y")).distinct()
+    # one row for each text: the id is part of the key, so that copies don't meet in one task
+    one = reps.select("node", F.coalesce("doc_id", F.lit(-1)).alias("i")).join(member.select(F.col("x").alias("node")).distinct(), "node", "left_semi")
+    sets = docs.where("text <> ''").select(F.xxhash64(F.md5(F.encode("text", "utf-8"))).alias("node"), F.coalesce("doc_id", F.lit(-1)).alias("i"), "text").join(one, ["node", "i"], "left_semi")
+    sets = staged(sets.dropDuplicates(["node", "i"]).select("node", "text").mapInArrow(_shingle, "node long, sh array<long>"), "shingles")
+    links = staged(_verify(staged(led, "led"), sets, threshold), "links")
+    stars = staged(components(links, "x", "y"), "stars")
+    # what a bucket holds besides one component
+    rest = member.join(stars.withColumnRenamed("node", "x"), "x", "left").select("band", "m", "x", F.coalesce("component", "x").alias("c"))
+    mixed = rest.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("band")
+    rest = staged(rest.join(staged(mixed, "mixed"), "band"), "apart")
+    w = W.partitionBy("band").orderBy("x")
+    after = F.array(*[F.lead(F.struct(F.col("x").alias("y"), F.col("c").alias("d")), i).over(w) for i in range(1, SMALL_BUCKET)])
+    small = rest.where(F.col("m") <= SMALL_BUCKET).select("x", "c", after.alias("ns")).select("x", "c", F.explode("ns").alias("n")).where("n is not null and n.d <> c").select("x", F.col("n.y").alias("y")).distinct()
+    more = staged(_verify(small, sets, threshold).unionAll(_tiled(rest.where(F.col("m") > SMALL_BUCKET), sets, threshold)), "links")
+    if more.limit(1).count():
+        stars = components(more.unionAll(stars.where("node <> component").select(F.col("node").alias("x"), F.col("component").alias("y"))), "x", "y")
+    return rows.select("doc_id", "digest", F.when(F.col("digest").isNotNull(), node).alias("node")), stars
+
+
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id, exact_id) of every row of docs (doc_id, text; other columns are ignored).
 
-    exact_id is the smallest doc_id with the same text, component_id the smallest one reachable over pairs of
-    similarity `threshold` or more. Copies are joined before any comparison, so a group of copies costs one
-    signature. Null and empty texts join nothing; texts without words join their copies only. Inside a bucket
-    every member is compared with the bucket's leader, and then what isn't joined yet with each other (up to
-    SMALL_BUCKET) or with neighbours in two orders in each of the bands. Of larger buckets that hold several components
-    even then, all pairs of members in different components are compared in tiles. An empty table gives no rows."""
-    prepare(docs.sparkSession)
-    rows = staged(docs.select("doc_id", "text").mapInArrow(_sign, "doc_id long, digest binary, n_chars long, bands array<long>"), "signatures")
-    reps = staged(rows.where("n_chars > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")).select("doc_id", "digest", "bands"), "representatives")
-    member = reps.select(F.col("doc_id").alias("x"), F.explode("bands").alias("band"), F.xxhash64("doc_id").alias("o"))
-    # a leader is the first in one order for all bands, so that few different documents lead
-    buckets = staged(member.groupBy("band").agg(F.count("*").alias("m"), F.min(F.struct("o", "x")).alias("l")).where("m > 1").select("band", "m", F.col("l.x").alias("leader")), "buckets")
-    member = staged(member.join(buckets, "band"), "members")
-    led = staged(member.where("x <> leader").select(F.col("leader").alias("x"), F.col("x").alias("y")).distinct(), "led")
-    sets = docs.select("doc_id", "text").join(member.select(F.col("x").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = staged(sets.dropDuplicates(["doc_id"]).mapInArrow(_shingle, "doc_id long, sh array<long>"), "shingles")
-    first = staged(_verify(led, sets, threshold), "links")
-    joined = components(first, "x", "y")
-    # what a bucket holds besides one component
-    rest = member.join(joined.withColumnRenamed("node", "x"), "x", "left").withColumn("c", F.coalesce("component", "x"))
-    mixed = staged(rest.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("band"), "mixed")
-    rest = rest.join(mixed, "band").withColumn("part", F.when(F.col("m") <= SMALL_BUCKET, 0).otherwise(F.pmod("o", F.ceil(F.col("m") / BUCKET_PART))))
-    near = []
-    for order, reach in (("o", SMALL_BUCKET - 1), ("xx", 3)):
-        w = W.partitionBy("band", "part").orderBy(order, "x")
-        d = rest.withColumn("xx", F.xxhash64("x", "band"))
-        after = F.array(*[F.lead(F.struct(F.col("x").alias("y"), F.col("c").alias("d")), i).over(w) for i in range(1, reach + 1)])
-        d = d.select("x", "c", after.alias("ns")).select("x", "c", F.explode("ns").alias("n")).where("n is not null and n.d <> c")
-        near.append(d.select(F.least("x", "n.y").alias("x"), F.greatest("x", "n.y").alias("y")))
-    second = _verify(near[0].unionAll(near[1]).distinct(), sets, threshold)
-    links = staged(first.unionAll(second), "links")
-    # what larger buckets still hold besides one component
-    joined = components(links, "x", "y")
-    rest = member.where(F.col("m") > SMALL_BUCKET).join(joined.withColumnRenamed("node", "x"), "x", "left").select("band", "x", F.coalesce("component", "x").alias("c"))
-    mixed = staged(rest.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("band"), "mixed")
-    third = _tiled(staged(rest.join(mixed, "band"), "apart"), sets, threshold)
-    links = staged(links.unionAll(third), "links")
-    classes = components(links, "x", "y").select(F.col("node").alias("exact_id"), "component")
-    exact = reps.select("digest", F.col("doc_id").alias("rep"))
-    out = rows.select("doc_id", "digest", "n_chars").join(exact, "digest", "left").withColumn("exact_id", F.when(F.col("n_chars") > 0, F.col("rep")).otherwise(F.col("doc_id")))
-    out = out.join(classes, "exact_id", "left")
-    return out.select("doc_id", F.coalesce("component", "exact_id").alias("component_id"), "exact_id")
+    Two texts are linked if their five-word shingles, weighted by their counts, have a Jaccard similarity of `threshold`
+    or more. exact_id is the smallest doc_id with the same text, component_id the smallest one reachable over links;
+    null ids are passed over unless a class has no other. Copies are joined before any comparison, so a group of copies
+    costs one signature. Null and empty texts join nothing; texts without words join their copies only; repeated rows
+    and texts that share an id are rows of their own. Members of a bucket are compared with two leaders, and then with
+    every member that isn't in their component yet: listed in buckets of up to SMALL_BUCKET, in tiles beyond. An empty
+    table gives no rows."""
+    rows, stars = _classes(docs, threshold)
+    exact = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("exact_id"))
+    exact = staged(exact.join(stars, "node", "left").select("node", "exact_id", F.coalesce("component", "node").alias("component")), "exact")
+    first = exact.groupBy("component").agg(F.min("exact_id").alias("component_id"))
+    own = exact.join(first, "component").select("node", "exact_id", "component_id")
+    out = rows.where("node is not null").join(own, "node").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("exact_id", "doc_id").alias("exact_id"))
+    return out.unionAll(rows.where("node is null").select("doc_id", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("exact_id")))
 
 
 def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """The rows of docs, all columns, that are the one of their class: that of the smallest doc_id. Rows with a null
-    doc_id can't be told apart and stay."""
-    classes = near_duplicates(docs.where("doc_id is not null"), threshold)
-    kept = staged(classes.where("doc_id = component_id").select("doc_id"), "kept")
-    out = docs.join(kept.distinct(), "doc_id", "left_semi").select(docs.columns)
-    if kept.groupBy("doc_id").count().where("count > 1").limit(1).count():  # the same row more than once
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionAll(docs.where("doc_id is null"))
+    """The rows of docs, all columns, that are the one of their class: the text of the smallest doc_id, of several the one
+    whose digest is smallest. Rows that repeat it under the same id are one row, that of the smallest values. Null and
+    empty texts and rows with a null doc_id, which can't be told apart, stay. An empty table gives no rows."""
+    rows, stars = _classes(docs.where("doc_id is not null"), threshold)
+    of_class = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("r"), F.count("*").alias("n")).join(stars, "node", "left")
+    kept = of_class.groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("r").alias("r")).select(F.col("r.doc_id").alias("doc_id"), F.col("r.digest").alias("_kept"))
+    kept = staged(kept, "kept")
+    empty = F.col("doc_id").isNull() | (F.coalesce(F.length("text"), F.lit(0)) == 0)
+    chosen = docs.where(~empty).withColumn("_kept", F.md5(F.encode("text", "utf-8"))).join(kept, ["doc_id", "_kept"], "left_semi").select(docs.columns)
+    twice = rows.join(kept.withColumnRenamed("_kept", "digest"), ["doc_id", "digest"], "left_semi").groupBy("doc_id", "digest").count().where("count > 1").select("doc_id").distinct()
+    if twice.limit(1).count():
+        repeated = chosen.join(twice, "doc_id", "left_semi")
+        first = repeated.withColumn("_first", F.row_number().over(W.partitionBy("doc_id", F.md5(F.encode("text", "utf-8"))).orderBy(*[F.col(f.name) for f in docs.schema if f.dataType.typeName() not in ("map", "variant")])))
+        chosen = chosen.join(twice, "doc_id", "left_anti").unionAll(first.where("_first = 1").select(docs.columns))
+    return chosen.unionAll(docs.where(empty))
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import chunks, prepare, staged, table
+from .common import chunks, staged, table
 from .tokens import default_tokenizer, encoder
 
 LENGTH = 2048
@@ -157,7 +157,6 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END_I
     A null or empty text is its end id alone. Equal rows are packed once each. An empty table gives no rows;
     other columns are ignored. The plan that reaches the executors has at most a few rows for each size class."""
     spark = docs.sparkSession
-    prepare(spark)
     kept = docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, length, end), "doc_id long, n long, sums array<long>, full long, rest long, class int")
     kept = staged(kept, "lengths")
     parts = max(64, -(-kept.count() // RANK_ROWS))

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, prepare, split_words, table
+from .common import chunks, split_words, table
 from .sample import held_out
 
 #: Rows that are learned from, about: trusted positives and unlabelled documents.
@@ -188,12 +188,10 @@ def _score(held):
 def score(docs: DataFrame, model: Scorer | None) -> DataFrame:
     """(doc_id, score) of every row of docs (doc_id, text; other columns are ignored). A null text counts as empty;
     empty texts are scored by their statistics, all zero; with nothing to learn from every score is 0.5."""
-    prepare(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, score double")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    prepare(spark)
     out = score(docs, fit(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

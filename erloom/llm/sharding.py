@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, table
+from .common import table
 
 #: Rows of a shard that are numbered by one task, about.
 SLOT_ROWS = 100_000
@@ -70,7 +70,6 @@ def shard(df: DataFrame, key: str, shards: int, payload: list[Column]) -> DataFr
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into shards 0 to 39 by doc_id. Null text: size 16, CRC of the empty text."""
-    prepare(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
     payload = [(F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32")]
     out = shard(table(spark, sf_dir, "documents"), "doc_id", 40, payload)

@@ -172,41 +172,60 @@ def test_weighted_signatures():
     assert abs((s[0] == s[1]).mean() - np.minimum(w, v).sum() / np.maximum(w, v).sum()) < 0.05
 
 
+def classes(texts, threshold=0.8):
+    """Smallest index of each text's class, by every pair of multisets of shingles."""
+    from collections import Counter
+
+    starts, sh, counts = minhash.shingles(pa.array([t or "" for t in texts], pa.large_string()))
+    bags = [Counter(dict(zip(sh[a:b].tolist(), counts[a:b].tolist()))) for a, b in zip(starts, starts[1:])]
+    size, group = [sum(b.values()) for b in bags], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            common = sum((bags[i] & bags[j]).values()) if group[i] != group[j] else 0
+            if texts[i] and texts[i] == texts[j] or common and common >= threshold * (size[i] + size[j] - common):
+                lo, hi = sorted((group[i], group[j]))
+                group = [lo if g == hi else g for g in group]
+    return group
+
+
+def test_shingle_counts():
+    starts, sh, counts = minhash.shingles(pa.array(["a b c d e a b c d e a b c d e", "", "x", "A, b c d! e"], pa.large_string()))
+    assert starts.tolist() == [0, 5, 5, 6, 7] and sorted(counts.tolist()) == [1, 1, 2, 2, 2, 2, 3] and sh[6] in sh[:5]
+
+
 def test_near_duplicates(spark, docs):
     rows = docs.select("doc_id", "text").collect()
-    starts, sh = minhash.shingles(pa.array([r.text or "" for r in rows], pa.large_string()))
-    sets = [set(sh[a:b].tolist()) for a, b in zip(starts, starts[1:])]
-    group = {r.doc_id: r.doc_id for r in rows}
-    for i, a in enumerate(rows):
-        for j, b in enumerate(rows[:i]):
-            same = a.text and a.text == b.text or sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
-            if same and group[a.doc_id] != group[b.doc_id]:
-                lo, hi = sorted((group[a.doc_id], group[b.doc_id]))
-                group = {k: lo if v == hi else v for k, v in group.items()}
+    group = [rows[g].doc_id for g in classes([r.text for r in rows])]
     got = minhash.near_duplicates(docs).collect()
-    assert len(got) == len(rows) and all(r.component_id == group[r.doc_id] for r in got)
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((r.doc_id, g) for r, g in zip(rows, group))
     kept = minhash.keep_one(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(group.values()))
-    assert minhash.near_duplicates(none_of(spark)).count() == 0
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(group))
+    assert minhash.near_duplicates(none_of(spark)).count() == 0 and minhash.keep_one(none_of(spark)).count() == 0
+
 
+def test_near_duplicates_of_shared_and_null_ids(spark):
+    t = [" ".join(vocabulary(k, 30)) for k in (41, 42, 43)]
+    rows = [(1, t[0], "p"), (1, t[1], "p"), (1, t[1], "o"), (2, t[0], "p"), (None, t[2], "p"), (None, t[2], "p"), (3, "", "p"), (3, "", "p"), (4, None, "p"), (5, t[2] + " end", "p")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    got = sorted(map(str, map(tuple, minhash.near_duplicates(frame).collect())))
+    assert got == sorted(map(str, [(1, 1, 1)] * 3 + [(2, 1, 1), (None, 5, None), (None, 5, None), (3, 3, 3), (3, 3, 3), (4, 4, 4), (5, 5, 5)]))
+    kept = sorted(map(str, map(tuple, minhash.keep_one(frame).collect())))
+    assert kept == sorted(map(str, [rows[0], rows[2], rows[4], rows[5], rows[6], rows[7], rows[8], rows[9]]))
 
-def test_near_duplicates_of_one_form(spark):
+
+@pytest.mark.parametrize(("n", "own", "common"), [(300, 9, 204), (1000, 60, 200)])
+def test_near_duplicates_of_one_form(spark, n, own, common):
+    """Many texts of one form, just under the threshold, with pairs above it; buckets hold hundreds."""
     r, words = random.Random(21), vocabulary(22, 5000)
-    form, rows = [r.choice(words) for _ in range(204)], []
-    for i in range(300):  # two texts of a pair have similarity 0.82, all others under 0.8
-        both = [r.choice(words) for _ in range(9)]
-        rows += [(k * 300 + i, " ".join(form + both + [r.choice(words) for _ in range(22)])) for k in (0, 1)]
-    starts, sh = minhash.shingles(pa.array([t for _, t in rows], pa.large_string()))
-    sets = [set(sh[a:b].tolist()) for a, b in zip(starts, starts[1:])]
-    group = {i: i for i, _ in rows}
-    for i in range(len(rows)):
-        for j in range(i):
-            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                lo, hi = sorted((group[rows[i][0]], group[rows[j][0]]))
-                group = {k: lo if v == hi else v for k, v in group.items()}
-    assert len(set(group.values())) == 300
+    form, rows = [r.choice(words) for _ in range(common)], []
+    for i in range(n // 2 if own > 9 else n):  # the two texts of a pair are similar, all others less than 0.8
+        both = [r.choice(words) for _ in range(own)]
+        rows += [(k * n + i, " ".join(form + both + [r.choice(words) for _ in range(22)])) for k in (0, 1)]
+    rows.sort()
+    group = [rows[g][0] for g in classes([t for _, t in rows])]
+    assert len(set(group)) == len(rows) // 2
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(got) == 600 and {x.doc_id: x.component_id for x in got} == group
+    assert len(got) == len(rows) and {x.doc_id: x.component_id for x in got} == {i: g for (i, _), g in zip(rows, group)}
 
 
 def test_decontamination(spark, docs):
