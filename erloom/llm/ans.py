@@ -10,7 +10,6 @@ counts), tokens, header and payload (bytes), crc (of both). Parts follow one ano
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import chunks, scratch_dir, staged, table
+from .common import chunks, scratch_path, staged, table
 from .tokens import default_tokenizer, encoder
 
 END_ID = 0
@@ -164,7 +163,11 @@ def _blocks(kind: np.dtype, freq):
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> np.ndarray:
     """Write the ids of all docs (doc_id, text; null text: empty; other columns are ignored) to path, in ascending
-    doc_id, each document's ids followed by END_ID. Returns the shared frequency table, also kept at path/table."""
+    doc_id, each document's ids followed by END_ID. Returns the shared frequency table, also kept at path/table.
+
+    Null ids come first; rows that share an id are ordered by a hash of their ids, and equal rows stand side by side. A
+    block is as long as its last document makes it, so a very long text is one block. An empty table writes the
+    table of equal frequencies and no block."""
     spark = docs.sparkSession
     coder = encoder(tokenizer)
     kind = coder.ids.dtype
@@ -186,7 +189,8 @@ def _read(freq):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Coder(freq.value)
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):  # a row is a block
+                row = batch.slice(i, 1).to_pylist()[0]
                 if zlib.crc32(row["payload"], zlib.crc32(row["header"])) != row["crc"]:
                     raise ValueError(f"block {row['part']}/{row['block']} is damaged")
                 ids = code.decode(row["header"], row["payload"]).astype("<u4")
@@ -204,7 +208,6 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files at path, decoded and verified.
 
     Where a block starts follows from the token counts before it: summed by part, then inside each part."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     freq = np.array([r[0] for r in spark.read.parquet(f"{path}/table").orderBy("id").select("freq").collect()], dtype=np.int64)
     blocks = spark.read.parquet(f"{path}/blocks")
     parts = blocks.groupBy("part").agg(F.sum("tokens").alias("t"))
@@ -212,16 +215,11 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     place = blocks.select("part", "block", "tokens").withColumn("own", F.sum("tokens").over(W.partitionBy("part").orderBy("block")) - F.col("tokens"))
     place = place.join(before, "part").select("part", "block", (F.col("base") + F.col("own")).alias("first"))
     rows = blocks.join(place, ["part", "block"]).select("docs", "sizes", "tokens", "header", "payload", "crc", "first", "part", "block")
-    held = spark.conf.get(key)
-    spark.conf.set(key, "16")  # a row is a block
-    try:
-        return rows.mapInArrow(_read(spark.sparkContext.broadcast(freq)), "doc_id long, start long, n_tokens long, ids_crc32 long")
-    finally:
-        spark.conf.set(key, held)
+    return rows.mapInArrow(_read(spark.sparkContext.broadcast(freq)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op3_ans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the ids of all documents, each ended by id 0, and read the files back."""
-    path = f"{scratch_dir(spark)}/erloom-ans-{uuid.uuid4().hex}"
+    """Write the ids of all documents, each ended by id 0, and read the files back, which go when the process ends."""
+    path = scratch_path(spark, "ans")
     write_tokens(table(spark, sf_dir, "documents"), path, default_tokenizer())
     return read_tokens(spark, path)

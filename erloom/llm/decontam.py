@@ -21,6 +21,8 @@ MIN_MATCH = 4
 COVERAGE = 0.6
 #: Text of test items that one pass over the documents broadcasts, in characters.
 ITEM_CHARS = 4_000_000
+#: Places of seeds in test items that are laid out at once; those of one document always are.
+PLACES = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -73,20 +75,23 @@ def _equal(item: np.ndarray, doc: np.ndarray, free_a: np.ndarray, free_b: np.nda
     at: dict[int, list[int]] = {}
     for j in ib.tolist():
         at.setdefault(int(b[j]), []).append(j)
-    pairs = [(i, j) for i in ia.tolist() for j in at.get(int(a[i]), ())[: len(ia)] if (item[i : i + n] == doc[j : j + n]).all()]
+    pairs = [(i, j) for i in ia.tolist() for j in at.get(int(a[i]), ()) if (item[i : i + n] == doc[j : j + n]).all()]
     return pairs or None
 
 
 class _Items:
-    """Word arrays of test items with a sorted table of their seeds."""
+    """Word arrays of test items with a sorted table of their seeds; items shorter than a seed by the hash of all words."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         starts, codes, distinct = split_words(pa.array(texts, pa.large_string()))
         known = word_hashes(distinct)
-        self.ids, self.words = ids, []
+        self.ids, self.words, self.short = ids, [], {}
         for a, b in zip(starts[:-1], starts[1:], strict=True):
             w = known[codes[a:b]]
-            self.words.append(w[w != 0])
+            w = w[w != 0]
+            self.words.append(w)
+            if 0 < len(w) < MIN_MATCH:
+                self.short.setdefault(w.tobytes(), []).append(len(self.words) - 1)
         seeds = [running_hashes(w, MIN_MATCH) for w in self.words]
         seed = np.concatenate(seeds) if seeds else np.zeros(0, dtype=np.uint64)
         owner = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])
@@ -109,23 +114,48 @@ def find(items: _Items, texts: pa.Array, threshold: float) -> list[tuple[int, in
     if len(hit):
         inside = hit + MIN_MATCH <= ends[doc + 1]
         hit, doc = hit[inside], doc[inside]
-    found: dict[tuple[int, int], set[int]] = {}
-    lo, hi = np.searchsorted(items.seed, hashes[hit], "left"), np.searchsorted(items.seed, hashes[hit], "right")
-    for d, a, b in zip(doc.tolist(), lo.tolist(), hi.tolist(), strict=True):
-        for k in range(a, b):
-            found.setdefault((d, int(items.owner[k])), set()).add(int(items.place[k]))
     out = []
-    for (d, k), places in found.items():
-        item = items.words[k]
-        under = np.zeros(len(item), dtype=bool)
-        for p in places:
-            under[p : p + MIN_MATCH] = True
-        if under.mean() < threshold:  # tiles cover no more than seeds do
+    # a seed counts once in a document; its places in the items are laid out some documents at a time
+    new = np.unique(np.stack([doc, hashes[hit].view(np.int64)], axis=1), axis=0) if len(hit) else np.zeros((0, 2), dtype=np.int64)
+    doc, seed = new[:, 0], np.ascontiguousarray(new[:, 1]).view(np.uint64)
+    lo, hi = np.searchsorted(items.seed, seed, "left"), np.searchsorted(items.seed, seed, "right")
+    total = np.concatenate([[0], np.cumsum(hi - lo)])
+    bounds = np.append(np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])), len(doc)) if len(doc) else np.array([0])
+    at = 0
+    while at < len(bounds) - 1:
+        to = max(at + 1, int(np.searchsorted(total[bounds], total[bounds[at]] + PLACES, side="right")) - 1)
+        own = slice(bounds[at], bounds[to])
+        out += _judge(items, words, ends, doc[own], lo[own], hi[own], threshold)
+        at = to
+    if items.short:
+        n = np.diff(ends)
+        for d in np.flatnonzero((n > 0) & (n < MIN_MATCH)):
+            out += [(int(d), items.ids[k], 1.0, 1, int(n[d])) for k in items.short.get(words[ends[d] : ends[d + 1]].tobytes(), ())]
+    return out
+
+
+def _judge(items: _Items, words: np.ndarray, ends: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, threshold: float) -> list[tuple[int, int, float, int, int]]:
+    """Contaminated pairs from the seeds items.seed[lo:hi] of each document: those that seeds could cover are tiled."""
+    n = hi - lo
+    k = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+    size = np.fromiter(map(len, items.words), dtype=np.int64, count=len(items.words))
+    pair = np.repeat(doc, n) * len(size) + items.owner[k]
+    order = np.argsort(pair, kind="stable")
+    pair, place = pair[order], items.place[k[order]]
+    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, dtype=np.int64)
+    last = np.append(first[1:], len(pair))
+    which = pair[first] % len(size) if len(first) else first
+    out = []
+    for f, e, i, d in zip(*(x[(last - first) * MIN_MATCH >= threshold * size[which]].tolist() for x in (first, last, which, pair[first] // max(1, len(size)))), strict=True):
+        under = np.zeros(size[i] + 1, dtype=np.int64)
+        np.add.at(under, place[f:e], 1)
+        np.add.at(under, place[f:e] + MIN_MATCH, -1)
+        if (np.cumsum(under)[:-1] > 0).mean() < threshold:  # tiles cover no more than seeds do
             continue
-        own = tiles(item, words[ends[d] : ends[d + 1]])
-        share = sum(t[2] for t in own) / len(item)
+        own = tiles(items.words[i], words[ends[d] : ends[d + 1]])
+        share = sum(t[2] for t in own) / size[i]
         if share >= threshold:
-            out.append((d, items.ids[k], share, len(own), max(t[2] for t in own)))
+            out.append((d, items.ids[i], share, len(own), max(t[2] for t in own)))
     return out
 
 
@@ -168,7 +198,8 @@ def _blocks(benchmark: DataFrame) -> list:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE) -> DataFrame:
-    """The rows of docs, all columns, that hold no test item."""
+    """The rows of docs, all columns, that hold no test item. Null and empty texts hold none and stay; repeated rows are
+    judged alike; an empty table or benchmark removes nothing. All blocks of items run in one pass over the documents."""
     for held in _blocks(benchmark):
         docs = docs.mapInArrow(_clean(held, threshold), docs.schema)
     return docs
@@ -179,8 +210,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = COVER
     cover `threshold` or more of the words.
 
     Items go out in blocks of ITEM_CHARS characters, one pass over the documents for each, so what is broadcast
-    is bounded whatever the size of the benchmark. Null, empty and very short items (under MIN_MATCH words) and
-    null or empty documents match nothing; repeated rows are searched once each; other columns are ignored."""
+    is bounded whatever the size of the benchmark. An item of fewer than MIN_MATCH words is held by the documents that
+    have its words and no others. Null and empty items and null or empty documents match nothing; items of the same text
+    are items of their own; repeated rows are searched once each; of matches as long as each other the earlier in the
+    item goes first; other columns are ignored. An empty table or benchmark gives no rows."""
     passes = [docs.select("doc_id", "text").mapInArrow(_search(b, threshold), "doc_id long, item_id long, coverage double, n_tiles long, longest long") for b in _blocks(benchmark)]
     out = passes[0]
     for p in passes[1:]:

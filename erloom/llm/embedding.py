@@ -2,26 +2,50 @@
 
 In each pass every vector gets a key of concatenated random hashes (signs of projections), vectors are ordered
 lexicographically by key, and each is compared with a bounded window of neighbours. Verified pairs of all passes
-are united into components. Inside a component all members are then compared in square tiles, one task each, so
-the number of links is exact for every pair that shares a component, however large a dense group is."""
+are united into components. How many passes are made follows from the number of vectors, and further rounds of
+passes follow until one finds hardly a new link, since dense groups crowd the windows. Inside a dense group, found on a
+bounded sample, keys are taken from what a vector has beside the group's mean, so that they tell its members apart.
+Inside a component all members are then compared in square tiles, one task each, so the number of links is exact for
+every pair that shares a component, however large a dense group is."""
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, staged, table
+from .common import components, release, staged, table
 
 COSINE = 0.95
-PASSES, BITS, WINDOW = 24, 64, 12
+BITS, WINDOW = 64, 24
+#: Passes of a round, whose rows are ordered together.
+ROUND = 8
+#: Share of the pairs at the threshold that the planned passes show, where vectors lie at random.
+PLANNED = 0.99
+#: Further rounds are made until one adds at most this share of all links.
+SETTLED = 0.01
 SEED = 20_011
-#: Vectors on a side of a tile.
-TILE = 1024
+#: Vectors that are sampled for the means of dense groups; a group has at least LEAST of them, each at a cosine of NEAR
+#: or more to another one.
+SAMPLE, LEAST, NEAR = 2048, 8, 0.6
+#: Vectors on a side of a tile: a sixteenth of the component, inside these bounds.
+TILES, LEAST_TILE, MOST_TILE = 16, 128, 4096
+
+
+def planned_passes(n: int, window: int = WINDOW, cosine: float = COSINE) -> int:
+    """Passes that bring a pair at the threshold into a window with probability PLANNED among n random vectors.
+
+    A sign agrees with probability p = 1 - angle / pi, and with 1/2 for unrelated vectors, so neighbours in a window of
+    n sorted keys share about log2(n / window) signs, and a pass shows the pair with (n / window) ** log2(p)."""
+    p = 1 - math.acos(min(cosine, 1.0)) / math.pi
+    shown = max(1.0, n / window) ** math.log2(p)
+    return max(1, math.ceil(math.log(1 - PLANNED) / math.log(max(1e-12, 1 - min(shown, 0.999)))))
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -30,11 +54,13 @@ def _matrix(col: pa.Array) -> np.ndarray:
 
 
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Unit vectors in double precision and a digest of the raw components; none for vectors that link with nothing."""
+    """Unit vectors in double precision and a digest of the raw components; null for vectors that link with nothing."""
     for batch in batches:
-        ids, units, sums = [], [], []
-        for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist(), strict=True):
-            if i is None or not v or any(x is None for x in v):
+        units, sums = [], []
+        for v in batch.column("embedding").to_pylist():
+            units.append(None)
+            sums.append(None)
+            if not v or any(x is None for x in v):
                 continue
             x = np.array(v, dtype=np.float64)
             top = np.abs(x).max()
@@ -42,103 +68,186 @@ def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             raw = x + 0.0
             x = x / top
-            ids.append(i)
-            sums.append(hashlib.md5(raw.tobytes()).digest())
-            units.append((x / np.sqrt(x @ x)).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sums, pa.binary()), pa.array(units, pa.binary())], ["vec_id", "digest", "unit"])
+            sums[-1] = hashlib.md5(raw.tobytes()).hexdigest()
+            units[-1] = (x / np.sqrt(x @ x)).tobytes()
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(sums, pa.string()), pa.array(units, pa.binary())], ["vec_id", "digest", "unit"])
+
+
+def dense_means(units: list[bytes]) -> dict[int, np.ndarray]:
+    """By length of vector, the means of the dense groups of a sample of unit vectors: sampled vectors that hang
+    together at a cosine of NEAR or more, LEAST of them at least."""
+    out = {}
+    for size in sorted({len(u) for u in units}):
+        x = np.array([np.frombuffer(u, dtype=np.float64) for u in units if len(u) == size])
+        near = x @ x.T >= NEAR
+        group = np.arange(len(x))
+        while True:  # the smallest index that is reached
+            low = np.where(near, group[None, :], len(x)).min(axis=1)
+            if (low == group).all():
+                break
+            group = low
+        names, n = np.unique(group, return_counts=True)
+        means = [x[group == g].mean(axis=0) for g, k in zip(names, n, strict=True) if k >= LEAST]
+        if means:
+            out[size // 8] = np.array(means)
+    return out
+
+
+def _keys(first: int, passes: int, held):
+    """Keys of the passes from `first` on. One in four takes the vector itself; the others take, where it lies near the
+    mean of a dense group, the group and what the vector has beside that mean."""
 
-
-def _keys(passes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            units = batch.column("unit").to_pylist()
-            sizes = np.array([len(u) // 8 for u in units])
+            sizes = np.array([len(u) // 8 for u in batch.column("unit").to_pylist()])
             for d in np.unique(sizes):
-                at = np.flatnonzero(sizes == d)
-                own = batch.take(pa.array(at))
+                own = batch.take(pa.array(np.flatnonzero(sizes == d)))
                 if d not in planes:
-                    planes[d] = np.random.default_rng([SEED, int(d)]).standard_normal((int(d), passes * BITS))
-                signs = (_matrix(own.column("unit")) @ planes[d] > 0).reshape(len(at), passes, BITS)
-                packed = np.packbits(signs, axis=2)
+                    planes[d] = np.concatenate([np.random.default_rng([SEED, int(d), first + p]).standard_normal((int(d), BITS)) for p in range(passes)], axis=1)
+                x, group = _matrix(own.column("unit")), np.full(len(own), -1)
+                beside, means = x, held.value.get(int(d))
+                if means is not None:
+                    cos = x @ (means / np.linalg.norm(means, axis=1)[:, None]).T
+                    at = cos.argmax(axis=1)
+                    group = np.where(cos.max(axis=1) >= NEAR, at, -1)
+                    beside = np.where(group[:, None] >= 0, x - means[at], x)
                 for p in range(passes):
-                    key = [int(d).to_bytes(4, "big") + k.tobytes() for k in packed[:, p]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), p, dtype=np.int32)), pa.array(key, pa.binary()), own.column("vec_id"), own.column("unit")], ["pass", "key", "vec_id", "unit"])
+                    plain = (first + p) % 4 == 0
+                    signs = np.packbits((x if plain else beside) @ planes[d][:, p * BITS : (p + 1) * BITS] > 0, axis=1)
+                    name = np.zeros(len(own), dtype=">u4") if plain else (group + 1).astype(">u4")
+                    key = [int(d).to_bytes(4, "big") + g.tobytes() + k.tobytes() for g, k in zip(name, signs, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), p, dtype=np.int32)), pa.array(key, pa.binary()), own.column("node"), own.column("unit")], ["pass", "key", "node", "unit"])
 
     return run
 
 
+def _near(passes: np.ndarray, nodes: np.ndarray, units: list[bytes], window: int, cosine: float) -> np.ndarray:
+    """Pairs of at least `cosine` among rows at most `window` apart in one pass and of one length."""
+    found, at = [np.zeros((0, 2), dtype=np.int64)], 0
+    sizes = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+    ends = np.flatnonzero((passes[1:] != passes[:-1]) | (sizes[1:] != sizes[:-1])) + 1
+    for to in [*ends.tolist(), len(units)]:
+        m = np.frombuffer(b"".join(units[at:to]), dtype=np.float64).reshape(to - at, -1)
+        own = nodes[at:to]
+        for k in range(1, min(window, to - at - 1) + 1):
+            near = np.flatnonzero(np.einsum("ij,ij->i", m[:-k], m[k:]) >= cosine)
+            found.append(np.stack([own[near], own[near + k]], axis=1))
+        at = to
+    both = np.concatenate(found)
+    both = both[both[:, 0] != both[:, 1]]
+    return np.unique(np.sort(both, axis=1), axis=0)
+
+
 def _compare(window: int, cosine: float):
+    """Pairs (x, y), and the first and last `window` rows of the task, which neighbour those of other tasks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail: list = []
+        part, tail, seen = TaskContext.get().partitionId(), [], 0
+
+        def border(rows: list, at: int) -> pa.RecordBatch:
+            kinds = (("pass", pa.int32()), ("key", pa.binary()), ("node", pa.int64()), ("unit", pa.binary()))
+            cols = [pa.nulls(len(rows), pa.int64())] * 2 + [pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)]
+            return pa.RecordBatch.from_arrays([*cols, pa.array([(part << 8) + at] * len(rows), pa.int64())], ["x", "y", *[n for n, _ in kinds], "side"])
+
+        def pairs(both: np.ndarray) -> pa.RecordBatch:
+            none = [pa.nulls(len(both), k) for k in (pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), *none], ["x", "y", "pass", "key", "node", "unit", "side"])
+
         for batch in batches:
-            passes, ids = np.asarray(batch.column("pass")), np.asarray(batch.column("vec_id"))
-            units = batch.column("unit").to_pylist()
-            rows = tail + list(zip(passes.tolist(), ids.tolist(), units, strict=True))
-            x, y, at = [], [], 0
-            while at < len(rows):  # runs of one pass and one vector length
-                to = at
-                while to < len(rows) and rows[to][0] == rows[at][0] and len(rows[to][2]) == len(rows[at][2]):
-                    to += 1
-                m = np.frombuffer(b"".join(r[2] for r in rows[at:to]), dtype=np.float64).reshape(to - at, -1)
-                n = np.array([r[1] for r in rows[at:to]])
-                for k in range(1, min(window, to - at - 1) + 1):
-                    near = np.flatnonzero(np.einsum("ij,ij->i", m[:-k], m[k:]) >= cosine)
-                    x.append(n[near])
-                    y.append(n[near + k])
-                at = to
+            new = list(zip(*(batch.column(c).to_pylist() for c in ("pass", "key", "node", "unit")), strict=True))
+            if seen < window:
+                yield border(new[: window - seen], 0)
+            seen += len(new)
+            rows = tail + new
+            yield pairs(_near(np.array([r[0] for r in rows]), np.array([r[2] for r in rows], dtype=np.int64), [r[3] for r in rows], window, cosine))
             tail = rows[-window:]
-            a, b = (np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for v in (x, y))
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["x", "y"])
+        if seen > window:
+            yield border(tail[-min(window, seen - window) :], 1)
 
     return run
 
 
-def _tile(cosine: float):
+def _tile(cosine: float, step: int = 1024):
+    """Numbers of linked copies of a tile's members: of side 0 with side 1, or among side 0 if that is all."""
+
     def run(key, rows):
         side = np.asarray(rows.column("side"))
-        ids, n = np.asarray(rows.column("vec_id")), np.asarray(rows.column("copies"))
+        ids, n = np.asarray(rows.column("node")), np.asarray(rows.column("copies"))
         units = rows.column("unit").combine_chunks()
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         same = not len(b)
         b = a if same else b
-        close = _matrix(units.take(pa.array(a))) @ _matrix(units.take(pa.array(b))).T >= cosine
-        if same:
-            np.fill_diagonal(close, False)
-            out_ids, out = ids[a], close @ n[a]
-        else:
-            out_ids, out = np.concatenate([ids[a], ids[b]]), np.concatenate([close @ n[b], close.T @ n[a]])
-        return pa.table({"vec_id": pa.array(out_ids), "links": pa.array(out.astype(np.int64))})
+        x, y = _matrix(units.take(pa.array(a))), _matrix(units.take(pa.array(b)))
+        links_a, links_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
+        for i in range(0, len(a), step):
+            for j in range(0, len(b), step):
+                close = x[i : i + step] @ y[j : j + step].T >= cosine
+                if same:
+                    close[ids[a[i : i + step]][:, None] == ids[b[j : j + step]][None, :]] = False
+                links_a[i : i + step] += close @ n[b[j : j + step]]
+                links_b[j : j + step] += close.T @ n[a[i : i + step]]
+        out = (ids[a], links_a) if same else (np.concatenate([ids[a], ids[b]]), np.concatenate([links_a, links_b]))
+        return pa.table({"node": pa.array(out[0]), "links": pa.array(out[1])})
 
     return run
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def _linked(reps: DataFrame, n: int, cosine: float, window: int) -> DataFrame | None:
+    """Stars (node, component) of the links that passes show; None without any.
+
+    After the planned passes, each further round counts the pairs that it shows for the first time."""
+    spark = reps.sparkSession
+    sample = reps.select("unit").orderBy(F.xxhash64("node", F.lit(5)), "node").limit(SAMPLE).collect()  # bounded
+    means = dense_means([bytes(r.unit) for r in sample])
+    held = spark.sparkContext.broadcast(means)
+    plan, done, pairs, known = planned_passes(n, window, cosine), 0, None, 0
+    while True:
+        keyed = reps.select("node", "unit").mapInArrow(_keys(done, ROUND, held), "pass int, key binary, node long, unit binary")
+        ordered = keyed.repartitionByRange("pass", "key", "node").sortWithinPartitions("pass", "key", "node")
+        found = staged(ordered.mapInArrow(_compare(window, cosine), "x long, y long, pass int, key binary, node long, unit binary, side long"), "compared")
+        # window rows of each task's two ends, in one order: neighbours across the ends of tasks
+        ends = found.where("x is null").select("pass", "key", "node", "unit").repartition("pass").sortWithinPartitions("pass", "key", "node")
+        across = ends.mapInArrow(_compare(window, cosine), "x long, y long, pass int, key binary, node long, unit binary, side long").where("x is not null")
+        new = found.where("x is not null").select("x", "y").unionAll(across.select("x", "y")).distinct()
+        every = staged(new if pairs is None else new.unionAll(pairs).distinct(), "pairs")
+        release(found, *([pairs] if pairs is not None else []))
+        pairs, before, done = every, known, done + ROUND
+        known = pairs.count()
+        if done >= plan and known - before <= SETTLED * known:
+            return components(pairs, "x", "y") if known else None
+
+
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, window: int = WINDOW) -> DataFrame:
     """(vec_id, n_links, component_id) of every row of vectors (vec_id, embedding; other columns are ignored).
 
     Null, empty and zero vectors and those with null or non-finite components have no links and are components of
     their own; vectors of different lengths never link. Equal vectors are one representative with a count, so a
-    group of copies costs one vector. An empty table gives no rows."""
-    spark = vectors.sparkSession
-    rows = staged(vectors.select("vec_id", "embedding").mapInArrow(_unit, "vec_id long, digest binary, unit binary"), "vectors")
-    reps = staged(rows.groupBy("digest").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("unit").alias("unit")), "representatives")
-    keyed = reps.select("vec_id", "unit").mapInArrow(_keys(passes), "pass int, key binary, vec_id long, unit binary")
-    keyed = staged(keyed, "keys")
-    ordered = keyed.repartitionByRange("pass", "key", "vec_id").sortWithinPartitions("pass", "key", "vec_id")
-    pairs = staged(ordered.mapInArrow(_compare(window, cosine), "x long, y long").distinct(), "pairs")
-    groups = staged(components(pairs, "x", "y"), "groups")
+    group of copies costs one vector; repeated rows count as copies, and vectors that share a vec_id are rows of their
+    own. A pair at exactly `cosine` in double precision links. An empty table gives no rows."""
+    node = F.xxhash64("digest")
+    rows = staged(vectors.select("vec_id", "embedding").mapInArrow(_unit, "vec_id long, digest string, unit binary"), "vectors")
+    reps = staged(rows.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("unit").alias("unit")).select(node.alias("node"), "vec_id", "copies", "unit"), "representatives")
+    n = reps.count()
+    alone = rows.where("digest is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    groups = _linked(reps, n, cosine, window) if n else None
+    own = rows.where("digest is not null").select("vec_id", node.alias("node"))
+    if groups is None:
+        copies = reps.select("node", "copies", F.col("vec_id").alias("component_id"))
+        return own.join(copies, "node").select("vec_id", (F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).unionAll(alone)
+    groups = staged(groups, "groups")
     # members of a component in blocks, blocks in tiles
-    size = groups.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    tile = F.least(F.greatest(F.ceil(F.count("*") / TILES), F.lit(LEAST_TILE)), F.lit(MOST_TILE))
+    size = groups.groupBy("component").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))
     member = groups.join(staged(size, "sizes"), "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = member.select(F.col("node").alias("vec_id"), "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = placed.select("vec_id", "component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
-    tiles = placed.join(reps.select("vec_id", "copies", "unit"), "vec_id")
-    counts = tiles.groupBy("component", "lo", "hi").applyInArrow(_tile(cosine), "vec_id long, links long").groupBy("vec_id").agg(F.sum("links").alias("links"))
-    known = reps.select("digest", F.col("vec_id").alias("rep"), "copies")
-    found = staged(groups.select(F.col("node").alias("rep"), "component").join(counts.withColumnRenamed("vec_id", "rep"), "rep", "left"), "found")
-    all_rows = vectors.select("vec_id").join(rows.select("vec_id", "digest").distinct(), "vec_id", "left").join(known, "digest", "left").join(found, "rep", "left")
-    return all_rows.select("vec_id", (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"), F.coalesce("component", "rep", "vec_id").alias("component_id"))
+    placed = member.select("node", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = placed.select("node", "component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
+    tiles = placed.join(reps.select("node", "copies", "unit"), "node")
+    counts = tiles.groupBy("component", "lo", "hi").applyInArrow(_tile(cosine), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    first = groups.join(reps.select("node", "vec_id"), "node").groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    placed = groups.join(first, "component").join(counts, "node", "left").select("node", "component_id", "links")
+    found = staged(reps.select("node", "vec_id", "copies").join(placed, "node", "left").select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")), "found")
+    return own.join(found, "node").select("vec_id", "n_links", F.coalesce("component_id", "vec_id").alias("component_id")).unionAll(alone)
 
 
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,16 +20,17 @@ from .common import GOLDEN, chunks, split_words, table
 from .sample import bounded, held_out
 
 UNKNOWN = "und"
-#: Documents of each language that are learned from, about, and the words taken of each (from a window that a
-#: hash of the document places).
-SAMPLE_DOCS, SAMPLE_WORDS = 200, 240
+#: Documents of each language that are learned from, about, whole.
+SAMPLE_DOCS = 200
 STRETCH = 24
 BUCKETS = 1 << 15
 #: Words of a lexicon for each language: those that are at least so often and so purely its own.
 LEXICON, PURITY, LEAST_SEEN = 3000, 0.9, 3
 EPOCHS, RATE, DECAY = 5, 0.5, 1e-4
-#: Words of a sequence; a longer text is cut into sequences.
-LONGEST = 256
+#: Steps of a block: a longer sequence is run through block by block, with messages from block to block.
+BLOCK = 256
+#: Potentials are this share of the greatest of their step at least, so that no message vanishes in single precision.
+FLOOR = 1e-12
 #: A filtering stage rejects documents without letters and those of which no language has this share.
 SURE = 0.4
 
@@ -71,23 +71,31 @@ class Features:
         return np.add.reduceat(weights[self.places[:, 0]] + weights[self.places[:, 1]], self.starts[:-1], axis=0) + weights[self.words].sum(axis=1)
 
 
-def forward_backward(emit: np.ndarray, trans: np.ndarray, lengths: np.ndarray, switches: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def _potentials(emit: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    e = np.maximum(np.exp(emit - emit.max(axis=-1, keepdims=True)), FLOOR)
+    return e, np.maximum(np.exp(trans - trans.max()), FLOOR).astype(emit.dtype)
+
+
+def forward_backward(emit: np.ndarray, trans: np.ndarray, lengths: np.ndarray, switches: bool = True, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of (sequences, steps, labels) scores, and the expected transitions summed over all sequences.
 
-    Sequences end at their lengths; steps beyond have marginals of 0. Without `switches` the transitions aren't summed."""
+    Sequences end at their lengths; steps beyond have marginals of 0. Without `switches` the transitions aren't summed.
+    `before` and `after` (sequences, labels) are messages from what precedes and follows a sequence."""
     s, t, k = emit.shape
-    e = np.exp(emit - emit.max(axis=2, keepdims=True))
-    m = np.exp(trans - trans.max()).astype(emit.dtype)
+    e, m = _potentials(emit, trans)
     live = np.arange(t)[None, :] < lengths[:, None]
     alpha, beta = np.empty_like(e), np.ones_like(e)
-    alpha[:, 0] = e[:, 0] / e[:, 0].sum(axis=1, keepdims=True)
+    alpha[:, 0] = e[:, 0] if before is None else e[:, 0] * before
+    alpha[:, 0] /= alpha[:, 0].sum(axis=1, keepdims=True)
     for i in range(1, t):
         a = (alpha[:, i - 1] @ m) * e[:, i]
         alpha[:, i] = a / a.sum(axis=1, keepdims=True)
+    last = np.ones((s, k), dtype=e.dtype) if after is None else after.astype(e.dtype)
+    beta[:, t - 1] = last
     for i in range(t - 2, -1, -1):
         b = (beta[:, i + 1] * e[:, i + 1]) @ m.T
         b /= b.sum(axis=1, keepdims=True)
-        beta[:, i] = np.where(live[:, i + 1, None], b, 1.0)
+        beta[:, i] = np.where(live[:, i + 1, None], b, last)
     p = alpha * beta
     p /= p.sum(axis=2, keepdims=True)
     pairs = np.zeros((k, k))
@@ -98,6 +106,43 @@ def forward_backward(emit: np.ndarray, trans: np.ndarray, lengths: np.ndarray, s
     return p * live[:, :, None], pairs
 
 
+def long_marginals(emit: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Marginals (steps, labels) of one long sequence of scores, the same as in one run of forward_backward.
+
+    All blocks are run through side by side: each block's product of potentials carries a message over it, so the
+    messages at its two ends are known before the steps inside are."""
+    t, k = emit.shape
+    blocks = -(-t // BLOCK)
+    grid = np.zeros((blocks * BLOCK, k), dtype=emit.dtype)
+    grid[:t] = emit
+    grid = grid.reshape(blocks, BLOCK, k)
+    e, m = _potentials(grid, trans)
+    over = np.repeat(np.eye(k, dtype=emit.dtype)[None], blocks, axis=0)
+    for i in range(BLOCK):
+        over = (over @ m) * e[:, i, None, :]
+        over /= over.sum(axis=(1, 2), keepdims=True)
+    before, after = np.ones((blocks, k), dtype=emit.dtype), np.ones((blocks, k), dtype=emit.dtype)
+    at = e[0, 0]
+    for i in range(1, BLOCK):  # the first block begins with no transition
+        at = (at / at.sum() @ m) * e[0, i]
+    for b in range(1, blocks):
+        at = at / at.sum()
+        before[b] = at @ m
+        at = at @ over[b]
+    lengths = np.full(blocks, BLOCK)
+    lengths[-1] = t - (blocks - 1) * BLOCK
+    at = np.ones(k, dtype=emit.dtype)
+    for i in range(lengths[-1] - 1, -1, -1):
+        at = m @ (e[-1, i] * at)
+        at /= at.sum()
+    for b in range(blocks - 2, -1, -1):
+        after[b] = at
+        at = over[b] @ at
+        at /= at.sum()
+    p, _ = forward_backward(grid, trans, lengths, switches=False, before=before, after=after)
+    return p.reshape(-1, k)[:t]
+
+
 class Model:
     def __init__(self, labels: list[str], lexicon: dict[str, int], weights: np.ndarray, trans: np.ndarray):
         self.labels, self.lexicon, self.weights, self.trans = labels, lexicon, weights, trans
@@ -126,19 +171,17 @@ class Model:
         ends = np.concatenate([[0], np.cumsum(keep)])[starts]
         word = to[codes[keep]]
         n = np.diff(ends)
-        doc = np.repeat(np.arange(len(n)), n)
-        at = np.arange(len(word)) - ends[doc]
-        # sequences of LONGEST words at most, of like lengths together
-        first = np.flatnonzero(at % LONGEST == 0)
-        lengths = np.diff(np.append(first, len(word)))
         sums = np.zeros((len(n), len(self.labels)))
-        order = np.argsort(lengths, kind="stable")
-        for i in range(0, len(order), 1024):
-            own = order[i : i + 1024]
-            t = int(lengths[own].max())
-            grid = np.minimum(first[own][:, None] + np.arange(t)[None, :], len(word) - 1)
-            p, _ = forward_backward(emit[word[grid]], self.trans, lengths[own], switches=False)
-            np.add.at(sums, doc[first[own]], p.sum(axis=1))
+        for d in np.flatnonzero(n > BLOCK):
+            sums[d] = long_marginals(emit[word[ends[d] : ends[d + 1]]], self.trans).sum(axis=0)
+        # the others, of like lengths together
+        short = np.flatnonzero((n > 0) & (n <= BLOCK))
+        short = short[np.argsort(n[short], kind="stable")]
+        for i in range(0, len(short), 1024):
+            own = short[i : i + 1024]
+            grid = np.minimum(ends[own][:, None] + np.arange(n[own].max())[None, :], len(word) - 1)
+            p, _ = forward_backward(emit[word[grid]], self.trans, n[own], switches=False)
+            sums[own] = p.sum(axis=1)
         best = np.where(n > 0, sums.argmax(axis=1), -1)
         return best, np.where(n > 0, sums.max(axis=1) / np.maximum(n, 1), 0.0), sums
 
@@ -147,11 +190,10 @@ def train(rows: list[tuple[int, str, str]]) -> Model | None:
     """Model from (doc_id, text, language); None if no row has a word. Stochastic gradient (AdaGrad) on the
     log-likelihood of whole label sequences."""
     docs: list[tuple[str, list[str]]] = []
-    for doc_id, text, lang in sorted(rows, key=lambda r: r[0]):
+    for _, text, lang in sorted(rows):
         words = [w for w in map(_letters, (text or "").split()) if w]
-        at = xxhash.xxh32_intdigest(str(doc_id)) % max(1, len(words) - SAMPLE_WORDS + 1)
         if words:
-            docs.append((lang, words[at : at + SAMPLE_WORDS]))
+            docs.append((lang, words))
     if not docs:
         return None
     labels = sorted({d[0] for d in docs})
@@ -239,8 +281,9 @@ def _predict(held):
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, lang_pred, score) of every row of docs (doc_id, text; other columns are ignored); score is the
-    expected share of words in lang_pred. A text that is null or has no letter is `und` with score 0, as is every
-    text if there was nothing to learn from."""
+    expected share of words in lang_pred, of languages that tie the first by name. A text that is null or has no letter
+    is `und` with score 0, as is every text if there was nothing to learn from. Repeated rows are scored once each, a
+    text of any length is one sequence, and an empty table gives no rows."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select("doc_id", "text").mapInArrow(_predict(held), _SCHEMA)
 
@@ -260,11 +303,13 @@ def _keep(held, sure: float):
 
 
 def keep_identified(docs: DataFrame, model: Model | None, sure: float = SURE) -> DataFrame:
-    """The rows of docs, all columns, whose language is identified; all of them if there was nothing to learn from."""
+    """The rows of docs, all columns, whose language is identified; all of them if there was nothing to learn from.
+    Null and empty texts and those without a letter go; repeated rows are judged once each, alike."""
     return docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(model), sure), docs.schema)
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from a bounded sample outside the held-out fold; see identify()."""
     docs = table(spark, sf_dir, "documents")
     out = identify(docs, fit(docs))
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

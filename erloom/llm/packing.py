@@ -65,12 +65,12 @@ def _inverse(a: np.ndarray) -> np.ndarray:
     return w[:, m:]
 
 
-def cutting_stock(demand: np.ndarray, capacity: int, rounds: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+def cutting_stock(demand: np.ndarray, capacity: int, rounds: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """(patterns, repetitions): rows of counts by size 1..capacity, together covering demand exactly.
 
     Revised simplex with generated columns; the start has one pattern for each wanted size. The inverse of the
     basis is updated in place and computed anew now and then. Rounding leaves less than one item for each place
-    of a pattern; those items go first-fit decreasing, once each."""
+    of a pattern; those items go first-fit decreasing, once each. Raises if the program isn't solved in `rounds`."""
     wanted = np.flatnonzero(demand > 0)
     if not len(wanted):
         return np.zeros((0, len(demand)), dtype=np.int64), np.zeros(0, dtype=np.int64)
@@ -98,6 +98,8 @@ def cutting_stock(demand: np.ndarray, capacity: int, rounds: int = 4000) -> tupl
             inverse = inverse - np.outer(d, row)
             inverse[out] = row
         x = inverse @ b
+    else:
+        raise RuntimeError(f"column generation didn't end in {rounds} rounds")
     times = np.floor(np.maximum(x, 0) + 1e-9).astype(np.int64)
     patterns = np.zeros((m, len(demand)), dtype=np.int64)
     patterns[:, wanted] = np.rint(basis.T).astype(np.int64)
@@ -154,13 +156,15 @@ def _ranked(rows: DataFrame, by: str, part: str, order: list[str], size: str) ->
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END_ID) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece of docs (doc_id, text).
 
-    A null or empty text is its end id alone. Equal rows are packed once each. An empty table gives no rows;
+    A null or empty text is its end id alone; a text of any length is cut into whole sequences and one rest. Equal rows
+    and rows that share an id are packed once each; lengths that tie go in any order. An empty table gives no rows;
     other columns are ignored. The plan that reaches the executors has at most a few rows for each size class."""
     spark = docs.sparkSession
     kept = docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, length, end), "doc_id long, n long, sums array<long>, full long, rest long, class int")
-    kept = staged(kept, "lengths")
+    # a number of its own is written with each row, so that rows of one id, or equal ones, are dealt over all parts
+    kept = staged(kept.withColumn("salt", F.monotonically_increasing_id()), "lengths")
     parts = max(64, -(-kept.count() // RANK_ROWS))
-    kept = kept.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
+    kept = kept.withColumn("part", F.pmod(F.xxhash64("doc_id", "salt"), F.lit(parts))).drop("salt")
     order = ["doc_id", "n", F.col("sums")[0]]
 
     # whole sequences: numbered through all documents

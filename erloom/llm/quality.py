@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, split_words, table
-from .sample import held_out
+from .sample import held_out, sampled
 
 #: Rows that are learned from, about: trusted positives and unlabelled documents.
 POSITIVES, UNLABELLED = 4000, 6000
-STEPS, RATE, DECAY = 1500, 0.1, 1e-5
+STEPS, RATE = 1500, 0.1
+#: Weight decay of the scorer, and of the rankers that the prior is estimated from.
+DECAY, RANKER_DECAY = 1e-5, 1e-2
 BINS = 12
 CUT = 0.3
 STATS = ("words", "chars_per_word", "upper", "marked", "marks_only", "digits", "distinct", "commonest", "lines", "distinct_lines", "ends", "capital", "plain", "short", "other")
@@ -117,35 +119,54 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(u[best] / p[best], 0.02, 0.98))
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray) -> Scorer | None:
-    """Scorer from the statistics of both samples; None if either is too small to halve."""
-    if len(positive) < 4 or len(unlabelled) < 4:
-        return None
-    ranker = Scorer(np.concatenate([positive[::2], unlabelled[::2]]))
-    bp, bu = ranker.bins(positive[::2]), ranker.bins(unlabelled[::2])
+def _ranker(positive: np.ndarray, unlabelled: np.ndarray) -> Scorer:
+    """Positive against unlabelled, by the logistic loss."""
+    ranker = Scorer(np.concatenate([positive, unlabelled]))
+    p, u = ranker.bins(positive), ranker.bins(unlabelled)
 
     def against() -> np.ndarray:
-        return ranker.pull(bp, (_sigmoid(ranker.margin(bp)) - 1) / len(bp)) + ranker.pull(bu, _sigmoid(ranker.margin(bu)) / len(bu)) + np.append(DECAY * ranker.weights, 0)
+        g = ranker.pull(p, (_sigmoid(ranker.margin(p)) - 1) / len(p)) + ranker.pull(u, _sigmoid(ranker.margin(u)) / len(u))
+        return g + np.append(RANKER_DECAY * ranker.weights, 0)
 
     ranker.minimise(against)
+    return ranker
+
+
+def train(positive: np.ndarray, unlabelled: np.ndarray) -> Scorer | None:
+    """Scorer from the statistics of both samples; None if either is too small to halve."""
+    if len(positive) < 4 or len(unlabelled) < 4:
+        return None
+    halves = [(x[::2], x[1::2]) for x in (positive, unlabelled)]
     model = Scorer(np.concatenate([positive, unlabelled]))
-    model.prior = pi = estimate_prior(ranker.score(positive[1::2]), ranker.score(unlabelled[1::2]))
+    # each half is ranked by what the other half taught
+    priors = []
+    for k in (0, 1):
+        ranker = _ranker(halves[0][k], halves[1][k])
+        priors.append(estimate_prior(ranker.score(halves[0][1 - k]), ranker.score(halves[1][1 - k])))
+    model.prior = pi = float(np.mean(priors))
     p, u = model.bins(positive), model.bins(unlabelled)
 
-    def risk() -> np.ndarray:
-        zp, zu = model.margin(p), model.margin(u)
-        negative = np.logaddexp(0, zu).mean() - pi * np.logaddexp(0, zp).mean()  # the negatives' part of the risk
-        g = model.pull(u, _sigmoid(zu) / len(zu)) - model.pull(p, pi * _sigmoid(zp) / len(zp))
-        if negative < 0:
-            g = -g
-        else:
-            g = g + model.pull(p, pi * (_sigmoid(zp) - 1) / len(zp))
-        return g + np.append(DECAY * model.weights, 0)
-
-    model.minimise(risk)
+    model.minimise(lambda: step(model, p, u, pi))
     return model
 
 
+def risk(model: Scorer, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float]:
+    """(positives' part, negatives' part) of the unbiased risk under the logistic loss, from the bins of both samples."""
+    zp, zu = model.margin(p), model.margin(u)
+    return prior * np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+
+
+def step(model: Scorer, p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """Gradient of the non-negative risk: that of both parts, or against the negatives' part where it is below zero."""
+    zp, zu = model.margin(p), model.margin(u)
+    g = model.pull(u, _sigmoid(zu) / len(zu)) - model.pull(p, prior * _sigmoid(zp) / len(zp))
+    if risk(model, p, u, prior)[1] < 0:
+        g = -g
+    else:
+        g = g + model.pull(p, prior * (_sigmoid(zp) - 1) / len(zp))
+    return g + np.append(DECAY * model.weights, 0)
+
+
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, texts in chunks(batch):
@@ -153,18 +174,18 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rows.column("positive"), pa.array(list(s), pa.list_(pa.float64()))], ["positive", "stats"])
 
 
-def _some(ids: DataFrame, rows: int) -> DataFrame:
-    """About `rows` of the ids, by a hash."""
-    rate = min(1.0, rows / max(1, ids.count()))
-    return ids.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(rate * 1_000_000)).limit(2 * rows)
+def _some(ids: DataFrame, rows: int, salt: int) -> DataFrame:
+    """About `rows` of the ids, by a hash: the same ones however they are dealt out."""
+    return ids.where(sampled("doc_id", rows / max(1, ids.count()), salt))
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Scorer | None:
-    """Learn from rows outside the held-out fold: documents that labels trusts, and documents without a label."""
-    trusted = _some(labels.where((F.col("quality") == 1) & ~held_out()).select("doc_id"), positives)
-    web = _some(docs.where(~held_out()).select("doc_id"), 2 * unlabelled)
-    known = labels.join(F.broadcast(web), "doc_id", "left_semi").select("doc_id")
-    web = web.join(known, "doc_id", "left_anti").limit(unlabelled)
+    """Learn from rows outside the held-out fold: documents that labels trusts, and documents without a label. Rows with
+    a null doc_id are never learned from; an id that repeats counts once for each of its texts."""
+    trusted = _some(labels.where((F.col("quality") == 1) & ~held_out()).select("doc_id").distinct(), positives, 11)
+    web = _some(docs.where(~held_out()).select("doc_id"), 2 * unlabelled, 11)
+    known = labels.join(F.broadcast(web), "doc_id", "left_semi").select("doc_id")  # web is a bounded sample
+    web = _some(web.distinct().join(known, "doc_id", "left_anti"), unlabelled, 12)
     chosen = trusted.select("doc_id", F.lit(True).alias("positive")).unionAll(web.select("doc_id", F.lit(False).alias("positive")))
     chosen = docs.sparkSession.createDataFrame(chosen.collect(), "doc_id long, positive boolean")  # bounded by both samples
     held = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "positive").mapInArrow(_measure, "positive boolean, stats array<double>").collect()
@@ -187,11 +208,13 @@ def _score(held):
 
 def score(docs: DataFrame, model: Scorer | None) -> DataFrame:
     """(doc_id, score) of every row of docs (doc_id, text; other columns are ignored). A null text counts as empty;
-    empty texts are scored by their statistics, all zero; with nothing to learn from every score is 0.5."""
+    empty texts are scored by their statistics, all zero; with nothing to learn from every score is 0.5. Equal texts
+    have equal scores, repeated rows are scored once each, and an empty table gives no rows."""
     return docs.select("doc_id", "text").mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, score double")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from trusted positives and unlabelled documents; see score()."""
     docs = table(spark, sf_dir, "documents")
     out = score(docs, fit(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

@@ -12,7 +12,7 @@ from .langid import op1_langid
 from .minhash import op7_minhash
 from .packing import op10_packing
 from .quality import op2_quality
-from .secrets import ACCESS, ASSIGN, HEX, TOKEN, TOKEN_DIGITS, TOKEN_DISTINCT, TOKEN_LETTERS, WIDE_OWNERS, op9_secrets
+from .secrets import ACCESS, ASSIGN, HEX, TOKEN, TOKEN_DIGITS, TOKEN_DISTINCT, TOKEN_LETTERS, WIDE_OWNERS, WIDE_REPOSITORIES, op9_secrets
 from .sharding import LEAST_BUCKETS, SLOT_ROWS, op4_sharding
 
 
@@ -52,12 +52,12 @@ _TOKEN_LIKE = f"length(regexp_replace(v, '[^0-9]', '', 'g')) >= {TOKEN_DIGITS} A
 
 ORACLES = {
     "op9_secrets": f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repo FROM documents),
 base AS (SELECT * FROM ({_kind(0, "assign", ASSIGN, 2, "length(v) >= 6")}) UNION ALL SELECT * FROM ({_kind(1, "access", ACCESS, 1, "true")}) UNION ALL SELECT * FROM ({_kind(2, "hex", HEX, 1, "true")})),
 loose AS (SELECT * FROM ({_kind(3, "token", TOKEN, 1, _TOKEN_LIKE)}) x WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = x.r AND b.s < x.e AND x.s < b.e)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM loose),
-own AS (SELECT v, count(DISTINCT owner) AS owners FROM every JOIN d USING (r) GROUP BY v),
-judged AS (SELECT e.*, owners < {WIDE_OWNERS} AS live FROM every e JOIN own USING (v) WHERE k < 3 OR owners < {WIDE_OWNERS})
+own AS (SELECT v, count(DISTINCT owner) < {WIDE_OWNERS} AND count(DISTINCT repo) < {WIDE_REPOSITORIES} AS live FROM every JOIN d USING (r) GROUP BY v),
+judged AS (SELECT e.*, live FROM every e JOIN own USING (v) WHERE k < 3 OR live)
 SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
        sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (WHERE k < 3), '')) AS base_sha256,
        coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (WHERE k IS NOT NULL), '') AS spans,
@@ -74,9 +74,10 @@ it(h, n, b, k, j) AS (
   UNION ALL
   SELECT h, n, j, {_JUMPED}, floor((j + 1) * (2147483648.0::DOUBLE / (({_JUMPED}) // 8589934592 + 1)::DOUBLE))::BIGINT
   FROM it WHERE j < n),
-s AS (SELECT h, max(b) FILTER (WHERE n = 40) AS shard, max(b) FILTER (WHERE n = 41) AS grown_shard FROM it WHERE j >= n GROUP BY h)
-SELECT doc_id, size, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(d.t)), '..'), lambda x: ('0x' || x)::BIGINT),
-         lambda c, b: xor(c >> 8, tab.t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32, 'key' AS law, shard::INTEGER AS shard, grown_shard::INTEGER AS grown_shard,
-       row_number() OVER (PARTITION BY shard ORDER BY h % greatest({LEAST_BUCKETS}, ((SELECT count(*) FROM d) + {40 * SLOT_ROWS - 1}) // {40 * SLOT_ROWS}), doc_id, size) - 1 AS slot
-FROM d JOIN s USING (h), tab""",
+s AS (SELECT h, max(b) FILTER (WHERE n = 40) AS shard, max(b) FILTER (WHERE n = 41) AS grown_shard FROM it WHERE j >= n GROUP BY h),
+c AS (SELECT doc_id, size, h, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(d.t)), '..'), lambda x: ('0x' || x)::BIGINT),
+         lambda c, b: xor(c >> 8, tab.t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32 FROM d, tab)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard, grown_shard::INTEGER AS grown_shard,
+       row_number() OVER (PARTITION BY shard ORDER BY (h + size + text_crc32) % greatest({LEAST_BUCKETS}, ((SELECT count(*) FROM d) + {40 * SLOT_ROWS - 1}) // {40 * SLOT_ROWS}), doc_id, size, text_crc32) - 1 AS slot
+FROM c JOIN s USING (h)""",
 }

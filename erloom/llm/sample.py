@@ -14,13 +14,16 @@ def held_out(key: Column | str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.encode(key.cast("string"), "utf-8")) % FOLDS == 0, F.lit(True))
 
 
-def bounded(rows: DataFrame, label: str, per_label: int, most_labels: int = 200) -> DataFrame:
-    """About per_label rows of each label, picked by a hash of doc_id, most_labels of the commonest labels at most.
+def sampled(key: str, rate: float, salt: int) -> Column:
+    """True for about `rate` of the keys: those whose hash is below that share of 63 bits. The same keys wherever they lie."""
+    return F.shiftrightunsigned(F.xxhash64(key, F.lit(salt)), 1) < F.lit(min(int(rate * 2.0**63), 2**63 - 1))
 
-    Rates come from counts over all rows; rows are then kept one by one, with no shuffle of texts."""
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()
+
+def bounded(rows: DataFrame, label: str, per_label: int) -> DataFrame:
+    """About per_label rows of each label, picked by a hash of doc_id.
+
+    Rates come from counts over all rows, one for each label; rows are then kept one by one, with no shuffle of texts."""
     keep = F.lit(False)
-    for value, n in counts:
-        rate = min(1.0, per_label / n)
-        keep = keep | ((F.col(label) == value) & (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(rate * 1_000_000)))
-    return rows.where(keep).limit(2 * per_label * max(1, len(counts)))
+    for value, n in rows.groupBy(label).count().orderBy(label).collect():
+        keep = keep | ((F.col(label) == value) & sampled("doc_id", per_label / n, 7))
+    return rows.where(keep)

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import staged, table
 
 #: Rows of a shard that are numbered by one task, about.
 SLOT_ROWS = 100_000
@@ -41,10 +41,13 @@ def stable_key(col: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def jump_shard(key: Column, shards: int) -> Column:
-    @F.pandas_udf(T.IntegerType())
-    def of(k: pd.Series) -> pd.Series:
-        return pd.Series(jump(k.to_numpy(), shards).astype("int32"))
+def jump_shards(key: Column, shards: int) -> Column:
+    """struct(shard, grown_shard): the shard of each key among `shards`, and among one more."""
+
+    @F.pandas_udf(T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("grown_shard", T.IntegerType())]))
+    def of(k: pd.Series) -> pd.DataFrame:
+        keys = k.to_numpy()
+        return pd.DataFrame({"shard": jump(keys, shards).astype("int32"), "grown_shard": jump(keys, shards + 1).astype("int32")})
 
     return of(key)
 
@@ -52,14 +55,19 @@ def jump_shard(key: Column, shards: int) -> Column:
 def shard(df: DataFrame, key: str, shards: int, payload: list[Column]) -> DataFrame:
     """(key, payload, shard, slot, grown_shard) of every row; slot numbers a shard's rows from 0 without gaps.
 
-    Rows are numbered inside sub-buckets of a shard, so that no task holds a whole shard; sub-bucket sizes are
-    summed into offsets (one row for each shard and sub-bucket). Equal rows are interchangeable. An empty
-    table gives no rows; extra columns are ignored; a null key is a key like any other."""
+    Rows are numbered inside sub-buckets of a shard, dealt by key and payload, so that no task holds a whole shard or
+    all rows of a hot key; sub-bucket sizes are summed into offsets (one row for each shard and sub-bucket). Rows equal
+    in key and payload are interchangeable. An empty table gives no rows; extra columns are ignored; a null key is a key
+    like any other. The payload, whole numbers, and the shards are computed once and written, so texts are read once."""
     names = [df.select(c).columns[0] for c in payload]
-    buckets = max(LEAST_BUCKETS, -(-df.count() // (shards * SLOT_ROWS)))
     h = stable_key(F.col(key))
-    rows = df.select(F.col(key), *payload, h.alias("_h"))
-    rows = rows.select("*", jump_shard(F.col("_h"), shards).alias("shard"), jump_shard(F.col("_h"), shards + 1).alias("grown_shard"), (F.col("_h") % buckets).alias("_b"))
+    rows = df.select(F.col(key), *payload, h.alias("_h")).withColumn("_s", jump_shards(F.col("_h"), shards))
+    rows = staged(rows.select(F.col(key), *names, "_h", "_s.shard", "_s.grown_shard"), "shards")
+    buckets = max(LEAST_BUCKETS, -(-rows.count() // (shards * SLOT_ROWS)))
+    mixed = F.col("_h")
+    for name in names:
+        mixed = mixed + F.coalesce(F.col(name).cast("long"), F.lit(0))
+    rows = rows.withColumn("_b", F.pmod(mixed, F.lit(buckets))).drop("_h")
     at = ["shard", "_b"]
     sizes = rows.groupBy(*at).count()
     base = sizes.select(*at, (F.sum("count").over(W.partitionBy("shard").orderBy("_b")) - F.col("count")).alias("_base"))

@@ -77,6 +77,75 @@ def test_forward_backward_by_enumeration():
     assert np.allclose(p[0], want / z) and np.allclose(pairs, both / z)
 
 
+def test_long_sequences_are_one_chain():
+    rng = np.random.default_rng(5)
+    trans = rng.normal(size=(3, 3)) * 2
+    for t in (257, 512, 700, 1025):
+        emit = rng.normal(size=(t, 3))
+        whole, _ = langid.forward_backward(emit[None], trans, np.array([t]), switches=False)
+        assert np.allclose(langid.long_marginals(emit, trans), whole[0])
+    sharp = np.zeros((1, 300, 2), dtype=np.float32)  # labels that rule each other out, and no way between them
+    sharp[0, ::2, 0], sharp[0, 1::2, 1] = 500, 500
+    p, _ = langid.forward_backward(sharp, np.array([[0.0, -500], [-500, 0]]), np.array([300]))
+    assert np.isfinite(p).all() and np.allclose(p.sum(axis=2), 1, atol=1e-3)
+
+
+def accuracy(spark, folder):
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    lang = langid.identify(docs, langid.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").where(langid.held_out() & langid.F.col("lang").isNotNull()).toPandas()
+    model = quality.fit(docs, labels)
+    good = quality.score(docs, model).join(labels, "doc_id").where(quality.held_out()).toPandas()
+    return lang, good
+
+
+def test_held_out_accuracy(spark):
+    """On rows that were never learned from."""
+    lang, good = accuracy(spark, "/root/testdata/sf0.01")
+    assert len(lang) > 150 and (lang["lang"] == lang["lang_pred"]).mean() >= 0.98
+    s, y = good["score"].to_numpy(), good["quality"].to_numpy()
+    above = (s[y == 1][:, None] > s[y == 0][None, :]).mean()
+    passed = s >= quality.CUT
+    assert above >= 0.97 and y[passed].mean() >= 0.95 and passed[y == 1].mean() >= 0.95
+
+
+def test_non_negative_risk_by_finite_differences():
+    rng = np.random.default_rng(12)
+    model = quality.Scorer(rng.normal(size=(200, len(quality.STATS))))
+    model.weights, model.bias = rng.normal(size=len(model.weights)) * 0.3, 0.2
+    p, u = (model.bins(rng.normal(size=(n, len(quality.STATS)))) for n in (40, 70))
+    for prior, part in ((0.3, "both"), (0.95, "negative")):
+        if part == "negative":  # weights that separate the samples push the negatives' part below zero
+            model.weights = np.zeros(len(model.weights))
+            np.add.at(model.weights, p.reshape(-1), 0.4)
+            model.bias = -6.0
+        pos, neg = quality.risk(model, p, u, prior)
+        assert (neg < 0) == (part == "negative")
+        g = quality.step(model, p, u, prior)
+        value = lambda: (lambda a, b: (a + b if part == "both" else -b) + quality.DECAY * (model.weights**2).sum() / 2)(*quality.risk(model, p, u, prior))
+        for i in rng.choice(len(model.weights), 12, replace=False):
+            held = model.weights[i]
+            model.weights[i] = held + 1e-5
+            up = value()
+            model.weights[i] = held - 1e-5
+            down = value()
+            model.weights[i] = held
+            assert abs((up - down) / 2e-5 - g[i]) < 1e-5
+
+
+def test_quality_tables(spark):
+    r, words = random.Random(4), vocabulary(5)
+    rows = [(i, " ".join(r.choice(words) for _ in range(40)) + ".") for i in range(60)] + [(100 + i, "BUY!! " * 30) for i in range(40)] + [(300, None), (301, ""), (302, "x " * 200_000), (None, "text of none"), (1, "again")]
+    docs = spark.createDataFrame([(*x, "q", 1) for x in rows], "doc_id long, text string, positive string, quality int")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 60, 2)] + [(None, 1, 0), (100, 0, 1)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    got = quality.score(docs, model).collect()
+    assert len(got) == len(rows) and all(0 <= x.score <= 1 for x in got)
+    by_id = {x.doc_id: x.score for x in got}
+    assert by_id[101] < by_id[3] and len({by_id[i] for i in range(100, 140)}) == 1 and by_id[300] == by_id[301]
+    assert quality.fit(docs.where("false"), labels.where("false")) is None
+    assert quality.score(docs.where("false"), model).count() == 0 and quality.score(docs, None).where("score <> 0.5").count() == 0
+
+
 def test_quality():
     rng = np.random.default_rng(1)
     good, bad = rng.normal(1, 0.3, (900, len(quality.STATS))), rng.normal(-1, 0.3, (300, len(quality.STATS)))
@@ -117,6 +186,21 @@ def test_ans_files(spark, docs, tmp_path):
     assert got == sorted(want)
 
 
+def test_ans_of_no_rows(spark, tmp_path):
+    ans.write_tokens(none_of(spark), str(tmp_path / "t"), default_tokenizer())
+    assert ans.read_tokens(spark, str(tmp_path / "t")).count() == 0
+
+
+def test_ans_damage_is_seen(spark, docs, tmp_path):
+    ans.write_tokens(docs, str(tmp_path / "t"), default_tokenizer())
+    blocks = spark.read.parquet(str(tmp_path / "t/blocks"))
+    damaged = blocks.withColumn("header", ans.F.concat("header", ans.F.lit(b"x")))
+    damaged.write.parquet(str(tmp_path / "u/blocks"))
+    spark.read.parquet(str(tmp_path / "t/table")).write.parquet(str(tmp_path / "u/table"))
+    with pytest.raises(Exception, match="damaged"):
+        ans.read_tokens(spark, str(tmp_path / "u")).collect()
+
+
 def test_sharding(spark, docs):
     from pyspark.sql import functions as F
 
@@ -164,6 +248,40 @@ def test_near_vectors(spark):
     assert {got[i].component_id for i in range(40, 70)} == {40} and {got[i].component_id for i in range(100, 104)} == {100}
 
 
+def test_near_vectors_of_shared_ids_and_repeats(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, a, "n"), (1, b, "n"), (2, b, "n"), (2, b, "n"), (None, a, "n"), (3, [0.99, 0.01, 0.0], "n"), (4, [2.0, 0.0, 0.0], "n")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, node string")
+    got = sorted(map(str, map(tuple, embedding.near_vectors(frame).collect())))
+    assert got == sorted(map(str, [(1, 3, 1), (1, 2, 1), (2, 2, 1), (2, 2, 1), (None, 3, 1), (3, 3, 1), (4, 3, 1)]))
+    assert embedding.near_vectors(frame.where("false")).count() == 0
+    apart = embedding.near_vectors(frame.where("vec_id = 2 or vec_id = 4")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in apart) == [(2, 1, 2), (2, 1, 2), (4, 0, 4)]
+
+
+def test_planned_passes_grow_with_the_vectors():
+    assert embedding.planned_passes(100) < embedding.planned_passes(10**5) < embedding.planned_passes(10**8) < 200
+
+
+@pytest.mark.parametrize("share", [0.0, 0.4])
+def test_recall_of_planted_pairs(spark, share):
+    """Pairs at 0.955 among random vectors, and inside a dense group whose members don't link otherwise."""
+    rng, n, d = np.random.default_rng(7), 6000, 64
+    x = rng.normal(size=(n, d))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    g = int(n * share)
+    middle = rng.normal(size=d)
+    x[:g] = np.sqrt(0.8) * middle / np.linalg.norm(middle) + np.sqrt(0.2) * x[:g]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    src = np.arange(0, 600) if g else np.arange(3000, 3600)
+    o = rng.normal(size=(600, d))
+    o -= (o * x[src]).sum(axis=1)[:, None] * x[src]
+    y = 0.955 * x[src] + np.sqrt(1 - 0.955**2) * o / np.linalg.norm(o, axis=1)[:, None]
+    rows = [(i, v) for i, v in enumerate(np.concatenate([x, y]).tolist())]
+    got = {r.vec_id: r.component_id for r in embedding.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).collect()}
+    assert np.mean([got[int(a)] == got[n + k] for k, a in enumerate(src)]) >= 0.97
+
+
 def test_weighted_signatures():
     rng = np.random.default_rng(6)
     a = rng.integers(0, 2**63, 300).astype(np.uint64)
@@ -240,6 +358,63 @@ def test_decontamination(spark, docs):
     assert decontam.tiles(np.arange(12, dtype=np.uint64), np.concatenate([np.arange(6, 12), [99], np.arange(6)]).astype(np.uint64)) == [(0, 7, 6), (6, 0, 6)]
 
 
+def naive_tiles(item, doc, least):
+    """Greedy string tiling word by word."""
+    a, b, out = [True] * len(item), [True] * len(doc), []
+    while True:
+        best, found = least - 1, []
+        for i in range(len(item)):
+            for j in range(len(doc)):
+                n = 0
+                while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n] and a[i + n] and b[j + n]:
+                    n += 1
+                if n > best:
+                    best, found = n, []
+                if n == best and n >= least:
+                    found.append((i, j, n))
+        if not found:
+            return out
+        for i, j, n in found:
+            if all(a[i : i + n]) and all(b[j : j + n]):
+                a[i : i + n], b[j : j + n] = [False] * n, [False] * n
+                out.append((i, j, n))
+
+
+def test_tiling_by_single_words():
+    r = random.Random(9)
+    for _ in range(150):
+        item, doc = ([r.randrange(5) for _ in range(r.randint(0, n))] for n in (14, 30))
+        got = decontam.tiles(np.array(item, dtype=np.uint64), np.array(doc, dtype=np.uint64), 3)
+        assert sorted(got) == sorted(naive_tiles(item, doc, 3))
+
+
+def test_contaminated_by_brute_force(spark):
+    r, words = random.Random(10), vocabulary(91, 12)
+    items = [(i, " ".join(r.choice(words) for _ in range(r.randint(1, 12)))) for i in range(25)] + [(90, items_text := "a b"), (91, items_text), (92, None), (93, "")]
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.randint(1, 60))), "x") for i in range(80)] + [(500, "A, b!", "x"), (501, "a b c", "x"), (502, None, "x"), (503, "", "x"), (1, "dup", "x")]
+    for i, t in items[:10]:  # items inside documents, in two parts
+        w = t.split()
+        rows.append((600 + i, " ".join(["start", *w[len(w) // 2 :], "mid", *w[: len(w) // 2], "end"]), "x"))
+    want = set()
+    for d, t, _ in rows:
+        doc = [x for x in ("".join(filter(str.isalnum, w)).lower() for w in (t or "").split()) if x]
+        for i, q in items:
+            item = (q or "").split()
+            if not item:
+                continue
+            own = naive_tiles(item, doc, decontam.MIN_MATCH)
+            if sum(x[2] for x in own) >= decontam.COVERAGE * len(item) or len(item) < decontam.MIN_MATCH and item == doc:
+                want.add((d, i))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.contaminated(frame, bench).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == want and len(got) == len(want) > 5
+    kept = decontam.drop_contaminated(frame, bench)
+    assert kept.columns == frame.columns and sorted(x.doc_id for x in kept.collect()) == sorted(d for d, t, _ in rows if not any(w[0] == d for w in want))
+    assert decontam.contaminated(frame.where("false"), bench).count() == 0 and decontam.contaminated(frame, bench.where("false")).count() == 0
+    assert decontam.drop_contaminated(frame, bench.where("false")).count() == len(rows)
+
+
 def test_secrets(spark):
     base = re.compile(r"""((?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", re.I)
     rows = [(1, "é token = 'abcdef123' x", "o1"), (2, "password: token: abcdef", "o1"), (3, None, None), (4, "", "o2"), (5, "AKIA" + "B" * 16 + " " + "0f" * 15, "o2"), (6, "Xk29fPq81LmZ0aa7Rt55", "o1")] + [(10 + i, "zZ91fPq81LmZ0aa7Rt55", f"o{i}") for i in range(4)]
@@ -299,3 +474,25 @@ def test_pipeline_small(spark, sf):
     import corpus_pipeline
 
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_secrets_null_ids_repositories_and_long_texts(spark):
+    from pyspark.sql import functions as F
+
+    token = "Zk29fPq81LmZ0aa7Rt55"
+    rows = [(None, "password: hunter22 " + token, "o1", "en"), (None, "x", "o1", "en"), (1, "secret = abcdefgh AKIA" + "B" * 20, "o2", "en"), (1, "secret = abcdefgh AKIA" + "B" * 20, "o2", "en")]
+    rows += [(10 + i, "wide9In2Repositories77", "o1", f"l{i}") for i in range(secrets.WIDE_REPOSITORIES)]  # one owner, many repositories
+    long = "".join(f"password={i:07d} é " for i in range(3000))
+    rows.append((99, long, "o3", "en"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = secrets.scan(frame, F.concat_ws("/", "source", "lang"), F.col("source")).collect()
+    assert len(got) == len(rows)
+    by_id = {r.doc_id: r for r in got}
+    null = next(r for r in got if r.doc_id is None and r.base)
+    assert null.n_live == 2 and [(s.start, s.end) for s in null.extra] == [(19, 39)]
+    assert all(not by_id[10 + i].extra for i in range(secrets.WIDE_REPOSITORIES))
+    assert [(s.start, s.end) for s in by_id[99].base if s.kind == 0] == [(19 * i, 19 * i + 16) for i in range(3000)]
+    masked = {r.doc_id: r.text for r in secrets.mask_secrets(frame, F.col("lang"), F.col("source")).collect()}
+    assert masked[99] == "[secret] é " * 3000 and masked[1] == "[secret] [secret]"
+    assert secrets.scan(frame.where("false"), F.col("lang"), F.col("source")).count() == 0
+    assert secrets.mask_secrets(frame.where("false"), F.col("lang"), F.col("source")).columns == frame.columns
