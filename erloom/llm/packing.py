@@ -157,15 +157,15 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END_I
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece of docs (doc_id, text).
 
     A null or empty text is its end id alone; a text of any length is cut into whole sequences and one rest. Equal rows
-    and rows that share an id are packed once each; lengths that tie go in any order. An empty table gives no rows;
+    and rows that share an id are packed once each; of lengths that tie the order is that of a hash of id and text. An empty table gives no rows;
     other columns are ignored. The plan that reaches the executors has at most a few rows for each size class."""
     spark = docs.sparkSession
     kept = docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, length, end), "doc_id long, n long, sums array<long>, full long, rest long, class int")
-    # a number of its own is written with each row, so that rows of one id, or equal ones, are dealt over all parts
-    kept = staged(kept.withColumn("salt", F.monotonically_increasing_id()), "lengths")
+    kept = staged(kept, "lengths")
     parts = max(64, -(-kept.count() // RANK_ROWS))
-    kept = kept.withColumn("part", F.pmod(F.xxhash64("doc_id", "salt"), F.lit(parts))).drop("salt")
-    order = ["doc_id", "n", F.col("sums")[0]]
+    # dealt by id and text, so that rows of one id lie in all parts
+    kept = kept.withColumn("part", F.pmod(F.xxhash64("doc_id", "sums"), F.lit(parts)))
+    order = ["doc_id", "sums"]
 
     # whole sequences: numbered through all documents
     long = _ranked(kept.where("full > 0").select("doc_id", "n", "sums", "full", "part", F.lit(0).alias("one")), "one", "part", order, "full")
