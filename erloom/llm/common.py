@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Texts handled at once inside a Python worker, in UTF-8 bytes; a longer text is handled alone. Spark itself bounds an
 #: Arrow batch by spark.sql.execution.arrow.maxBytesPerBatch.
-CHUNK_BYTES = 6_000_000
+CHUNK_BYTES = 3_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -27,8 +27,11 @@ BUCKETS = 1 << 15
 #: Words of a lexicon for each language: those that are at least so often and so purely its own.
 LEXICON, PURITY, LEAST_SEEN = 3000, 0.9, 3
 EPOCHS, RATE, DECAY = 5, 0.5, 1e-4
-#: Steps of a block: a longer sequence is run through block by block, with messages from block to block.
-BLOCK = 256
+#: A sequence of more steps than LONG is run through in blocks side by side, with messages from block to block; shorter
+#: ones go together, so many that their steps fill CELLS.
+LONG, BLOCK, CELLS = 4096, 256, 250_000
+#: Words whose scores a worker remembers; at this many it begins anew.
+REMEMBERED = 200_000
 #: Potentials are this share of the greatest of their step at least, so that no message vanishes in single precision.
 FLOOR = 1e-12
 #: A filtering stage rejects documents without letters and those of which no language has this share.
@@ -146,18 +149,18 @@ def long_marginals(emit: np.ndarray, trans: np.ndarray) -> np.ndarray:
 class Model:
     def __init__(self, labels: list[str], lexicon: dict[str, int], weights: np.ndarray, trans: np.ndarray):
         self.labels, self.lexicon, self.weights, self.trans = labels, lexicon, weights, trans
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, int] = {}
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        """Scores of distinct words in lower case; words seen often are remembered."""
-        if len(self.known) > 300_000:
-            self.known = {}
-        new = [w for w in words if w and w not in self.known]
+        """Scores of distinct words in lower case; words seen before are remembered."""
+        if not self.known or len(self.known) > REMEMBERED:
+            self.known, self.table = {"": 0}, np.zeros((1, len(self.labels)), dtype=np.float32)
+        new = [w for w in words if w not in self.known]
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
-            self.known.update(zip(some, Features(some, self.lexicon, len(self.labels)).scores(self.weights), strict=True))
-        self.known[""] = np.zeros(len(self.labels), dtype=np.float32)
-        return np.array([self.known[w] for w in words], dtype=np.float32).reshape(len(words), len(self.labels))
+            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some)), strict=True))
+            self.table = np.concatenate([self.table, Features(some, self.lexicon, len(self.labels)).scores(self.weights).astype(np.float32)])
+        return self.table[np.fromiter((self.known[w] for w in words), dtype=np.int64, count=len(words))]
 
     def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(label code or -1, score, expected words by label) of each text; words without letters are passed over."""
@@ -172,13 +175,13 @@ class Model:
         word = to[codes[keep]]
         n = np.diff(ends)
         sums = np.zeros((len(n), len(self.labels)))
-        for d in np.flatnonzero(n > BLOCK):
+        for d in np.flatnonzero(n > LONG):
             sums[d] = long_marginals(emit[word[ends[d] : ends[d + 1]]], self.trans).sum(axis=0)
         # the others, of like lengths together
-        short = np.flatnonzero((n > 0) & (n <= BLOCK))
-        short = short[np.argsort(n[short], kind="stable")]
-        for i in range(0, len(short), 1024):
-            own = short[i : i + 1024]
+        short = np.flatnonzero((n > 0) & (n <= LONG))
+        short = short[np.argsort(-n[short], kind="stable")]
+        while len(short):
+            own, short = np.split(short, [max(1, CELLS // int(n[short[0]]))])
             grid = np.minimum(ends[own][:, None] + np.arange(n[own].max())[None, :], len(word) - 1)
             p, _ = forward_backward(emit[word[grid]], self.trans, n[own], switches=False)
             sums[own] = p.sum(axis=1)
