@@ -3,7 +3,7 @@
 In each pass every vector gets a key of concatenated random hashes (signs of projections), vectors are ordered
 lexicographically by key, and each is compared with a bounded window of neighbours. Verified pairs of all passes
 are united into components. How many passes are made follows from the number of vectors, and further rounds of
-passes follow until one finds hardly a new link, since dense groups crowd the windows. Inside a dense group, found on a
+passes follow until one joins hardly any components, since dense groups crowd the windows. Inside a dense group, found on a
 bounded sample, keys are taken from what a vector has beside the group's mean, so that they tell its members apart.
 Inside a component all members are then compared in square tiles, one task each, so the number of links is exact for
 every pair that shares a component, however large a dense group is."""
@@ -16,7 +16,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +27,10 @@ BITS, WINDOW = 64, 24
 ROUND = 8
 #: Share of the pairs at the threshold that the planned passes show, where vectors lie at random.
 PLANNED = 0.99
-#: Further rounds are made until one adds at most this share of all links.
-SETTLED = 0.01
+#: Further rounds are made until one finds at most so many links between components, as a share of the linked vectors.
+SETTLED = 0.005
+#: Passes compare in single precision; a pair this near the threshold is decided in double precision.
+MARGIN = 1e-5
 SEED = 20_011
 #: Vectors that are sampled for the means of dense groups; a group has at least LEAST of them, each at a cosine of NEAR
 #: or more to another one.
@@ -106,6 +107,7 @@ def _keys(first: int, passes: int, held):
                 if d not in planes:
                     planes[d] = np.concatenate([np.random.default_rng([SEED, int(d), first + p]).standard_normal((int(d), BITS)) for p in range(passes)], axis=1)
                 x, group = _matrix(own.column("unit")), np.full(len(own), -1)
+                single = pa.array([v.tobytes() for v in x.astype(np.float32)], pa.binary())
                 beside, means = x, held.value.get(int(d))
                 if means is not None:
                     cos = x @ (means / np.linalg.norm(means, axis=1)[:, None]).T
@@ -117,53 +119,72 @@ def _keys(first: int, passes: int, held):
                     signs = np.packbits((x if plain else beside) @ planes[d][:, p * BITS : (p + 1) * BITS] > 0, axis=1)
                     name = np.zeros(len(own), dtype=">u4") if plain else (group + 1).astype(">u4")
                     key = [int(d).to_bytes(4, "big") + g.tobytes() + k.tobytes() for g, k in zip(name, signs, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), p, dtype=np.int32)), pa.array(key, pa.binary()), own.column("node"), own.column("unit")], ["pass", "key", "node", "unit"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), p, dtype=np.int32)), pa.array(key, pa.binary()), own.column("node"), single], ["pass", "key", "node", "unit"])
 
     return run
 
 
-def _near(passes: np.ndarray, nodes: np.ndarray, units: list[bytes], window: int, cosine: float) -> np.ndarray:
-    """Pairs of at least `cosine` among rows at most `window` apart in one pass and of one length."""
-    found, at = [np.zeros((0, 2), dtype=np.int64)], 0
+def _near(passes: np.ndarray, nodes: np.ndarray, units: list[bytes], window: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of at least `cosine` among rows at most `window` apart in one pass and of one length: (pairs, whether each is
+    beyond doubt). Pairs that hang together over nearer ones already are left out, so a dense run of rows gives about as
+    many pairs as it has rows; who links with whom is counted in tiles afterwards."""
+    found, sure, at = [np.zeros((0, 2), dtype=np.int64)], [np.zeros(0, dtype=bool)], 0
     sizes = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
     ends = np.flatnonzero((passes[1:] != passes[:-1]) | (sizes[1:] != sizes[:-1])) + 1
     for to in [*ends.tolist(), len(units)]:
-        m = np.frombuffer(b"".join(units[at:to]), dtype=np.float64).reshape(to - at, -1)
-        own = nodes[at:to]
+        m = np.frombuffer(b"".join(units[at:to]), dtype=np.float32).reshape(to - at, -1)
+        own, group = nodes[at:to], np.arange(to - at)
         for k in range(1, min(window, to - at - 1) + 1):
-            near = np.flatnonzero(np.einsum("ij,ij->i", m[:-k], m[k:]) >= cosine)
+            cos = np.einsum("ij,ij->i", m[:-k], m[k:])
+            near = np.flatnonzero((cos >= cosine - MARGIN) & (group[:-k] != group[k:]))
+            if not len(near):
+                continue
+            certain = cos[near] >= cosine + MARGIN
             found.append(np.stack([own[near], own[near + k]], axis=1))
+            sure.append(certain)
+            a, b = near[certain], near[certain] + k
+            while (group[a] != group[b]).any():  # the smaller name of two that meet, until none changes
+                low = np.minimum(group[a], group[b])
+                names = np.arange(to - at)
+                np.minimum.at(names, group[a], low)
+                np.minimum.at(names, group[b], low)
+                group = names[group]
         at = to
-    both = np.concatenate(found)
-    both = both[both[:, 0] != both[:, 1]]
-    return np.unique(np.sort(both, axis=1), axis=0)
+    both, certain = np.concatenate(found), np.concatenate(sure)
+    apart = both[:, 0] != both[:, 1]
+    return np.sort(both[apart], axis=1), certain[apart]
+
+
+_COMPARED = ["x", "y", "sure", "pass", "key", "node", "unit"]
+_SCHEMA = "x long, y long, sure boolean, pass int, key binary, node long, unit binary"
 
 
 def _compare(window: int, cosine: float):
-    """Pairs (x, y), and the first and last `window` rows of the task, which neighbour those of other tasks."""
+    """Pairs (x, y, sure), and the first and last `window` rows of the task, which neighbour those of other tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, tail, seen = TaskContext.get().partitionId(), [], 0
+        tail, seen = [], 0
 
-        def border(rows: list, at: int) -> pa.RecordBatch:
+        def border(rows: list) -> pa.RecordBatch:
             kinds = (("pass", pa.int32()), ("key", pa.binary()), ("node", pa.int64()), ("unit", pa.binary()))
-            cols = [pa.nulls(len(rows), pa.int64())] * 2 + [pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)]
-            return pa.RecordBatch.from_arrays([*cols, pa.array([(part << 8) + at] * len(rows), pa.int64())], ["x", "y", *[n for n, _ in kinds], "side"])
+            cols = [pa.nulls(len(rows), k) for k in (pa.int64(), pa.int64(), pa.bool_())] + [pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)]
+            return pa.RecordBatch.from_arrays(cols, _COMPARED)
 
-        def pairs(both: np.ndarray) -> pa.RecordBatch:
-            none = [pa.nulls(len(both), k) for k in (pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), *none], ["x", "y", "pass", "key", "node", "unit", "side"])
+        def pairs(both: np.ndarray, sure: np.ndarray) -> pa.RecordBatch:
+            none = [pa.nulls(len(both), k) for k in (pa.int32(), pa.binary(), pa.int64(), pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(sure), *none], _COMPARED)
 
         for batch in batches:
             new = list(zip(*(batch.column(c).to_pylist() for c in ("pass", "key", "node", "unit")), strict=True))
             if seen < window:
-                yield border(new[: window - seen], 0)
+                yield border(new[: window - seen])
             seen += len(new)
             rows = tail + new
-            yield pairs(_near(np.array([r[0] for r in rows]), np.array([r[2] for r in rows], dtype=np.int64), [r[3] for r in rows], window, cosine))
+            if rows:
+                yield pairs(*_near(np.array([r[0] for r in rows]), np.array([r[2] for r in rows], dtype=np.int64), [r[3] for r in rows], window, cosine))
             tail = rows[-window:]
         if seen > window:
-            yield border(tail[-min(window, seen - window) :], 1)
+            yield border(tail[-min(window, seen - window) :])
 
     return run
 
@@ -193,29 +214,54 @@ def _tile(cosine: float, step: int = 1024):
     return run
 
 
+def _decide(cosine: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            close = [np.frombuffer(a, dtype=np.float64) @ np.frombuffer(b, dtype=np.float64) >= cosine for a, b in zip(batch.column("ux").to_pylist(), batch.column("uy").to_pylist(), strict=True)]
+            yield batch.select(["x", "y"]).filter(pa.array(close, pa.bool_()))
+
+    return run
+
+
+def _shown(reps: DataFrame, first: int, held, cosine: float, window: int) -> DataFrame:
+    """(x, y): links that the passes from `first` on show."""
+    keyed = reps.select("node", "unit").mapInArrow(_keys(first, ROUND, held), "pass int, key binary, node long, unit binary")
+    order = ["pass", "key", "node"]
+    found = staged(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_compare(window, cosine), _SCHEMA), "compared")
+    # the window rows at each task's two ends, in one order a pass: neighbours across the ends of tasks
+    ends = found.where("x is null").select("pass", "key", "node", "unit").repartition("pass").sortWithinPartitions(*order)
+    every = found.unionAll(ends.mapInArrow(_compare(window, cosine), _SCHEMA)).where("x is not null").groupBy("x", "y").agg(F.max("sure").alias("sure"))
+    every = staged(every, "pairs")
+    release(found)
+    unit = lambda k: reps.select(F.col("node").alias(k), F.col("unit").alias(f"u{k}"))
+    doubt = every.where("not sure").join(unit("x"), "x").join(unit("y"), "y").select("x", "y", "ux", "uy").mapInArrow(_decide(cosine), "x long, y long")
+    return every.where("sure").select("x", "y").unionAll(doubt)
+
+
 def _linked(reps: DataFrame, n: int, cosine: float, window: int) -> DataFrame | None:
     """Stars (node, component) of the links that passes show; None without any.
 
-    After the planned passes, each further round counts the pairs that it shows for the first time."""
+    After the planned passes, each further round counts the links that it shows between components."""
     spark = reps.sparkSession
     sample = reps.select("unit").orderBy(F.xxhash64("node", F.lit(5)), "node").limit(SAMPLE).collect()  # bounded
-    means = dense_means([bytes(r.unit) for r in sample])
-    held = spark.sparkContext.broadcast(means)
-    plan, done, pairs, known = planned_passes(n, window, cosine), 0, None, 0
+    held = spark.sparkContext.broadcast(dense_means([bytes(r.unit) for r in sample]))
+    plan = planned_passes(n, window, cosine)
+    links = _shown(reps, 0, held, cosine, window)
+    for first in range(ROUND, plan, ROUND):
+        links = links.unionAll(_shown(reps, first, held, cosine, window))
+    first = ROUND * max(1, -(-plan // ROUND))
+    stars = staged(components(links, "x", "y"), "stars")
     while True:
-        keyed = reps.select("node", "unit").mapInArrow(_keys(done, ROUND, held), "pass int, key binary, node long, unit binary")
-        ordered = keyed.repartitionByRange("pass", "key", "node").sortWithinPartitions("pass", "key", "node")
-        found = staged(ordered.mapInArrow(_compare(window, cosine), "x long, y long, pass int, key binary, node long, unit binary, side long"), "compared")
-        # window rows of each task's two ends, in one order: neighbours across the ends of tasks
-        ends = found.where("x is null").select("pass", "key", "node", "unit").repartition("pass").sortWithinPartitions("pass", "key", "node")
-        across = ends.mapInArrow(_compare(window, cosine), "x long, y long, pass int, key binary, node long, unit binary, side long").where("x is not null")
-        new = found.where("x is not null").select("x", "y").unionAll(across.select("x", "y")).distinct()
-        every = staged(new if pairs is None else new.unionAll(pairs).distinct(), "pairs")
-        release(found, *([pairs] if pairs is not None else []))
-        pairs, before, done = every, known, done + ROUND
-        known = pairs.count()
-        if done >= plan and known - before <= SETTLED * known:
-            return components(pairs, "x", "y") if known else None
+        side = lambda k: stars.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
+        new = _shown(reps, first, held, cosine, window).join(side("x"), "x", "left").join(side("y"), "y", "left")
+        new = new.select(F.coalesce("cx", "x").alias("x"), F.coalesce("cy", "y").alias("y")).where("x <> y").distinct()
+        new = staged(new, "new")
+        joined, known, first = new.count(), stars.count(), first + ROUND
+        if joined:
+            own = stars.where("node <> component").select(F.col("node").alias("x"), F.col("component").alias("y"))
+            stars = staged(components(own.unionAll(new), "x", "y"), "stars")
+        if joined <= SETTLED * known:
+            return stars if known + joined else None
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, window: int = WINDOW) -> DataFrame:
@@ -235,7 +281,6 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, window: int = WINDO
     if groups is None:
         copies = reps.select("node", "copies", F.col("vec_id").alias("component_id"))
         return own.join(copies, "node").select("vec_id", (F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).unionAll(alone)
-    groups = staged(groups, "groups")
     # members of a component in blocks, blocks in tiles
     tile = F.least(F.greatest(F.ceil(F.count("*") / TILES), F.lit(LEAST_TILE)), F.lit(MOST_TILE))
     size = groups.groupBy("component").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))
