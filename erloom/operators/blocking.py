@@ -1,47 +1,94 @@
-"""Candidate generation: key families, an inverted index weighted by rarity, top candidates with a ratio test."""
+"""Candidate generation: key families, an inverted index weighted by rarity, top candidates with a ratio test.
+
+Rows carry a 64-bit hash of country and key and a whole number as weight, so exchanges move three numbers a row. A pair
+counts only with `ratio` of its record's best score, and few pairs come near it, so most matches of common keys are never
+made: the rarest keys give each record a floor under its best score; keys that together weigh less than the floor's share
+can't carry a pair by themselves, so they are looked up only for pairs that other keys have brought up. Nothing is lost:
+what is left out can't reach the ratio."""
 
 from __future__ import annotations
 
-from erloom.plans.dialect import Spark
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from erloom.sources.store import staged
 
 UNIGRAM_CAP, OTHER_CAP = 50, 500
 TOP_K, RATIO = 10, 0.5
 #: Scores are summed as integers, so that the order of addition can't change a rank.
 SCALE = 1_000_000
+#: Keys that at most so many entities hold give the floors.
+RARE = 8
+
+
+def _pairs(words: str, kind: str) -> Column:
+    """Neighbouring words, each pair in alphabetical order."""
+    a = F.col(words)
+    left, right = F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0)))
+    return F.zip_with(left, right, lambda x, y: F.concat(F.lit(kind), F.least(x, y), F.lit("_"), F.greatest(x, y)))
+
+
+def keys(texts: DataFrame) -> DataFrame:
+    """(eid, country, tk, unigram) of texts (eid, country, name_core, name_words, address_words), distinct for each entity and never shuffled.
+
+    Six families: n and a (words), N and A (neighbour pairs), C (the name without spaces), X (name word by address word)."""
+    tagged = lambda kind: lambda w: F.concat(F.lit(kind), w)
+    whole = F.when(F.length("name_core") >= 4, F.array(F.concat(F.lit("C"), F.replace("name_core", F.lit(" "), F.lit(""))))).otherwise(F.array().cast("array<string>"))
+    cross = F.flatten(F.transform("name_words", lambda n: F.transform("address_words", lambda a: F.concat(F.lit("X"), n, F.lit("|"), a))))
+    every = F.concat(F.transform("name_words", tagged("n")), F.transform("address_words", tagged("a")), _pairs("name_words", "N"), _pairs("address_words", "A"), whole, cross)
+    each = texts.select("eid", "country", F.explode(F.array_distinct(every)).alias("tk"))
+    return each.withColumn("unigram", F.substring("tk", 1, 1).isin("n", "a"))
+
 
+def _rarity(hashed: DataFrame, entities: int) -> DataFrame:
+    """(h, df, idf, w) of the keys that no more entities hold than their cap, which bounds the fan-out of every join."""
+    cap = F.when(F.first("unigram"), UNIGRAM_CAP).otherwise(OTHER_CAP)
+    df = hashed.groupBy("h").agg(F.count("*").alias("df"), cap.alias("cap")).where("df <= cap")
+    idf = F.log(F.lit(float(entities)) / F.col("df"))
+    return df.select("h", "df", idf.alias("idf"), F.round(idf * SCALE).cast("long").alias("w"))
 
-def keys(d: Spark, alias: str, source: str) -> str:
-    """Six families of keys, distinct for each entity: n and a (words), N and A (neighbour pairs, in alphabetical
-    order), C (the name without spaces), X (name word by address word)."""
-    pair = lambda a: f"concat(least({d.at(a, 'i')}, {d.at(a, 'i + 1')}), '_', greatest({d.at(a, 'i')}, {d.at(a, 'i + 1')}))"
-    return f"""{alias} AS (SELECT DISTINCT eid, country, tk, substr(tk, 1, 1) IN ('n', 'a') AS unigram FROM (
-  SELECT eid, country, concat('n', w) AS tk FROM (SELECT eid, country, {d.rows('nt')} AS w FROM {source}) k1
-  UNION ALL SELECT eid, country, concat('a', w) FROM (SELECT eid, country, {d.rows('adt')} AS w FROM {source}) k2
-  UNION ALL SELECT eid, country, concat('N', {pair('nt')}) FROM (SELECT eid, country, nt, {d.rows(d.upto(d.n('nt') + ' - 1'))} AS i FROM {source}) k3
-  UNION ALL SELECT eid, country, concat('A', {pair('adt')}) FROM (SELECT eid, country, adt, {d.rows(d.upto(d.n('adt') + ' - 1'))} AS i FROM {source}) k4
-  UNION ALL SELECT eid, country, concat('C', replace(name_core, ' ', '')) FROM {source} WHERE length(name_core) >= 4
-  UNION ALL SELECT eid, country, concat('X', nw, '|', w) FROM (SELECT eid, country, nw, {d.rows('adt')} AS w FROM (SELECT eid, country, adt, {d.rows('nt')} AS nw FROM {source}) k5) k6) k7)"""
 
+def _hashed(of: DataFrame) -> DataFrame:
+    return of.select(F.xxhash64("country", "tk").alias("h"), "eid", "tk", "unigram")
 
-def index(alias: str, keys_of: str, registry: str) -> str:
-    """Postings with their rarity; keys over the cap are left out, which bounds the fan-out of the join."""
-    return f"""{alias} AS (SELECT k.country, k.tk, k.eid, ln(n.n1 / cast(f.df as double)) AS idf FROM {keys_of} k
-  JOIN (SELECT country, tk, unigram, count(*) AS df FROM {keys_of} GROUP BY country, tk, unigram HAVING count(*) <= CASE WHEN unigram THEN {UNIGRAM_CAP} ELSE {OTHER_CAP} END) f
-    ON k.country = f.country AND k.tk = f.tk AND k.unigram = f.unigram CROSS JOIN (SELECT count(*) AS n1 FROM {registry}) n)"""
 
+def index(of: DataFrame, entities: int) -> DataFrame:
+    """(h, eid, tk, idf) of keys `of`, h being a hash of country and key, without the keys over their cap."""
+    hashed = _hashed(of)
+    return hashed.join(_rarity(hashed, entities), "h").select("h", "eid", "tk", "idf")
 
-def candidates(d: Spark, alias: str, query_keys: str, index_of: str, per: str = "rid", other: str = "s1", top: int = TOP_K) -> str:
-    """The best `top` counterparts of each `per` with at least RATIO of its best score.
 
-    The rank is filtered before the best score is taken, which keeps the ranking a bounded window."""
-    return f"""{alias}_all AS (SELECT k.eid AS rid, x.eid AS s1, {d.total(f'cast(round(x.idf * {SCALE}) as bigint)')} / {SCALE}.0 AS score, count(*) AS nkeys
-  FROM {query_keys} k JOIN {index_of} x ON k.country = x.country AND k.tk = x.tk GROUP BY k.eid, x.eid),
-{alias} AS (SELECT rid, s1, cast(score as double) AS score, nkeys, rk FROM (SELECT *, max(score) OVER (PARTITION BY {per}) AS top FROM
-  (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {per} ORDER BY score DESC, {other}) AS rk FROM {alias}_all) c1 WHERE rk <= {top}) c2) c3 WHERE score >= {RATIO} * top)"""
+def candidates(query: DataFrame, of: DataFrame, entities: int, per: str = "rid", other: str = "s1", top: int = TOP_K, ratio: float = RATIO) -> DataFrame:
+    """(rid, s1, score, nkeys, rk): the best `top` counterparts of each `per` with at least `ratio` of its best score.
 
+    query and of are the keys of the records (rid) and of the entities (s1); `per` may be either side. A pair without a
+    common key, or without any under its cap, is no candidate; of equal scores the smaller id goes first."""
+    asked = staged(_hashed(query).select("h", F.col("eid").alias("rid")), "asked")
+    held = staged(_hashed(of).select("h", F.col("eid").alias("s1"), "unigram"), "held")
+    weight = staged(_rarity(held, entities).select("h", "df", "w"), "weights")
+    held = held.select("h", "s1")
+    own, far = (asked, held) if per == "rid" else (held, asked)
+    own = own.join(weight, "h")
+    floors = own.where(F.col("df") <= RARE).join(far, "h").groupBy(per, other).agg(F.sum("w").alias("w")).groupBy(per).agg(F.max("w").alias("floor"))
+    # lightest first: a key with all that are lighter
+    with_lighter = F.sum("w").over(W.partitionBy(per).orderBy("w", "h").rowsBetween(W.unboundedPreceding, W.currentRow))
+    own = own.withColumn("weigh", with_lighter).join(floors, per, "left").withColumn("light", F.coalesce(F.col("weigh") < ratio * F.col("floor"), F.lit(False)))
+    own = staged(own.select(per, "h", "w", "light", "floor"), "weighed")
+    light = own.where("light")
+    most = light.groupBy(per).agg(F.sum("w").alias("most"))
+    hits = own.where("not light").join(far, "h").select(per, other, "w", "floor").repartition(per)
+    found = hits.groupBy(per, other).agg(F.sum("w").alias("w"), F.count("*").alias("nkeys"), F.first("floor").alias("floor"))
+    found = found.join(most, per, "left").where(F.col("w") + F.coalesce("most", F.lit(0)) >= ratio * F.coalesce("floor", F.lit(0))).select(per, other, "w", "nkeys")
+    found = staged(found, "found")
+    more = found.select(per, other).join(light.select(per, "h", F.col("w").alias("w2")), per).join(far, [other, "h"]).groupBy(per, other).agg(F.sum("w2").alias("w2"), F.count("*").alias("n2"))
+    zero = F.lit(0).cast("long")
+    whole = found.join(more, [per, other], "left").select("rid", "s1", (F.col("w") + F.coalesce("w2", zero)).alias("w"), (F.col("nkeys") + F.coalesce("n2", zero)).alias("nkeys"))
+    near = whole.withColumn("best", F.max("w").over(W.partitionBy(per))).where(F.col("w") >= ratio * F.col("best"))
+    ranked = near.withColumn("rk", F.row_number().over(W.partitionBy(per).orderBy(F.desc("w"), other)).cast("long")).where(F.col("rk") <= top)
+    return ranked.select("rid", "s1", (F.col("w") / SCALE).alias("score"), "nkeys", "rk")
 
-def blocked(d: Spark, registry: str) -> str:
-    """All expressions from texts to `cand`."""
-    from erloom.sources.fixtures import texts
 
-    return ",\n".join([registry, texts(d, "st", "s1"), texts(d, "qt", "q"), keys(d, "sk", "st"), keys(d, "qk", "qt"), index("ix", "sk", "s1"), candidates(d, "cand", "qk", "ix")])
+def block(query: DataFrame, entities: DataFrame, **how) -> DataFrame:
+    """candidates() of two tables of texts."""
+    return candidates(keys(query), keys(entities), entities.count(), **how)

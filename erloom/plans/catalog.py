@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from erloom.operators import blocking
 from erloom.sources.fixtures import registry, texts
 
-from .registry import dual, scored, with_
+from .registry import blocked, dual, scored, with_
 
 
 def _semi(d, kind: str) -> str:
@@ -35,7 +34,7 @@ def join_anti(d):
 @dual
 def join_self_typo(d):
     """Typo keys: another word of the same name as an anchor, with the sorted letters of a word short of one letter."""
-    w = f"w AS (SELECT eid, nt, i, {d.at('nt', 'i')} AS a FROM (SELECT eid, nt, {d.rows(d.upto(d.n('nt')))} AS i FROM st) x)"
+    w = f"w AS (SELECT eid, name_words, i, {d.at('name_words', 'i')} AS a FROM (SELECT eid, name_words, {d.rows(d.upto(d.n('name_words')))} AS i FROM st) x)"
     return with_(d, registry(d), texts(d, "st", "s1"), w, f"v AS (SELECT eid, i, a, j FROM (SELECT eid, i, a, {d.rows(d.upto('length(a)'))} AS j FROM w) y)") + f"SELECT DISTINCT x.eid, concat(y.a, '|', {d.joined(d.ordered(d.chars('concat(substr(x.a, 1, cast(x.j as int) - 1), substr(x.a, cast(x.j as int) + 1))')), '')}) AS tk FROM v x JOIN w y ON x.eid = y.eid AND x.i <> y.i WHERE length(x.a) >= 4"
 
 
@@ -163,7 +162,7 @@ def list_agg_set(d):
 
 @dual
 def vocab_df(d):
-    return with_(d, registry(d), texts(d, "st", "s1"), f"w AS (SELECT DISTINCT eid, country, w FROM (SELECT eid, country, {d.rows('nt')} AS w FROM st) x)") + "SELECT country, w, count(*) AS df FROM w GROUP BY country, w"
+    return with_(d, registry(d), texts(d, "st", "s1"), f"w AS (SELECT DISTINCT eid, country, w FROM (SELECT eid, country, {d.rows('name_words')} AS w FROM st) x)") + "SELECT country, w, count(*) AS df FROM w GROUP BY country, w"
 
 
 @dual
@@ -294,4 +293,4 @@ def logit_clip(d):
 def weighted_rerank(d):
     """0.7 of the name's and 0.3 of the address's overlap, the best 50 of each entity, repeats by their best score."""
     j = lambda a, b: f"({d.n(d.common(a, b))} / cast(greatest({d.n(d.united(a, b))}, 1) as double))"
-    return with_(d, blocking.blocked(d, registry(d))) + f"SELECT rid, s1, sim, cast(r as bigint) AS r FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY sim DESC, rid) AS r FROM (SELECT rid, s1, max(round(0.7 * {j('q.nt', 's.nt')} + 0.3 * {j('q.adt', 's.adt')}, 6)) AS sim FROM cand c JOIN qt q ON q.eid = c.rid JOIN st s ON s.eid = c.s1 GROUP BY rid, s1) a) b WHERE r <= 50"
+    return with_(d, blocked(d)) + f"SELECT rid, s1, sim, cast(r as bigint) AS r FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY sim DESC, rid) AS r FROM (SELECT rid, s1, max(round(0.7 * {j('q.name_words', 's.name_words')} + 0.3 * {j('q.address_words', 's.address_words')}, 6)) AS sim FROM cand c JOIN qt q ON q.eid = c.rid JOIN st s ON s.eid = c.s1 GROUP BY rid, s1) a) b WHERE r <= 50"

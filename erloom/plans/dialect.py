@@ -8,8 +8,8 @@ from __future__ import annotations
 class Spark:
     name = "spark"
 
-    def __init__(self, sf_dir: str):
-        self.sf_dir = sf_dir
+    def __init__(self, sf_dir: str, store=None):
+        self.sf_dir, self.store = sf_dir, store
 
     def t(self, name: str) -> str:
         return f"parquet.`{self.sf_dir}/{name}.parquet`"

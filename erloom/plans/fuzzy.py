@@ -6,18 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from erloom.functions import similarity, text
-from erloom.operators import decide, models
+from erloom.operators import decide, features, models
 
 from .dialect import Duck, Spark
-from .linkage import pair_features_sql
-from .registry import ORACLES, QUERIES, scored, with_
+from .registry import ORACLES, QUERIES, blocked, opened, query, scored, with_
 
-_FEATURES = ["score", "nkeys", "score_ratio", "record_margin", "name_jaccard", "address_jaccard", "num_common", "first_num_diff", "legal_clash", "q_name_len"]
+_D = Duck()
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Spark(sf_dir)
-    return spark.sql(with_(d, scored(d)) + "SELECT c.rid, c.s1, c.p, q.name_core AS q_name, s.name_core AS s_name, q.address AS q_address, s.address AS s_address FROM scored c JOIN q ON q.eid = c.rid JOIN s1 s ON s.eid = c.s1")
+    store = opened(spark, sf_dir).store
+    return features.with_texts(store.table("cand").select("rid", "s1"), store.table("qt"), store.table("st"))
 
 
 def normalize_full(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,55 +32,43 @@ def normalize_address_us(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", text.normalize_address(address, F.lit("US")).alias("address"))
 
 
-def sim_jaro_winkler(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("rid", "s1", F.round(similarity.UDFS["jaro_winkler"]("q_name", "s_name"), 6).alias("jw"))
-
-
-def sim_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fuzzy features of a pair on names and addresses."""
-    names = [F.round(similarity.UDFS[k]("q_name", "s_name"), 6).alias(f"name_{k}") for k in similarity.UDFS]
-    places = [F.round(similarity.UDFS[k]("q_address", "s_address"), 6).alias(f"address_{k}") for k in ("ratio", "token_sort_ratio", "token_set_ratio", "partial_ratio")]
-    return _pairs(spark, sf_dir).select("rid", "s1", *names, *places)
+#: Longest common subsequence row by row: a row's cell is the greatest of its left neighbour, the cell above, and one
+#: more than the cell above its left neighbour where the characters are the same.
+_LCS = """list_reduce(string_split(a, ''), lambda above, c: list_reduce(range(1, length(b) + 1), lambda made, j: list_append(made, greatest(made[j], above[j + 1], CASE WHEN substr(b, j, 1) = c THEN above[j] + 1 ELSE 0 END)), [0::BIGINT]),
+  list_resize([0::BIGINT], length(b) + 1, 0))[length(b) + 1]"""
 
 
-def name_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("rid", "s1", decide.name_class_of("q_name", "s_name").alias("name_class"))
+def like(pairs: str) -> str:
+    """CTE ratio_(a, b, r) of the distinct pairs (a, b) of a relation."""
+    return f"""asked AS (SELECT DISTINCT a, b FROM ({pairs})), ratio_ AS (SELECT a, b, CASE WHEN a = '' AND b = '' THEN 100.0 WHEN a = '' OR b = '' THEN 0.0 ELSE 200.0 * {_LCS} / (length(a) + length(b)) END::DOUBLE AS r FROM asked)"""
 
 
-def address_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _pairs(spark, sf_dir).select("rid", "s1", decide.address_class_of("q_address", "s_address").alias("a"))
-    return found.select("rid", "s1", "a.address_class", "a.delta")
+_SORTED = lambda c: f"array_to_string(list_sort(string_split({c}, ' ')), ' ')"
+_NAMES = "SELECT q.name_core AS a, s.name_core AS b FROM cand c JOIN qt q ON q.eid = c.rid JOIN st s ON s.eid = c.s1"
 
 
-def replacement_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that stand in a record for another word of the entity's name, by country, with how often each comes with
-    no true pair and with one."""
-    d = Spark(sf_dir)
-    swaps = spark.sql(with_(d, scored(d)) + "SELECT c.rid, c.s1, q.country, array_except(q.nt, s.nt) AS added, t.s1 AS owner FROM scored c JOIN qt q ON q.eid = c.rid JOIN st s ON s.eid = c.s1 LEFT JOIN truth t ON t.rid = c.rid WHERE c.rk = 1 AND size(array_except(q.nt, s.nt)) = 1 AND size(array_except(s.nt, q.nt)) >= 1")
-    words = swaps.select("country", F.explode("added").alias("w"), F.col("owner").isNull().alias("decoy"))
-    return words.groupBy("country", "w").agg(F.count_if("decoy").alias("decoy_n"), F.count_if(~F.col("decoy")).alias("true_n")).where("decoy_n >= 2 AND true_n <= 0.002 * decoy_n")
+@query(with_(_D, blocked(_D), f"n AS ({_NAMES})", like(f"SELECT a, b FROM n UNION SELECT {_SORTED('a')}, {_SORTED('b')} FROM n")) + f"""SELECT c.rid, c.s1, round(x.r, 6) AS ratio, round(y.r, 6) AS token_sort
+FROM cand c JOIN qt q ON q.eid = c.rid JOIN st s ON s.eid = c.s1 JOIN ratio_ x ON x.a = q.name_core AND x.b = s.name_core JOIN ratio_ y ON y.a = {_SORTED('q.name_core')} AND y.b = {_SORTED('s.name_core')}""")
+def sim_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, t = (similarity.UDFS[k]("q_name_core", "s_name_core") for k in ("ratio", "token_sort_ratio"))
+    return _pairs(spark, sf_dir).select("rid", "s1", F.round(r, 6).alias("ratio"), F.round(t, 6).alias("token_sort"))
 
 
-def expected_f05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decide.expected_f05(QUERIES["best_owner"](spark, sf_dir))
+@query(with_(_D, scored(_D)) + "SELECT c.rid, c.s1, round(jaro_winkler_similarity(q.name_core, s.name_core), 6) AS jw FROM cand c JOIN q ON q.eid = c.rid JOIN s1 s ON s.eid = c.s1")
+def sim_jaro_winkler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("rid", "s1", F.round(similarity.UDFS["jaro_winkler"]("q_name_core", "s_name_core"), 6).alias("jw"))
 
 
-def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Spark(sf_dir)
-    truth = spark.sql(with_(d, scored(d)) + "SELECT rid, s1, 1 AS label FROM truth")
-    pairs = spark.sql(pair_features_sql(d)).join(truth, ["rid", "s1"], "left").fillna(0, ["label"])
-    return pairs.select("rid", "s1", *[c for c in _FEATURES], "label", (F.col("rid") % 2).cast("int").alias("fold"))
+@query()
+def sim_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 11 fuzzy features of a pair on names and addresses."""
+    return features.fuzzy_features(_pairs(spark, sf_dir), *(opened(spark, sf_dir).store.table(t) for t in ("qt", "st")))
 
 
-def staged_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold tree scores, stacked with a second model on fewer features, both folds by record."""
-    rows = _labelled(spark, sf_dir).persist()
-    one = models.out_of_fold(rows, _FEATURES, "fold", "p1", rounds=2, depth=3).persist()
-    two = models.out_of_fold(one, ["p1", "score_ratio", "record_margin"], "fold", "p2", rounds=2, depth=2).persist()
-    return models.stack(models.fit_stacker(two, ["p1", "p2"]), two, ["p1", "p2"]).select("rid", "s1", "label", "p1", "p2", "ps")
+def _replaced(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
+    store = opened(spark, sf_dir).store
+    return decide.replacement_words(store.table("cand"), store.table("truth"), store.table("qt"), store.table("st"), least)
 
 
-QUERIES |= {f.__name__: f for f in (normalize_full, normalize_address_us, sim_jaro_winkler, sim_fuzzy, name_classes, address_classes, replacement_words, expected_f05, staged_models)}
-_D = Duck()
-ORACLES["sim_jaro_winkler"] = with_(_D, scored(_D)) + "SELECT c.rid, c.s1, round(jaro_winkler_similarity(q.name_core, s.name_core), 6) AS jw FROM scored c JOIN q ON q.eid = c.rid JOIN s1 s ON s.eid = c.s1"
+QUERIES |= {f.__name__: f for f in (normalize_full, normalize_address_us)}
 ORACLES["normalize_address_us"] = "SELECT s_suppkey, cast(s_suppkey AS VARCHAR) || ' n main rd austin tx' AS address FROM supplier"

@@ -22,23 +22,23 @@ def letters(d, text: str) -> str:
 
 def _keys(d, kind: str, source: str) -> str:
     """(eid, country, k) of one family."""
-    num, rest = d.at("nums", 1), d.flt("adt", "x", "NOT " + d.like("x", "^[0-9]+$"))
+    num, rest = d.at("numbers", 1), d.flt("address_words", "x", "NOT " + d.like("x", "^[0-9]+$"))
     if kind == "aexact":
-        return f"SELECT eid, country, address AS k FROM {source} WHERE {d.n('nums')} > 0 AND address <> ''"
+        return f"SELECT eid, country, address AS k FROM {source} WHERE {d.n('numbers')} > 0 AND address <> ''"
     if kind == "corenum":
-        return f"SELECT eid, country, concat({d.joined(d.ordered(d.distinct('nt')))}, '#', {num}) AS k FROM {source} WHERE {d.n('nums')} > 0"
+        return f"SELECT eid, country, concat({d.joined(d.ordered(d.distinct('name_words')))}, '#', {num}) AS k FROM {source} WHERE {d.n('numbers')} > 0"
     if kind == "anum":
-        return f"SELECT DISTINCT eid, country, concat(n, '|', w) AS k FROM (SELECT eid, country, {num} AS n, {d.rows(rest)} AS w FROM {source} WHERE {d.n('nums')} > 0) x"
+        return f"SELECT DISTINCT eid, country, concat(n, '|', w) AS k FROM (SELECT eid, country, {num} AS n, {d.rows(rest)} AS w FROM {source} WHERE {d.n('numbers')} > 0) x"
     if kind == "anumt":
-        return f"SELECT DISTINCT eid, country, concat(n, '|', w) AS k FROM (SELECT eid, country, {d.rows(d.arr('substr(n0, 2)', 'substr(n0, 1, length(n0) - 1)'))} AS n, w FROM (SELECT eid, country, {num} AS n0, {d.rows(rest)} AS w FROM {source} WHERE {d.n('nums')} > 0) x) y WHERE n <> ''"
+        return f"SELECT DISTINCT eid, country, concat(n, '|', w) AS k FROM (SELECT eid, country, {d.rows(d.arr('substr(n0, 2)', 'substr(n0, 1, length(n0) - 1)'))} AS n, w FROM (SELECT eid, country, {num} AS n0, {d.rows(rest)} AS w FROM {source} WHERE {d.n('numbers')} > 0) x) y WHERE n <> ''"
     if kind == "aalpha":
         return f"SELECT eid, country, {d.joined(d.ordered(d.distinct(rest)))} AS k FROM {source} WHERE {d.n(rest)} >= 2"
     if kind == "cat":
-        sub = d.each2("nt", "x", "i", d.bit("m", "{i} - 1" if d.name == "duck" else "cast({i} - 1 as int)"))
-        return f"SELECT DISTINCT eid, country, {letters(d, d.joined(sub))} AS k FROM (SELECT eid, country, nt, {d.rows(d.upto('cast(power(2, ' + d.n('nt') + ') as bigint) - 1'))} AS m FROM {source} WHERE {d.n('nt')} <= {SUBSET_WORDS}) x WHERE length({d.joined(sub)}) >= 5"
+        sub = d.each2("name_words", "x", "i", d.bit("m", "{i} - 1" if d.name == "duck" else "cast({i} - 1 as int)"))
+        return f"SELECT DISTINCT eid, country, {letters(d, d.joined(sub))} AS k FROM (SELECT eid, country, name_words, {d.rows(d.upto('cast(power(2, ' + d.n('name_words') + ') as bigint) - 1'))} AS m FROM {source} WHERE {d.n('name_words')} <= {SUBSET_WORDS}) x WHERE length({d.joined(sub)}) >= 5"
     if kind == "ini":
-        one = f"SELECT eid, country, nt, {d.at('nt', 'i')} AS w, i FROM (SELECT eid, country, nt, {d.rows(d.upto(d.n('nt')))} AS i FROM {source}) x"
-        other = f"SELECT eid, country, w, {d.at('nt', 'j')} AS o FROM (SELECT *, {d.rows(d.upto(d.n('nt')))} AS j FROM ({one}) y) z WHERE j <> i AND length(w) >= 3"
+        one = f"SELECT eid, country, name_words, {d.at('name_words', 'i')} AS w, i FROM (SELECT eid, country, name_words, {d.rows(d.upto(d.n('name_words')))} AS i FROM {source}) x"
+        other = f"SELECT eid, country, w, {d.at('name_words', 'j')} AS o FROM (SELECT *, {d.rows(d.upto(d.n('name_words')))} AS j FROM ({one}) y) z WHERE j <> i AND length(w) >= 3"
         return f"SELECT DISTINCT eid, country, {letters(d, 'concat(w, substr(o, 1, 1))')} AS k FROM ({other}) v"
     raise ValueError(kind)
 
@@ -58,17 +58,17 @@ for _kind in ("aexact", "corenum", "anum", "anumt", "aalpha", "cat", "ini"):
 @dual
 def keys_typo(d):
     """Letters of a word short of one, anchored at another word of the name; words of a record must be unknown to the registry."""
-    w = f"SELECT eid, country, nt, {d.at('nt', 'i')} AS a, i FROM (SELECT eid, country, nt, {d.rows(d.upto(d.n('nt')))} AS i FROM qt) x"
+    w = f"SELECT eid, country, name_words, {d.at('name_words', 'i')} AS a, i FROM (SELECT eid, country, name_words, {d.rows(d.upto(d.n('name_words')))} AS i FROM qt) x"
     cut = f"SELECT *, {d.rows(d.upto('length(a)'))} AS j FROM w WHERE length(a) >= 4 AND a NOT IN (SELECT w FROM vocab)"
-    return with_(d, *_base(d), f"vocab AS (SELECT DISTINCT w FROM (SELECT {d.rows('nt')} AS w FROM st) v)", f"w AS ({w})", f"c AS ({cut})") + f"SELECT DISTINCT c.eid, concat(o.a, '|', {letters(d, 'concat(substr(c.a, 1, cast(c.j as int) - 1), substr(c.a, cast(c.j as int) + 1))')}) AS k FROM c JOIN w o ON o.eid = c.eid AND o.i <> c.i"
+    return with_(d, *_base(d), f"vocab AS (SELECT DISTINCT w FROM (SELECT {d.rows('name_words')} AS w FROM st) v)", f"w AS ({w})", f"c AS ({cut})") + f"SELECT DISTINCT c.eid, concat(o.a, '|', {letters(d, 'concat(substr(c.a, 1, cast(c.j as int) - 1), substr(c.a, cast(c.j as int) + 1))')}) AS k FROM c JOIN w o ON o.eid = c.eid AND o.i <> c.i"
 
 
 @dual
 def name_keys(d):
     """Sorted names, whole and short of one word, kept where few entities share them."""
     def some(source: str) -> str:
-        drop = d.joined(d.ordered(d.each2("nt", "x", "i", "{i} <> m")))
-        return f"SELECT eid, country, {d.joined(d.ordered('nt'))} AS k, 'whole' AS kind FROM {source} UNION ALL SELECT eid, country, {drop}, 'short' FROM (SELECT eid, country, nt, {d.rows(d.upto(d.n('nt')))} AS m FROM {source} WHERE {d.n('nt')} >= 2) z"
+        drop = d.joined(d.ordered(d.each2("name_words", "x", "i", "{i} <> m")))
+        return f"SELECT eid, country, {d.joined(d.ordered('name_words'))} AS k, 'whole' AS kind FROM {source} UNION ALL SELECT eid, country, {drop}, 'short' FROM (SELECT eid, country, name_words, {d.rows(d.upto(d.n('name_words')))} AS m FROM {source} WHERE {d.n('name_words')} >= 2) z"
     return with_(d, *_base(d), f"sk AS ({some('st')})", f"qk AS ({some('qt')})", "rare AS (SELECT country, k FROM (SELECT DISTINCT country, k, eid FROM sk) x GROUP BY country, k HAVING count(*) <= 3)") + "SELECT DISTINCT q.eid AS rid, s.eid AS s1 FROM qk q JOIN rare r ON r.country = q.country AND r.k = q.k JOIN sk s ON s.country = r.country AND s.k = r.k"
 
 
@@ -76,7 +76,7 @@ def name_keys(d):
 def oov_gate(d):
     """Records without an owner that have a word of three or more letters which the registry doesn't know."""
     anti = "LEFT ANTI" if d.name == "spark" else "ANTI"
-    return with_(d, scored(d), "free AS (SELECT * FROM qt WHERE eid NOT IN (SELECT rid FROM scored WHERE p >= 0.5))", f"vocab AS (SELECT DISTINCT w FROM (SELECT {d.rows('nt')} AS w FROM st) v)", f"words AS (SELECT DISTINCT eid, w FROM (SELECT eid, {d.rows('nt')} AS w FROM free) x WHERE length(w) >= 3)") + f"SELECT eid, count(*) AS unknown FROM words {anti} JOIN vocab v ON v.w = words.w GROUP BY eid"
+    return with_(d, scored(d), "free AS (SELECT * FROM qt WHERE eid NOT IN (SELECT rid FROM scored WHERE p >= 0.5))", f"vocab AS (SELECT DISTINCT w FROM (SELECT {d.rows('name_words')} AS w FROM st) v)", f"words AS (SELECT DISTINCT eid, w FROM (SELECT eid, {d.rows('name_words')} AS w FROM free) x WHERE length(w) >= 3)") + f"SELECT eid, count(*) AS unknown FROM words {anti} JOIN vocab v ON v.w = words.w GROUP BY eid"
 
 
 @dual
@@ -90,7 +90,7 @@ def rescue_select(d):
 
 @dual
 def rescue_features(d):
-    return with_(d, scored(d)) + f"SELECT c.rid, c.s1, {d.n(d.common('q.nt', 's.nt'))} AS common_words, CASE WHEN q.address = '' THEN -1 ELSE {d.n(d.common('q.adt', 's.adt'))} END AS address_words, CASE WHEN {letters(d, 'q.name_core')} = {letters(d, 's.name_core')} THEN 1 ELSE 0 END AS same_letters FROM cand c JOIN qt q ON q.eid = c.rid JOIN st s ON s.eid = c.s1"
+    return with_(d, scored(d)) + f"SELECT c.rid, c.s1, {d.n(d.common('q.name_words', 's.name_words'))} AS common_words, CASE WHEN q.address = '' THEN -1 ELSE {d.n(d.common('q.address_words', 's.address_words'))} END AS address_words, CASE WHEN {letters(d, 'q.name_core')} = {letters(d, 's.name_core')} THEN 1 ELSE 0 END AS same_letters FROM cand c JOIN qt q ON q.eid = c.rid JOIN st s ON s.eid = c.s1"
 
 
 @dual

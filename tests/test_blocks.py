@@ -9,7 +9,7 @@ from erloom.sources.fixtures import registry, texts
 
 def test_blocks(spark, sf):
     d = Spark(sf)
-    both = [spark.sql(with_(d, registry(d), texts(d, "t", x)) + f"SELECT t.eid, t.country, {x}.name_core AS name, t.nt, t.adt FROM t JOIN {x} ON t.eid = {x}.eid").collect() for x in ("q", "s1")]
+    both = [spark.sql(with_(d, registry(d), texts(d, "t", x)) + f"SELECT t.eid, t.country, {x}.name_core AS name, t.name_words, t.address_words FROM t JOIN {x} ON t.eid = {x}.eid").collect() for x in ("q", "s1")]
     q, s1 = both
     near = [(a, b) for a in q for b in s1 if a.country == b.country]
     want = {(a.eid, b.eid) for a, b in near if len(b.name) >= 4 and a.name[:4] == b.name[:4]}
@@ -19,7 +19,7 @@ def test_blocks(spark, sf):
     want = hit | {(a.eid, b.eid, "country") for a, b in near if a.name and a.eid not in known}
     assert {(r.rid, r.s1, r.how) for r in QUERIES["prefix_block_fallback"](spark, sf).collect()} == want
     want = set()
-    for col in ("nt", "adt"):
+    for col in ("name_words", "address_words"):
         n = Counter(w for a in q for w in set(a[col]) if len(w) >= 4)
         want |= {(a.eid, b.eid) for a, b in near if any(n[w] <= 500 for w in set(a[col]) & set(b[col]) if len(w) >= 4)}
     assert {(r.rid, r.s1) for r in QUERIES["rare_token_block"](spark, sf).collect()} == want
