@@ -82,3 +82,40 @@ def test_address_classes():
     cases = [("", "1 a st", "missing", None), ("1 a st", "", "s_missing", None), ("a 1 st", "1 a st", "same", None), ("1 ast", "1 a st", "same_ns", None), ("a st", "1 a st", "numdrop", None), ("1 2 a st", "1 a st", "numadd", None), ("8 a st", "1 a st", "numchg1", 7), ("1 maple st", "1 mapel st", "typo", None), ("1 x st", "1 yyyy st", "street", None), ("2 x st", "1 yyyy st", "other", None)]
     for q, s, c, d in cases:
         assert address_class(q, s) == (c, d)
+
+
+SCRIPTS = [
+    ("प्राइवेट लिमिटेड", "praivet limited"),
+    ("उत्तर प्रदेश", "uttr prdes"),
+    ("महाराष्ट्र", "mharastr"),
+    ("पंजाब", "pmjab"),
+    ("தமிழ்நாடு", "tmilnatu"),
+    ("കേരളം", "kerlm"),
+    ("ગુજરાત", "gujrat"),
+    ("Москва Щука", "moskva shchuka"),
+    ("Αθήνα", "athina"),
+    ("Crème Brûlée №5 Straße", "creme brulee no5 strasse"),
+    ("日本 Ltd", " ltd"),
+]
+
+
+def test_scripts(spark):
+    rows = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(SCRIPTS)], "i int, a string").select("i", text.to_ascii(F.col("a")).alias("n")).orderBy("i").collect()
+    assert [r.n for r in rows] == [n for _, n in SCRIPTS]
+
+
+def test_extended_french_forms(spark):
+    rows = spark.createDataFrame([("Dupont et Fils (France)", "12 rue de l'Eglise, Gironde"), ("Frs Martin EIRL", "12B av. Foch")], "a string, b string")
+    got = rows.select(text.normalize_name(F.col("a"), fixes=text.NAME_FIXES).alias("n"), text.normalize_address_france(F.col("b"), text.ADDRESS_FIXES).alias("a")).collect()
+    assert [(r.n.full, r.n.core, r.a) for r in got] == [("dupont and fils", "dupont", "12 r de eglise"), ("freres martin eirl", "martin", "12 bis ave foch")]
+
+
+def test_learned_map_applies_to_other_scripts(spark):
+    got = spark.createDataFrame([("ट्रेडर्स",), ("treders",)], "a string").select(text.normalize_name(F.col("a"), {"tredrs": "traders", "treders": "traders"}).alias("n")).collect()
+    assert [r.n.full for r in got] == ["traders", "treders"]
+
+
+def test_state_names_of_several_words(spark):
+    cases = [("New York, NY", "US", "ny ny"), ("West Virginia", "US", "wv"), ("Washington, District of Columbia", "US", "wa dc"), ("New Town, North Dakota", "US", "new town nd"), ("Jammu and Kashmir", "India", "jk"), ("Bhopal, Madhya Pradesh", "india", "bhopal mp")]
+    rows = spark.createDataFrame([(i, a, c) for i, (a, c, _) in enumerate(cases)], "i int, a string, c string").select("i", text.normalize_address(F.col("a"), F.col("c")).alias("n")).orderBy("i").collect()
+    assert [r.n for r in rows] == [n for _, _, n in cases]
