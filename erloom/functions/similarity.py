@@ -156,14 +156,21 @@ def jaro_winkler(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
     return out
 
 
+def distinct_pairs(a: pd.Series, b: pd.Series) -> tuple[np.ndarray, list[str], list[str]]:
+    """(code of each row, left and right sides of the distinct pairs by code)."""
+    place: dict[tuple[str, str], int] = {}
+    codes = np.fromiter((place.setdefault(pair, len(place)) for pair in zip(a, b, strict=True)), dtype=np.int64, count=len(a))
+    return codes, [x for x, _ in place], [y for _, y in place]
+
+
 def over_distinct(f: Callable, a: pd.Series, b: pd.Series) -> pd.Series:
     """f over the distinct pairs of a batch, dealt back to its rows; null where a side is null."""
-    some = a.notna() & b.notna()
-    codes, distinct = pd.factorize(pd.MultiIndex.from_arrays([a[some], b[some]]))
-    out = pd.Series(np.nan, index=a.index)
-    if len(distinct):
-        out[some] = f([x for x, _ in distinct], [y for _, y in distinct])[codes]
-    return out
+    some = (a.notna() & b.notna()).to_numpy()
+    codes, left, right = distinct_pairs(a[some], b[some])
+    out = np.full(len(a), np.nan)
+    if len(codes):
+        out[some] = f(left, right)[codes]
+    return pd.Series(out)
 
 
 def _udf(f: Callable):

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from erloom.functions import similarity as sim
 from erloom.functions import text
-from erloom.operators.decide import address_class, best_count, name_class
+from erloom.operators import decide
+from erloom.operators.decide import best_count
 
 words = st.text("abc ", max_size=9)
 
@@ -16,20 +17,56 @@ words = st.text("abc ", max_size=9)
 @settings(max_examples=80, deadline=None)
 @given(words, words)
 def test_ratio_properties(a, b):
-    assert sim.ratio(a, b) == sim.ratio(b, a)
-    assert 0 <= sim.ratio(a, b) <= 100 and sim.ratio(a, a) == 100
+    one = lambda f, *x: float(f(*[[y] for y in x])[0])
+    assert one(sim.ratio, a, b) == one(sim.ratio, b, a)
+    assert 0 <= one(sim.ratio, a, b) <= 100 and one(sim.ratio, a, a) == 100
+    assert sim.lcs([a], [b])[0] == longest(a, b)
+    assert one(sim.token_sort_ratio, a, b) == one(sim.token_sort_ratio, " ".join(reversed(a.split())), b)
+    assert one(sim.token_set_ratio, a, b) == pytest.approx(token_set(a, b))
+    assert one(sim.partial_ratio, a, b) == pytest.approx(partial(a, b))
+
+
+def longest(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, j in itertools.product(range(len(a)), range(len(b))):
         table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
-    assert sim.lcs(a, b) == table[-1][-1]
-    assert sim.token_sort_ratio(a, b) == sim.token_sort_ratio(" ".join(reversed(a.split())), b)
+    return table[-1][-1]
+
+
+def plain_ratio(a, b):
+    return 200 * longest(a, b) / (len(a) + len(b)) if a or b else 100.0
+
+
+def token_set(a, b):
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    both = " ".join(sorted(x & y))
+    left, right = ((both + " " + " ".join(sorted(own))).strip() for own in (x - y, y - x))
+    return max(plain_ratio(left, right), *((plain_ratio(both, left), plain_ratio(both, right)) if both else (0,)))
+
+
+def partial(a, b):
+    a, b = sorted((a, b), key=len)
+    if not a:
+        return 0.0 if b else 100.0
+    return max(plain_ratio(a, b[max(0, i) : i + len(a)]) for i in range(1 - len(a), len(b)))
+
 
+def test_batches_of_long_and_short_strings():
+    rng = np.random.default_rng(1)
+    a, b = (["".join(rng.choice(list("abc "), rng.integers(0, n))) for n in rng.integers(1, 150, 300)] for _ in range(2))
+    assert sim.lcs(a, b).tolist() == [longest(x, y) for x, y in zip(a, b)]
 
-def test_known_similarities():
-    assert round(sim.ratio("kitten", "sitting"), 3) == 61.538
-    assert round(sim.ratio("wise data", "wisedata"), 3) == 94.118
-    assert sim.token_set_ratio("acme inc", "acme") == 100
-    assert round(sim.jaro_winkler("martha", "marhta"), 4) == 0.9611
+
+def test_known_similarities(spark):
+    got = {f.__name__: f for f in (sim.ratio, sim.token_set_ratio, sim.jaro_winkler)}
+    assert round(got["ratio"](["kitten"], ["sitting"])[0], 3) == 61.538
+    assert round(got["ratio"](["wise data"], ["wisedata"])[0], 3) == 94.118
+    assert got["token_set_ratio"](["acme inc"], ["acme"])[0] == 100
+    assert round(got["jaro_winkler"](["martha"], ["marhta"])[0], 4) == 0.9611
+    rows = spark.createDataFrame([("a b", "a b"), (None, "a"), ("a b", "a b"), ("ab", "ba")], "a string, b string")
+    assert [r.r for r in rows.select(sim.UDFS["ratio"]("a", "b").alias("r")).collect()] == [100.0, None, 100.0, 50.0]
 
 
 NAMES = [
@@ -58,7 +95,7 @@ def test_normal_forms(spark):
 
 @pytest.mark.parametrize(("p", "k"), [([0.55], 1), ([0.45], 0), ([0.6, 0.6], 2), ([0.9, 0.6, 0.3], 1), ([0.99, 0.99, 0.99, 0.75], 3), ([0.99, 0.99, 0.99, 0.8], 4)])
 def test_expected_f(p, k):
-    assert best_count(np.array(p))[0] == k
+    assert best_count(np.array(p)) == k
 
 
 def test_expected_f_by_enumeration():
@@ -71,17 +108,78 @@ def test_expected_f_by_enumeration():
             tp, n = sum(truth[:k]), sum(truth)
             total += w * (1.0 if k == n == 0 else 1.25 * tp / (0.25 * n + k) if n + k else 1.0)
         values.append(total)
-    assert best_count(p) == (int(np.argmax(values)), pytest.approx(max(values)))
+    assert best_count(p) == int(np.argmax(values))
+
+
+NAME_CASES = [  # query, entity, class for review, class for a proposal
+    ("sharma traders", "traders sharma", "eq", "order"),
+    ("wisedata", "wise data", "spaceless", "spaceless"),
+    ("wd", "wise data", "acr", "acronym"),
+    ("wise datas", "wise data", "typo", "typo"),
+    ("xylo yak", "abc bcd", "disjoint", "swap"),
+    ("alpha beta gamma", "alpha beta", "add", "add"),
+    ("alpha", "alpha beta", "rm", "rm"),
+    ("alpha xxxx", "alpha bbbb", "swap1", "swap"),
+    ("", "alpha", "empty", "rm"),
+    ("alpha ltd", "alpha inc", "eq", "legal"),
+    ("alpha beta", "alpha beta", "eq", "same"),
+    ("alphabet", "alpha beta house", "disjoint", "rm"),
+    ("alpha vvvv wwww", "alpha beta", "other", "swap"),
+]
+ADDRESS_CASES = [  # query, entity, class and delta for review, class and delta for a proposal
+    ("", "1 a st", "missing", None, "missing", None),
+    ("1 a st", "", "s_missing", None, "s_missing", None),
+    ("a 1 st", "1 a st", "other", None, "same", None),
+    ("b 1 st", "1 st", "same_ns", None, "bister", None),
+    ("maple st", "1 maple st", "numdrop", None, "num_dropped", None),
+    ("8 maple st", "1 maple st", "numchg1", 7, "num_change", 7),
+    ("1 2 maple st", "1 maple st", "numchg", None, "num_partial", None),
+    ("1 maple st", "1 mapel st", "same_num_wtypo", None, "typo", None),
+    ("1 xyz st", "1 yyyy st", "street", None, "street", None),
+    ("2 maple st", "1 mapel st", "numchg1_wtypo", 1, "num_change", 1),
+    ("2 xyz st", "1 yyyy rd", "other", None, "other", 1),
+    ("1 maple nord st", "1 maple st", "street", None, "region", None),
+    ("1 maple st big", "1 maple st", "street", None, "subset", None),
+]
+
+
+def test_name_classes(spark):
+    q, s, review, proposal = map(list, zip(*NAME_CASES))
+    assert [c[0] for c in decide.review_names(q, s)] == review
+    assert [c[0] for c in decide.proposal_names(q, s)] == proposal
+    assert decide.review_names(["alpha xxxx"], ["alpha bbbb"]) == [("swap1", "xxxx", "bbbb")]
+    rows = spark.createDataFrame(list(zip(q, s)) * 2 + [(None, None)], "q string, s string").select(decide.review_name("q", "s").alias("c")).collect()
+    assert [r.c.name_class for r in rows] == [*review, *review, "empty"]
+
+
+def test_address_classes(spark):
+    q, s, review, rd, proposal, pd_ = map(list, zip(*ADDRESS_CASES[3:] + ADDRESS_CASES[:2]))
+    assert decide.review_addresses(q, s) == list(zip(review, rd))
+    assert decide.proposal_addresses(q, s) == list(zip(proposal, pd_))
+    keys = spark.createDataFrame([("a 1 st nord", "1b a st")], "q string, s string").select(decide.address_key(F.col("q")).alias("q"), decide.address_key(F.col("s")).alias("s")).first()
+    assert (keys.q, keys.s) == ("1 a st", "1 a b st")
+
+
+def test_verdicts(spark):
+    cases = [("eq", "", "", "same", None, "same"), ("typo", "", "", "numchg1", 8, "unsure_num"), ("eq", "", "", "numchg1", -7, "diff_addr"), ("add", "cie", "", "same_ns", None, "same_noise"), ("add", "bakery", "", "same", None, "unsure_addword"), ("swap1", "bakery", "shop", "same", None, "diff_typeswap"), ("disjoint", "a", "b", "same", None, "unsure_disjoint"), ("rm", "", "x", "other", None, "unsure_addr"), ("eq", "", "", "other", None, "unsure_addr")]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, n string, a string, r string, ac string, d long, v string").orderBy("i")
+    got = rows.select("v", decide.verdict(*(F.col(c) for c in ("n", "a", "r", "ac", "d"))).alias("got")).collect()
+    assert [r.got for r in got] == [r.v for r in got]
 
 
-def test_name_classes():
-    assert [name_class(a, b) for a, b in [("a b", "b a"), ("wisedata", "wise data"), ("wd", "wise data"), ("wise datas", "wise data"), ("x y", "a b"), ("a b c", "a b"), ("a", "a b"), ("a x", "a bbbb"), ("", "a")]] == ["eq", "spaceless", "acr", "typo", "disjoint", "add", "rm", "swap1", "empty"]
+def test_new_words():
+    assert decide.new_words(["alpha bakery ltd", "alphahouse", "alpha beta", "alpha baker"], ["alpha shop", "alpha house", "betta alpha", "alpha bakers"]) == [["bakery"], [], [], []]
 
 
-def test_address_classes():
-    cases = [("", "1 a st", "missing", None), ("1 a st", "", "s_missing", None), ("a 1 st", "1 a st", "same", None), ("1 ast", "1 a st", "same_ns", None), ("a st", "1 a st", "numdrop", None), ("1 2 a st", "1 a st", "numadd", None), ("8 a st", "1 a st", "numchg1", 7), ("1 maple st", "1 mapel st", "typo", None), ("1 x st", "1 yyyy st", "street", None), ("2 x st", "1 yyyy st", "other", None)]
-    for q, s, c, d in cases:
-        assert address_class(q, s) == (c, d)
+def test_expected_f05_of_a_table(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, int(rng.integers(0, 40)), float(rng.random())) for i in range(400)]
+    got = {(r.rid, r.s1): r.keep for r in decide.expected_f05(spark.createDataFrame(rows, "rid long, s1 long, p double"), 1.887).collect()}
+    for s in range(40):
+        own = sorted((-p, r) for r, e, p in rows if e == s)
+        q = [-p / (-p + 1.887 * (1 + p)) for p, _ in own][:12]
+        k = best_count(np.array(q)) if q else 0
+        assert [got[r, s] for _, r in own] == [i < k for i in range(len(own))]
 
 
 SCRIPTS = [
