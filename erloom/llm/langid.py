@@ -31,7 +31,7 @@ EPOCHS, RATE, DECAY = 5, 0.5, 1e-4
 #: ones go together, so many that their steps fill CELLS.
 LONG, BLOCK, CELLS = 4096, 256, 250_000
 #: Words whose scores a worker remembers; at this many it begins anew.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Potentials are this share of the greatest of their step at least, so that no message vanishes in single precision.
 FLOOR = 1e-12
 #: A filtering stage rejects documents without letters and those of which no language has this share.

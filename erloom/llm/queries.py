@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
 from .ans import op3_ans
 from .decontam import op8_decontamination
 from .embedding import op6_embeddings
@@ -16,12 +14,6 @@ from .secrets import ACCESS, ASSIGN, HEX, TOKEN, TOKEN_DIGITS, TOKEN_DISTINCT, T
 from .sharding import LEAST_BUCKETS, SLOT_ROWS, op4_sharding
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_quality": op2_quality,

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker remembers; at this many it begins anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 500_000
 #: Texts whose pieces may not be encoded apart: white space around a space, a space at the end, special tokens,
 #: and the two characters that stand for "no space here" and for a line end below.
 _SPACE = r"[\s\x0b\x{85}\pZ]"
