@@ -358,6 +358,8 @@ def vetoed(owners: DataFrame, words: DataFrame) -> Column:
     return F.size(F.array_intersect(F.array_except(lettered, F.split("s_name_full", " ")), F.coalesce("words", F.array().cast("array<string>")))) > 0
 
 
+# fixed values: words that no name is told apart by
+SWAP_NOISE = ("pvt", "private", "ltd", "limited", "llp", "llc", "inc", "incorporated", "corp", "corporation", "co", "company", "lp", "plc", "pllc", "pc", "sarl", "sas", "sasu", "eurl", "sa", "sci", "snc", "cie", "fils", "et", "and", "the", "of", "de", "du", "des", "la", "le", "les", "associes", "ei", "services", "service", "center", "centre", "shri", "sri", "ms", "formerly", "known", "as", "dba", "com", "www")
 #: A word is frequent from so many entities of a country on; a swap veto holds below this probability.
 VOCABULARY, SWAP_P, SWAP_RATIO = 50, 0.99, 70
 
@@ -386,7 +388,7 @@ def swapped(owners: DataFrame, entities: DataFrame, least: int = VOCABULARY) ->
     d = owners.where(F.col("p") < SWAP_P).withColumns({"qw": F.split("q_name_full", " "), "sw": F.split("s_name_full", " ")})
 
     def frequent(a: str, b: str, name: str) -> DataFrame:
-        each = d.select("rid", "s1", F.col("q_country").alias("country"), F.explode(F.array_except(a, b)).alias("w")).where((F.length("w") >= 3) & ~F.col("w").isin(*_UNSAID))
+        each = d.select("rid", "s1", F.col("q_country").alias("country"), F.explode(F.array_except(a, b)).alias("w")).where(F.col("w").rlike("^[a-z]{3,}$") & ~F.col("w").isin(*SWAP_NOISE))
         return each.join(df, ["country", "w"], "left_semi").groupBy("rid", "s1").agg(F.collect_set("w").alias(name))
 
     both = d.join(frequent("qw", "sw", "added"), ["rid", "s1"]).join(frequent("sw", "qw", "lost"), ["rid", "s1"])

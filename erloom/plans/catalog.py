@@ -71,7 +71,7 @@ def tuple_in(d):
 
 @dual
 def not_in_assigned(d):
-    return with_(d, scored(d)) + "SELECT eid AS rid, cls FROM q WHERE eid NOT IN (SELECT rid FROM scored WHERE p >= 0.5)"
+    return with_(d, scored(d)) + "SELECT eid AS rid, cls FROM q WHERE NOT EXISTS (SELECT 1 FROM scored c WHERE c.rid = q.eid AND c.p >= 0.5)"
 
 
 @dual
@@ -182,8 +182,8 @@ def count_over(d):
 
 @dual
 def distinct_over(d):
-    size = "cast(size(collect_set(brand) OVER w) as bigint)" if d.name == "spark" else "count(DISTINCT brand) OVER w"
-    return with_(d, registry(d)) + f"SELECT k, count(*) OVER w AS n, {size} AS brands FROM base WINDOW w AS (PARTITION BY country, sz)"
+    # a distinct count over a window is the highest dense rank in it
+    return with_(d, registry(d)) + "SELECT k, count(*) OVER w AS n, cast(max(r) OVER w as bigint) AS brands FROM (SELECT *, dense_rank() OVER (PARTITION BY country, sz ORDER BY brand) AS r FROM base) x WINDOW w AS (PARTITION BY country, sz)" if d.name == "spark" else with_(d, registry(d)) + "SELECT k, count(*) OVER w AS n, count(DISTINCT brand) OVER w AS brands FROM base WINDOW w AS (PARTITION BY country, sz)"
 
 
 @dual

@@ -14,14 +14,6 @@ def _siblings(d) -> str:
 pairs AS (SELECT c.rid, c.s1, c.p, {d.div('c.rid', 10000000000)} AS source, {first('q')} AS qn, {first('s')} AS sn, CASE WHEN {first('q')} IS NULL OR {first('s')} IS NULL THEN NULL WHEN {first('q')} = {first('s')} THEN 1 ELSE 0 END AS fne FROM scored c JOIN qt q ON q.eid = c.rid JOIN st s ON s.eid = c.s1)"""
 
 
-@dual
-def stage2_context(d):
-    """Context of a pair among its record's and its entity's other pairs; ties make several rows best."""
-    return with_(d, scored(d), "byrec AS (SELECT rid, max(p) AS r_top1, count(*) AS n FROM scored GROUP BY rid)", "second AS (SELECT rid, p AS r_second FROM (SELECT rid, p, row_number() OVER (PARTITION BY rid ORDER BY p DESC, s1) AS r FROM scored) x WHERE r = 2)", "j AS (SELECT c.rid, c.s1, c.p, b.r_top1, coalesce(x.r_second, 0) AS r_second, c.p = b.r_top1 AS is_best FROM scored c JOIN byrec b ON b.rid = c.rid LEFT JOIN second x ON x.rid = c.rid)", "bye AS (SELECT s1, count(CASE WHEN is_best THEN 1 END) AS n_best, sum(CASE WHEN is_best THEN cast(round(p * 1000) as bigint) ELSE 0 END) AS sum_best FROM j GROUP BY s1)") + """
-SELECT j.rid, j.s1, r_top1, r_second, round(p - r_top1, 6) AS gap, round(CASE WHEN is_best THEN p - r_second ELSE p - r_top1 END, 6) AS p_margin, CASE WHEN is_best THEN 1 ELSE 0 END AS is_best,
-  n_best - CASE WHEN is_best THEN 1 ELSE 0 END AS other_best, cast(sum_best - CASE WHEN is_best THEN cast(round(p * 1000) as bigint) ELSE 0 END as bigint) AS other_sum FROM j JOIN bye ON bye.s1 = j.s1"""
-
-
 @dual
 def sibling_counts(d):
     """Other records whose best entity is this one, sure enough, from either source."""
@@ -41,18 +33,6 @@ def odd_words(d):
     return with_(d, scored(d), "best AS (SELECT rid, s1, p FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY p DESC, s1) AS r FROM scored) z WHERE r = 1 AND p >= 0.5)", f"diff AS (SELECT c.rid, c.s1, {d.less('q.name_words', 's.name_words')} AS added, {d.less('s.name_words', 'q.name_words')} AS removed FROM scored c JOIN qt q ON q.eid = c.rid JOIN st s ON s.eid = c.s1)", f"word AS (SELECT rid, s1, {d.rows('added')} AS w FROM diff)", f"sibword AS (SELECT b.rid, b.s1, {d.rows('q.name_words')} AS w FROM best b JOIN qt q ON q.eid = b.rid)", "backed AS (SELECT w.rid, w.s1, count(DISTINCT w.w) AS n FROM word w JOIN sibword s ON s.s1 = w.s1 AND s.w = w.w AND s.rid <> w.rid GROUP BY w.rid, w.s1)") + f"SELECT f.rid, f.s1, {d.n('f.added')} AS add_n, {d.n('f.added')} - coalesce(b.n, 0) AS add_unsup, {d.n('f.removed')} AS rem_n FROM diff f LEFT JOIN backed b ON b.rid = f.rid AND b.s1 = f.s1"
 
 
-@dual
-def decoy_words(d):
-    """Words that records add to an otherwise complete name and that almost never come with a true pair."""
-    return with_(d, scored(d), f"top AS (SELECT rid, s1 FROM cand WHERE rk = 1)", f"extra AS (SELECT t.rid, t.s1, q.country, {d.rows(d.less('q.name_words', 's.name_words'))} AS w FROM top t JOIN qt q ON q.eid = t.rid JOIN st s ON s.eid = t.s1 WHERE {d.n(d.less('s.name_words', 'q.name_words'))} = 0)", "lab AS (SELECT e.*, CASE WHEN t.rid IS NULL THEN 1 ELSE 0 END AS decoy, CASE WHEN t.s1 = e.s1 THEN 1 ELSE 0 END AS good FROM extra e LEFT JOIN truth t ON t.rid = e.rid)") + f"SELECT country, w, {d.total('decoy')} AS decoy_n, {d.total('good')} AS true_n FROM lab WHERE length(w) >= 3 GROUP BY country, w HAVING sum(decoy) >= 2 AND sum(good) <= 0.002 * sum(decoy)"
-
-
-@dual
-def type_vocab(d):
-    """Words common in names and unknown in addresses."""
-    return with_(d, registry(d), texts(d, "st", "s1"), f"w AS (SELECT w, count(DISTINCT eid) AS n FROM (SELECT eid, {d.rows('name_words')} AS w FROM st) x GROUP BY w)", f"a AS (SELECT DISTINCT {d.rows('address_words')} AS w FROM st)") + f"SELECT w.w, n FROM w {'LEFT ANTI' if d.name == 'spark' else 'ANTI'} JOIN a ON a.w = w.w WHERE n >= 0.005 * (SELECT count(*) FROM s1)"
-
-
 def _owner(d) -> str:
     return "best AS (SELECT rid, s1, p FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY p DESC, s1) AS r FROM scored) z WHERE r = 1 AND p >= 0.01)"
 
@@ -79,19 +59,6 @@ def recheck_high(d):
     return with_(d, scored(d), "again AS (SELECT rid, s1, cast((rid * 3 + s1) % 101 as double) / 100 AS ps FROM scored WHERE p > 0.9 AND p <= 0.999)") + "SELECT c.rid, c.s1, least(c.p, coalesce(a.ps, c.p)) AS p FROM scored c LEFT JOIN again a ON a.rid = c.rid AND a.s1 = c.s1"
 
 
-@dual
-def decoy_veto(d):
-    """Owners whose record has a listed decoy word that the entity lacks are dropped."""
-    words = d.arr("'outlet'", "'studio'", "'annex'")
-    return with_(d, scored(d), _owner(d)) + f"SELECT b.rid, b.s1, b.p FROM best b JOIN qt q ON q.eid = b.rid JOIN st s ON s.eid = b.s1 WHERE {d.n(d.common(d.less('q.name_words', 's.name_words'), words))} = 0"
-
-
-@dual
-def word_swap_veto(d):
-    """One frequent word replaced by another frequent word."""
-    return with_(d, scored(d), _owner(d), f"df AS (SELECT w, count(*) AS n FROM (SELECT {d.rows('name_words')} AS w FROM st) x GROUP BY w)", f"sw AS (SELECT b.rid, b.s1, {d.at(d.less('q.name_words', 's.name_words'), 1)} AS a, {d.at(d.less('s.name_words', 'q.name_words'), 1)} AS r FROM best b JOIN qt q ON q.eid = b.rid JOIN st s ON s.eid = b.s1 WHERE {d.n(d.less('q.name_words', 's.name_words'))} = 1 AND {d.n(d.less('s.name_words', 'q.name_words'))} = 1)") + "SELECT sw.rid, sw.s1, sw.a, sw.r FROM sw JOIN df x ON x.w = sw.r WHERE x.n >= 50 AND levenshtein(sw.a, sw.r) > 2"
-
-
 @dual
 def sibling_rule(d):
     """A doubtful owner with another house number goes if a sibling of the same source has the right one."""
@@ -116,23 +83,15 @@ def address_key(d):
     return with_(d, registry(d)) + f"SELECT eid, {d.joined(d.ordered(d.flt(d.words(text), 'x', chr(120) + ' <> ' + chr(39) * 2)))} AS akey FROM q"
 
 
-@dual
-def exact_address_add(d):
-    """Records at the address of exactly one entity, not yet a candidate of it, whose name is an acronym or all new words."""
-    acr = f"{d.joined(d.each(d.words('s.name_core'), 'x', 'substr(x, 1, 1)'), '')}"
-    return with_(d, scored(d), "one AS (SELECT country, address, min(eid) AS eid FROM s1 WHERE " + d.like("address", "^[0-9]+ ") + " GROUP BY country, address HAVING count(*) = 1)", f"vocab AS (SELECT DISTINCT {d.rows('name_words')} AS w FROM st)", f"seen AS (SELECT DISTINCT qw.eid FROM (SELECT eid, {d.rows('name_words')} AS w FROM qt) qw JOIN vocab v ON v.w = qw.w)") + f"""SELECT q.eid AS rid, o.eid AS s1 FROM q JOIN one o ON o.country = q.country AND o.address = q.address JOIN s1 s ON s.eid = o.eid
-WHERE NOT EXISTS (SELECT 1 FROM cand c WHERE c.rid = q.eid AND c.s1 = o.eid AND c.rk > 1) AND (starts_({acr}) OR NOT EXISTS (SELECT 1 FROM seen z WHERE z.eid = q.eid))""".replace(f"starts_({acr})", f"substr({acr}, 1, length(q.name_core)) = q.name_core")
-
-
 @dual
 def apply_changes(d):
     """Removals, then additions: one entity for each record, never for a record that still has one."""
-    return with_(d, scored(d), "cur AS (SELECT rid, s1 FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY p DESC, s1) AS r FROM scored) z WHERE r = 1 AND p >= 0.4)", "rem AS (SELECT rid, s1 FROM cur WHERE rid % 9 = 0)", "adds AS (SELECT rid, s1 FROM truth WHERE rid % 4 = 0)", f"left_ AS (SELECT c.* FROM cur c {'LEFT ANTI' if d.name == 'spark' else 'ANTI'} JOIN rem r ON r.rid = c.rid AND r.s1 = c.s1)", "fresh AS (SELECT a.rid, min(a.s1) AS s1 FROM adds a WHERE a.rid NOT IN (SELECT rid FROM left_) AND a.s1 IN (SELECT eid FROM s1) GROUP BY a.rid)") + "SELECT rid, s1 FROM left_ UNION ALL SELECT rid, s1 FROM fresh"
+    return with_(d, scored(d), "cur AS (SELECT rid, s1 FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY p DESC, s1) AS r FROM scored) z WHERE r = 1 AND p >= 0.4)", "rem AS (SELECT rid, s1 FROM cur WHERE rid % 9 = 0)", "adds AS (SELECT rid, s1 FROM truth WHERE rid % 4 = 0)", f"left_ AS (SELECT c.* FROM cur c {'LEFT ANTI' if d.name == 'spark' else 'ANTI'} JOIN rem r ON r.rid = c.rid AND r.s1 = c.s1)", "fresh AS (SELECT a.rid, min(a.s1) AS s1 FROM adds a WHERE NOT EXISTS (SELECT 1 FROM left_ l WHERE l.rid = a.rid) AND EXISTS (SELECT 1 FROM s1 WHERE s1.eid = a.s1) GROUP BY a.rid)") + "SELECT rid, s1 FROM left_ UNION ALL SELECT rid, s1 FROM fresh"
 
 
 @dual
 def empty_entity_fill(d):
-    return with_(d, scored(d), _owner(d), "filled AS (SELECT DISTINCT s1 FROM best WHERE p >= 0.5)", "rival AS (SELECT a.rid, a.s1, max(b.p) AS o FROM scored a LEFT JOIN scored b ON b.rid = a.rid AND b.s1 <> a.s1 GROUP BY a.rid, a.s1)") + "SELECT c.rid, c.s1, c.p FROM scored c JOIN rival r ON r.rid = c.rid AND r.s1 = c.s1 WHERE c.p >= 0.3 AND c.p < 0.5 AND coalesce(r.o, 0) < 0.2 AND c.s1 NOT IN (SELECT s1 FROM filled)"
+    return with_(d, scored(d), _owner(d), "filled AS (SELECT DISTINCT s1 FROM best WHERE p >= 0.5)", "rival AS (SELECT a.rid, a.s1, max(b.p) AS o FROM scored a LEFT JOIN scored b ON b.rid = a.rid AND b.s1 <> a.s1 GROUP BY a.rid, a.s1)") + "SELECT c.rid, c.s1, c.p FROM scored c JOIN rival r ON r.rid = c.rid AND r.s1 = c.s1 WHERE c.p >= 0.3 AND c.p < 0.5 AND coalesce(r.o, 0) < 0.2 AND NOT EXISTS (SELECT 1 FROM filled f WHERE f.s1 = c.s1)"
 
 
 @dual
@@ -152,13 +111,6 @@ def negative_sampling(d):
     return with_(d, scored(d), "r AS (SELECT c.rid, c.s1, CASE WHEN t.s1 = c.s1 THEN 1 ELSE 0 END AS label, row_number() OVER (PARTITION BY c.s1 ORDER BY c.score DESC, c.rid) AS rank_ FROM cand c LEFT JOIN truth t ON t.rid = c.rid AND t.s1 = c.s1)", "n AS (SELECT *, row_number() OVER (PARTITION BY s1, label ORDER BY rank_) AS i FROM r)") + "SELECT rid, s1, label, CASE WHEN s1 % 5 = 0 THEN 'valid' ELSE 'train' END AS part FROM n WHERE label = 1 AND rank_ <= 2000 OR label = 0 AND rank_ <= 300 AND i <= 100"
 
 
-@dual
-def verdict_case(d):
-    """First-match verdict from name class, address class and number difference."""
-    return with_(d, scored(d), _siblings(d), f"""cls AS (SELECT x.rid, x.s1, x.qn - x.sn AS delta, CASE WHEN q.name_core = s.name_core THEN 'eq' WHEN replace(q.name_core, ' ', '') = replace(s.name_core, ' ', '') THEN 'spaceless' WHEN {d.n(d.common('q.name_words', 's.name_words'))} = 0 THEN 'disjoint' WHEN {d.n(d.less('s.name_words', 'q.name_words'))} = 0 THEN 'add' WHEN {d.n(d.less('q.name_words', 's.name_words'))} = 0 THEN 'rm' ELSE 'other' END AS name_class,
-  CASE WHEN q.address = '' THEN 'missing' WHEN s.address = '' THEN 's_missing' WHEN q.address = s.address THEN 'same' WHEN x.fne = 0 THEN 'numchg' ELSE 'other' END AS addr_class FROM pairs x JOIN qt q ON q.eid = x.rid JOIN st s ON s.eid = x.s1)""") + f"""SELECT rid, s1, name_class, addr_class, CASE WHEN name_class IN ('eq', 'spaceless') AND addr_class = 'same' THEN 'same' WHEN addr_class = 'numchg' AND abs(delta) IN {SHIFTS} THEN 'diff_addr' WHEN name_class IN ('add', 'rm') AND addr_class IN ('same', 'missing') THEN 'same_noise' WHEN name_class = 'disjoint' THEN 'diff' ELSE 'unsure' END AS verdict FROM cls"""
-
-
 @dual
 def partial_filter(d):
     """Keep what both runs agree on, drop new pairs that are clearly apart, bring back old pairs that are clearly one."""
@@ -168,7 +120,7 @@ def partial_filter(d):
 @dual
 def proposal_rules(d):
     """Prioritised proposals for records without an owner: the first rule that holds, the best of them for each record."""
-    return with_(d, scored(d), "free AS (SELECT eid FROM q WHERE eid NOT IN (SELECT rid FROM scored WHERE p >= 0.8))", f"""rule AS (SELECT c.rid, c.s1, CASE WHEN q.address = s.address AND q.name_core = s.name_core THEN 1 WHEN q.address = s.address AND {d.n(d.common('q.name_words', 's.name_words'))} >= 2 THEN 2 WHEN replace(q.name_core, ' ', '') = replace(s.name_core, ' ', '') THEN 3 WHEN q.address = '' AND {d.n(d.less('q.name_words', 's.name_words'))} = 0 THEN 4 ELSE 9 END AS pri FROM cand c JOIN free f ON f.eid = c.rid JOIN qt q ON q.eid = c.rid JOIN st s ON s.eid = c.s1)""") + f"SELECT rid, {d.best('s1', '-pri', '-s1')} AS s1, min(pri) AS pri FROM rule WHERE pri < 9 GROUP BY rid"
+    return with_(d, scored(d), "free AS (SELECT eid FROM q WHERE NOT EXISTS (SELECT 1 FROM scored c WHERE c.rid = q.eid AND c.p >= 0.8))", f"""rule AS (SELECT c.rid, c.s1, CASE WHEN q.address = s.address AND q.name_core = s.name_core THEN 1 WHEN q.address = s.address AND {d.n(d.common('q.name_words', 's.name_words'))} >= 2 THEN 2 WHEN replace(q.name_core, ' ', '') = replace(s.name_core, ' ', '') THEN 3 WHEN q.address = '' AND {d.n(d.less('q.name_words', 's.name_words'))} = 0 THEN 4 ELSE 9 END AS pri FROM cand c JOIN free f ON f.eid = c.rid JOIN qt q ON q.eid = c.rid JOIN st s ON s.eid = c.s1)""") + f"SELECT rid, {d.best('s1', '-pri', '-s1')} AS s1, min(pri) AS pri FROM rule WHERE pri < 9 GROUP BY rid"
 
 
 @dual

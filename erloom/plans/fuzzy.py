@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from erloom.functions import similarity, text
-from erloom.operators import decide, features, models
+from erloom.operators import chain, decide, features, rescue
 
-from .dialect import Duck, Spark
+from .dialect import Duck
 from .registry import ORACLES, QUERIES, blocked, opened, query, scored, with_
 
 _D = Duck()
@@ -65,9 +65,259 @@ def sim_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.fuzzy_features(_pairs(spark, sf_dir), *(opened(spark, sf_dir).store.table(t) for t in ("qt", "st")))
 
 
-def _replaced(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
-    store = opened(spark, sf_dir).store
-    return decide.replacement_words(store.table("cand"), store.table("truth"), store.table("qt"), store.table("st"), least)
+def _store(spark: SparkSession, sf_dir: str):
+    return opened(spark, sf_dir).store
+
+
+@query()
+def relative_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The combined similarity, and gap and rank of seven similarities among a record's pairs."""
+    return features.relative_features(sim_fuzzy(spark, sf_dir))
+
+
+_SCORED = "SELECT rid, s1, p, score AS combined FROM scored"
+
+
+@query(with_(_D, scored(_D), f"t AS ({_SCORED})", "r AS (SELECT rid, max(p) AS r1, count(*) AS r_n, list_sort(list(p), 'DESC') AS ps FROM t GROUP BY rid)",
+             "j AS (SELECT t.*, r1, r_n, coalesce(ps[2], 0) AS r_second, p = r1 AS best FROM t JOIN r USING (rid))",
+             "s AS (SELECT s1, count(*) FILTER (WHERE best) AS n_best, count(*) FILTER (WHERE best AND p >= 0.5) AS n_conf, coalesce(sum(p) FILTER (WHERE best), 0) AS total, list_sort(list(p) FILTER (WHERE best), 'DESC') AS tops, count(*) AS n, max(combined) AS top FROM j GROUP BY s1)") + """
+SELECT rid, s1, r_second, r_n, round(p - r1, 6) AS p_gap_rid, round(CASE WHEN best THEN p - r_second ELSE p - r1 END, 6) AS p_margin, best::INT AS is_best, n_best - best::INT AS s_n_best_other, n_conf - (best AND p >= 0.5)::INT AS s_n_conf_other,
+  round(total - CASE WHEN best THEN p ELSE 0 END, 6) AS s_sum_other, CASE WHEN tops IS NULL OR len(tops) = 0 THEN 0.0 WHEN best AND p = tops[1] THEN coalesce(tops[2], 0) ELSE tops[1] END AS s_max_other, n AS s_n_pairs, round(combined - top, 6) AS combined_gap_s1 FROM j JOIN s USING (s1)""")
+def stage2_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pair's standing by probability among its record's and its entity's other pairs; ties make several rows best."""
+    d = opened(spark, sf_dir)
+    return features.context_features(spark.sql(with_(d, scored(d)) + _SCORED))
+
+
+_RUNS = lambda a: f"list_transform(regexp_extract_all({a}, '[0-9]+'), lambda n: regexp_replace(n, '^0+([0-9])', '\\1'))"
+_LESS = lambda a, b: f"list_distinct(list_filter({a}, lambda z: NOT list_contains({b}, z)))"
+_ODD_NUMBERS = with_(
+    _D, scored(_D), "best AS (SELECT rid, arg_max(s1, (p, -s1)) AS s1, max(p) AS p FROM scored GROUP BY rid)",
+    f"sib AS (SELECT b.rid, b.s1, b.p, q.name_core, q.address, {_RUNS('q.address')} AS nums FROM best b JOIN q ON q.eid = b.rid WHERE b.p >= 0.5)",
+    f"pair AS (SELECT c.rid, c.s1, q.name_core, q.address, {_RUNS('q.address')} AS qn, {_RUNS('s.address')} AS sn FROM scored c JOIN q ON q.eid = c.rid JOIN s1 s ON s.eid = c.s1 WHERE c.p >= 0.001)",
+    "near AS (SELECT p.rid, p.s1, count(x.rid) AS n5, count(x.rid) FILTER (WHERE x.p >= 0.9) AS n9, count(x.rid) FILTER (WHERE x.p >= 0.9 AND x.rid // 10000000000 <> p.rid // 10000000000) AS n9_x, count(x.rid) FILTER (WHERE x.name_core = p.name_core) AS same_name, count(x.rid) FILTER (WHERE x.address = p.address) AS same_address, count(x.rid) FILTER (WHERE list_contains(x.nums, p.qn[1])) AS q1, count(x.rid) FILTER (WHERE list_contains(x.nums, p.sn[1])) AS s1n, flatten(list(x.nums) FILTER (WHERE x.rid IS NOT NULL)) AS known FROM pair p LEFT JOIN sib x ON x.s1 = p.s1 AND x.rid <> p.rid GROUP BY p.rid, p.s1)",
+    f"d AS (SELECT p.*, n.* EXCLUDE (rid, s1), {_LESS('qn', 'sn')} AS qx, {_LESS('sn', 'qn')} AS sx, substr(qn[1], 1, 9)::BIGINT - substr(sn[1], 1, 9)::BIGINT AS delta FROM pair p JOIN near n USING (rid, s1))",
+    "e AS (SELECT *, flatten(list_transform(qx, lambda a: list_transform(sx, lambda b: substr(a, 1, 9)::BIGINT - substr(b, 1, 9)::BIGINT))) AS steps FROM d)") + """
+SELECT rid, s1, n5 AS o_n5, n9 AS o_n9, n9_x AS o_n9_x, CASE WHEN n5 > 0 THEN same_name END AS o_name_eq_sib, CASE WHEN n5 > 0 THEN same_address END AS o_addr_eq_sib, greatest(least(delta, 100), -100) AS o_d1,
+  CASE WHEN delta IS NULL THEN NULL WHEN delta = 0 THEN 0 WHEN delta IN (3, 4, 5, 7, 9, 11, 13, 21) THEN 1 WHEN delta IN (1, 2) THEN 2 WHEN delta IN (-1, -2) THEN 3 ELSE 4 END AS o_d1_cls,
+  (len(list_intersect(steps, [3, 4, 5, 7, 9, 11, 13, 21])) > 0)::INT AS o_shift_d8, (len(list_intersect(steps, [1, 2])) > 0)::INT AS o_shift_p12, (len(list_intersect(steps, [-1, -2])) > 0)::INT AS o_shift_n12,
+  CASE WHEN qn[1] IS NOT NULL THEN q1 END AS o_q1_sib, CASE WHEN sn[1] IS NOT NULL THEN s1n END AS o_s1_sib, CASE WHEN qn[1] IS NOT NULL AND sn[1] IS NOT NULL THEN (qn[1] <> sn[1] AND s1n > 0 AND q1 = 0)::INT END AS o_odd_num,
+  len(qx) AS o_qx_n, len(list_filter(qx, lambda n: list_contains(coalesce(known, []), n))) AS o_qx_sib,
+  CASE WHEN len(qx) = 0 THEN 0 ELSE len(list_filter(range(1, len(qn) + 1), lambda i: NOT (list_contains(sn, qn[i]) OR list_contains(coalesce(known, []), qn[i]) OR coalesce(list_bool_or(list_transform(sn, lambda b: contains(b, qn[i]) AND length(b) > length(qn[i]) OR i < len(qn) AND contains(b, qn[i] || qn[i + 1]) OR i > 1 AND contains(b, qn[i - 1] || qn[i]))), false)))) END AS o_qx_unexpl FROM e"""
+_ODD = "o_n5 o_n9 o_n9_x o_name_eq_sib o_addr_eq_sib o_d1 o_d1_cls o_shift_d8 o_shift_p12 o_shift_n12 o_q1_sib o_s1_sib o_odd_num o_qx_n o_qx_sib o_qx_unexpl".split()
+
+
+@query()
+def odd_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 28 odd-one-out features."""
+    d, t = opened(spark, sf_dir), _store(spark, sf_dir).table
+    lists = (decide.by_country(t(x)) for x in ("decoys", "replacements"))
+    return features.odd_features(spark.sql(with_(d, scored(d)) + "SELECT rid, s1, p FROM scored"), t("qt"), t("st"), *lists)
+
+
+@query(_ODD_NUMBERS)
+def odd_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The odd-one-out features that count siblings and numbers."""
+    return odd_features(spark, sf_dir).select("rid", "s1", *_ODD)
+
+
+def _full(k: str) -> str:
+    return f"list_filter(string_split({k}.name_full, ' '), lambda w: regexp_full_match(w, '[a-z]{{3,}}'))"
+
+
+DECOYS = f"""decoys AS (SELECT country, w, count(*) FILTER (WHERE NOT is_true) AS decoy_n, count(*) FILTER (WHERE is_true) AS true_n FROM (
+  SELECT q.country, t.rid IS NOT NULL AS is_true, unnest(list_distinct(list_filter({_full('q')}, lambda w: w NOT IN {_full('s')}))) AS w FROM cand c JOIN qt q ON q.eid = c.rid JOIN st s ON s.eid = c.s1 LEFT JOIN truth t ON t.rid = c.rid
+  WHERE c.rk = 1 AND c.s1 % 20 <> 0 AND (t.s1 IS NULL OR t.s1 = c.s1) AND len(s.name_words) > 0 AND list_has_all(string_split(q.name_full, ' '), s.name_words)) GROUP BY country, w
+  HAVING count(*) FILTER (WHERE NOT is_true) >= 2 AND count(*) FILTER (WHERE is_true) <= 0.002 * count(*) FILTER (WHERE NOT is_true))"""
+
+
+@query(with_(_D, blocked(_D), DECOYS) + "SELECT * FROM decoys")
+def decoy_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that records add to an otherwise complete name and that almost never come with a true pair."""
+    return _store(spark, sf_dir).table("decoys")
+
+
+@query()
+def replacement_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that stand in a record for another word of the entity's name and almost never come with a true pair."""
+    return _store(spark, sf_dir).table("replacements")
+
+
+@query(with_(_D, blocked(_D), "n AS (SELECT country, w, count(*) AS n FROM (SELECT country, unnest(list_distinct(string_split(name_core, ' '))) AS w FROM st) GROUP BY ALL)", "a AS (SELECT country, w, count(*) AS n_at FROM (SELECT country, unnest(list_distinct(string_split(address, ' '))) AS w FROM st) GROUP BY ALL)", "f AS (SELECT country, 0.005 * count(*) AS least FROM st GROUP BY country)")
+       + "SELECT n.country, n.w, n.n FROM n JOIN f USING (country) LEFT JOIN a USING (country, w) WHERE n >= least AND coalesce(n_at, 0) < least AND regexp_full_match(w, '[a-z]{3,}')")
+def type_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words common in a country's names and rare in its addresses."""
+    return decide.type_words(_store(spark, sf_dir).table("st"))
+
+
+def _owners(spark: SparkSession, sf_dir: str, least: float = 0.01) -> DataFrame:
+    d, t = opened(spark, sf_dir), _store(spark, sf_dir).table
+    scores = spark.sql(with_(d, scored(d)) + "SELECT rid, s1, p FROM scored")
+    return features.with_texts(features.best_of_record(scores).where(F.col("p") >= least), t("qt"), t("st"))
+
+
+_BEST = "best AS (SELECT * FROM (SELECT rid, arg_max(s1, (p, -s1)) AS s1, max(p) AS p FROM scored GROUP BY rid) WHERE p >= %s)"
+_VETO = f"vetoed AS (SELECT b.rid FROM best b JOIN qt q ON q.eid = b.rid JOIN st s ON s.eid = b.s1 WHERE EXISTS (SELECT 1 FROM decoys d WHERE d.country = q.country AND d.w IN {_full('q')} AND d.w NOT IN string_split(s.name_full, ' ')))"
+
+
+@query(with_(_D, scored(_D), DECOYS, _BEST % "0.01", _VETO) + "SELECT rid, s1, p FROM best WHERE rid NOT IN (SELECT rid FROM vetoed)")
+def decoy_veto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners whose record has a learned decoy word of its country that the entity lacks are dropped."""
+    words = decide.by_country(_store(spark, sf_dir).table("decoys")).withColumnRenamed("country", "q_country")
+    owners = _owners(spark, sf_dir).join(words, "q_country", "left")
+    return owners.where(~decide.vetoed(owners, words)).select("rid", "s1", "p")
+
+
+@query()
+def word_swap_veto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners whose name adds a frequent word and lacks a frequent word of the entity's, unlike each other."""
+    return decide.swapped(_owners(spark, sf_dir), _store(spark, sf_dir).table("st"), least=20).select("rid", "s1", "p")
+
+
+@query()
+def type_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners whose record adds a type word and lacks at most one word, unlike it."""
+    return decide.type_swaps(_owners(spark, sf_dir), type_vocab(spark, sf_dir)).select("rid", "s1", "new", "old")
+
+
+@query()
+def review_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review classes of every candidate pair, and the verdict."""
+    return decide.reviewed(_pairs(spark, sf_dir)).select("rid", "s1", "name_class", "added", "removed", "address_class", "delta", "verdict")
+
+
+@query()
+def proposal_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposal classes of every candidate pair."""
+    found = _pairs(spark, sf_dir).select("rid", "s1", decide.proposal_name("q_name_full", "s_name_full").alias("n"), decide.proposal_address("q_address", "s_address").alias("a"))
+    return found.select("rid", "s1", "n.*", "a.*")
+
+
+_CLASSES = "SELECT n, ac, a AS added, r AS removed, d AS delta FROM (VALUES {}) v1(n) CROSS JOIN (VALUES {}) v2(ac) CROSS JOIN (VALUES ('', ''), ('cie', ''), ('bakery', ''), ('bakery', 'shop'), ('', 'shop')) v3(a, r) CROSS JOIN (VALUES (1), (8), (-21), (NULL)) v4(d)".format(
+    *(", ".join(f"('{x}')" for x in names.split()) for names in ("eq spaceless acr typo disjoint add rm swap1 other empty", "missing s_missing same same_ns numdrop numchg1 numchg same_num_wtypo street numchg1_wtypo other")))
+
+
+@query(f"""SELECT n AS name_class, ac AS address_class, added, removed, delta::BIGINT AS delta, CASE
+  WHEN ac IN ('numchg1', 'numchg1_wtypo') AND n IN ('eq', 'typo', 'spaceless', 'acr') AND delta IS NOT NULL AND abs(delta) NOT IN (1, 2, 3, 4, 5, 7, 9, 11, 13, 21) THEN 'unsure_num'
+  WHEN ac IN ('numchg1', 'numchg1_wtypo', 'numchg', 'street') THEN 'diff_addr'
+  WHEN n IN ('eq', 'typo', 'spaceless', 'acr') AND ac = 'other' THEN 'unsure_addr' WHEN n IN ('eq', 'typo', 'spaceless', 'acr') THEN 'same'
+  WHEN n IN ('disjoint', 'empty') THEN 'unsure_' || n WHEN added = 'bakery' AND removed <> '' THEN 'diff_typeswap' WHEN added = 'bakery' THEN 'unsure_addword' WHEN ac = 'other' THEN 'unsure_addr' ELSE 'same_noise' END AS verdict FROM ({_CLASSES})""")
+def verdict_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every combination of classes."""
+    cases = spark.sql(_CLASSES).select(F.col("n").alias("name_class"), F.col("ac").alias("address_class"), "added", "removed", F.col("delta").cast("long").alias("delta"))
+    return cases.withColumn("verdict", decide.verdict(*(F.col(c) for c in ("name_class", "added", "removed", "address_class", "delta"))))
+
+
+@query()
+def expected_f05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners and whether the expected F0.5 of their entity keeps them."""
+    return decide.expected_f05(QUERIES["best_owner"](spark, sf_dir), chain.DECOY_WEIGHT)
+
+
+_KEY = f"array_to_string(list_sort(list_filter(string_split(regexp_replace(address, '{decide.REGION}', ' ', 'g'), ' '), lambda w: w <> '' AND w <> 'ndeg')), ' ')"
+_SAID = lambda c: f"list_filter(string_split({c}, ' '), lambda w: w <> '' AND w NOT IN {chain.ADDRESS_RULE_DROP})"
+ADDRESSES = f"""at_one AS (SELECT country, {_KEY} AS ak, any_value(eid) AS s1, any_value(name_full) AS name FROM s1 GROUP BY ALL HAVING count(*) = 1), known AS (SELECT DISTINCT country, unnest(string_split(name_full, ' ')) AS w FROM s1),
+near AS (SELECT r.eid AS rid, o.s1, r.country, {_SAID('r.name_full')} AS said, array_to_string(list_transform({_SAID('o.name')}, lambda w: w[1]), '') AS initials FROM (SELECT *, {_KEY} AS ak FROM q) r JOIN at_one o ON o.country = r.country AND o.ak = r.ak
+  WHERE regexp_matches(r.ak, '[0-9]') AND NOT EXISTS (SELECT 1 FROM cand c WHERE c.rid = r.eid AND c.s1 = o.s1)),
+additions AS (SELECT rid, s1 FROM near n WHERE len(said) = 1 AND regexp_full_match(said[1], '[a-z]{{2,4}}') AND starts_with(initials, said[1]) OR len(said) > 0 AND NOT EXISTS (SELECT 1 FROM known k WHERE k.country = n.country AND k.w IN n.said))"""
+
+
+@query(with_(_D, scored(_D), ADDRESSES) + "SELECT rid, s1 FROM additions")
+def exact_address_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records at the address of exactly one entity, not yet a candidate of it, whose name is an acronym or all new words."""
+    return chain.exact_addresses(*(_store(spark, sf_dir).table(t) for t in ("cand", "qt", "st")))
+
+
+@query(with_(_D, scored(_D), DECOYS, _BEST % "0.3", _VETO, ADDRESSES, """kept AS (SELECT b.*, b.rid // 10000000000 AS source, CASE WHEN q.numbers[1] IS NULL OR s.numbers[1] IS NULL THEN NULL ELSE (q.numbers[1] = s.numbers[1])::INT END AS fne FROM best b JOIN qt q ON q.eid = b.rid JOIN st s ON s.eid = b.s1 WHERE b.rid NOT IN (SELECT rid FROM vetoed))""") + """
+SELECT rid, s1, 'scored' AS origin FROM kept k WHERE NOT (p < 0.95 AND fne IS NOT DISTINCT FROM 0 AND EXISTS (SELECT 1 FROM kept x WHERE x.s1 = k.s1 AND x.source = k.source AND x.rid <> k.rid AND x.fne = 1))
+UNION ALL SELECT rid, min(s1), 'address' FROM additions WHERE rid NOT IN (SELECT rid FROM kept) GROUP BY rid""")
+def decision_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owner, veto, threshold, sibling rule and additions in their order, on scores from key arithmetic."""
+    d, t = opened(spark, sf_dir), _store(spark, sf_dir).table
+    scores = spark.sql(with_(d, scored(d)) + "SELECT rid, s1, p FROM scored")
+    return chain.decided(scores, t("cand"), t("qt"), t("st"), t("decoys"), rules=("veto", "sibling", "additions"), threshold=0.3)
+
+
+@query()
+def family_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decoy families of assigned pairs: a shifted number, a replacement word, a pair that only later stages promoted."""
+    t = _store(spark, sf_dir).table
+    pairs = _owners(spark, sf_dir).withColumn("p1", F.col("p") * 0.7)
+    return chain.families(pairs, t("replacements")).select("rid", "s1", "shift", "replacement", "promoted")
+
+
+@query()
+def staged_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of both stages, all out of fold by record, and of the stacker, out of fold by entity, where a pair is in
+    the band."""
+    t = _store(spark, sf_dir).table
+    return t("stage2").join(t("stack"), ["rid", "s1"], "left").select("rid", "s1", "label", F.col("p").alias("p1"), "p2", "ps")
+
+
+@query()
+def link_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain on model scores: every assigned record with its entity and where the pair comes from."""
+    t = _store(spark, sf_dir).table
+    rescued = rescue.accepted(t("rescue"), t("truth"), t("qt"), t("st"))
+    return chain.decided(t("final"), t("cand"), t("qt"), t("st"), t("decoys"), rescued)
+
+
+_NM = f"(CASE WHEN len(w) BETWEEN 2 AND 8 THEN list_concat([array_to_string(w, ' ')], list_transform(w, lambda x: array_to_string(list_filter(w, lambda y: y <> x), ' '))) WHEN len(w) = 1 THEN w ELSE [] END)"
+_HC = f"list_concat({_NM}, CASE WHEN len(w) BETWEEN 2 AND 8 THEN list_transform(list_filter(w, lambda x: length(x) >= 3), lambda x: array_to_string(list_filter(w, lambda y: y <> x), ' ') || '|' || x[1]) ELSE [] END)"
+_ADR = "list_distinct(flatten(list_transform(list_filter(list_transform(string_split(address, ' '), lambda x: regexp_extract(x, '([0-9]+)', 1)), lambda n: n <> '')[1:2], lambda n: list_transform(list_filter(string_split(address, ' '), lambda x: regexp_full_match(x, '[a-z]{4,}'))[1:6], lambda x: n || '|' || x))))"
+
+
+def _name_keys_sql(kind: str) -> str:
+    made, which, fresh, top = rescue.NAME_FAMILIES[kind]
+    keys = {"nm": _NM, "hc": _HC, "adr": _ADR}[made]
+    words = f"list_sort(list_distinct(list_filter(string_split(name_full, ' '), lambda x: x <> '' AND x NOT IN {rescue.NAME_STOP})))"
+    side = lambda t: f"SELECT DISTINCT eid, country, unnest({keys}) AS nk FROM (SELECT *, {words} AS w FROM {t})"
+    ask = {"all": "true", "without": "address = ''", "with": "address <> ''"}[which] + (" AND eid NOT IN (SELECT rid FROM cand)" if fresh else "")
+    return with_(_D, blocked(_D), f"nsk AS ({side('s1')})", f"nqk AS ({side(f'(SELECT * FROM q WHERE {ask})')})", "rare AS (SELECT country, nk FROM nsk GROUP BY ALL HAVING count(*) <= 3)",
+                 "pair AS (SELECT DISTINCT q.eid AS rid, s.eid AS s1 FROM nqk q JOIN rare USING (country, nk) JOIN nsk s USING (country, nk) WHERE NOT EXISTS (SELECT 1 FROM cand c WHERE c.rid = q.eid AND c.s1 = s.eid))",
+                 "near AS (SELECT p.*, jaro_winkler_similarity(q.name_full, s.name_full) AS jw FROM pair p JOIN q ON q.eid = p.rid JOIN s1 s ON s.eid = p.s1)") + f"SELECT rid, s1, round(jw, 6) AS jw, rk FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY jw DESC, s1) AS rk FROM near) WHERE rk <= {top}"
+
+
+def _name_family(kind: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = _store(spark, sf_dir).table
+        return rescue.name_key_pairs(kind, t("qt"), t("st"), t("cand"))
+
+    run.__name__ = f"name_keys_{kind}"
+    return query(_name_keys_sql(kind))(run)
+
+
+for _kind in rescue.NAME_FAMILIES:
+    _name_family(_kind)
+
+
+@query()
+def name_key_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The name-key gate's features of the pairs of the first family."""
+    t = _store(spark, sf_dir).table
+    return rescue.name_key_features(rescue.name_key_pairs("nm1", t("qt"), t("st"), t("cand")), t("qt"), t("st"))
+
+
+@query()
+def rescue_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second-chance pairs of all records: families under their caps, the unknown-word gate, the address check, and the
+    best five of a record by families, priority and rarity."""
+    t = _store(spark, sf_dir).table
+    return rescue.selected(t("qt"), t("st"), t("cand"))
+
+
+@query()
+def rescue_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The acceptance model's features of the second-chance pairs."""
+    t = _store(spark, sf_dir).table
+    return rescue.acceptance_features(rescue_select(spark, sf_dir).select("rid", "s1", "family"), t("qt"), t("st")).drop("q_text", "s_text")
+
+
+@query()
+def rescue_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second-chance pairs that the acceptance model takes."""
+    t = _store(spark, sf_dir).table
+    return rescue.accepted(rescue_select(spark, sf_dir), t("truth"), t("qt"), t("st"))
 
 
 QUERIES |= {f.__name__: f for f in (normalize_full, normalize_address_us)}

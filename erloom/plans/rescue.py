@@ -9,7 +9,6 @@ from .registry import dual, scored, with_
 
 #: Longest name, in words, whose subsets are enumerated.
 SUBSET_WORDS = 7
-CAP, WIDE_CAP = 1, 3
 
 
 def _base(d) -> list[str]:
@@ -59,38 +58,15 @@ for _kind in ("aexact", "corenum", "anum", "anumt", "aalpha", "cat", "ini"):
 def keys_typo(d):
     """Letters of a word short of one, anchored at another word of the name; words of a record must be unknown to the registry."""
     w = f"SELECT eid, country, name_words, {d.at('name_words', 'i')} AS a, i FROM (SELECT eid, country, name_words, {d.rows(d.upto(d.n('name_words')))} AS i FROM qt) x"
-    cut = f"SELECT *, {d.rows(d.upto('length(a)'))} AS j FROM w WHERE length(a) >= 4 AND a NOT IN (SELECT w FROM vocab)"
+    cut = f"SELECT *, {d.rows(d.upto('length(a)'))} AS j FROM w WHERE length(a) >= 4 AND NOT EXISTS (SELECT 1 FROM vocab v WHERE v.w = a)"
     return with_(d, *_base(d), f"vocab AS (SELECT DISTINCT w FROM (SELECT {d.rows('name_words')} AS w FROM st) v)", f"w AS ({w})", f"c AS ({cut})") + f"SELECT DISTINCT c.eid, concat(o.a, '|', {letters(d, 'concat(substr(c.a, 1, cast(c.j as int) - 1), substr(c.a, cast(c.j as int) + 1))')}) AS k FROM c JOIN w o ON o.eid = c.eid AND o.i <> c.i"
 
 
-@dual
-def name_keys(d):
-    """Sorted names, whole and short of one word, kept where few entities share them."""
-    def some(source: str) -> str:
-        drop = d.joined(d.ordered(d.each2("name_words", "x", "i", "{i} <> m")))
-        return f"SELECT eid, country, {d.joined(d.ordered('name_words'))} AS k, 'whole' AS kind FROM {source} UNION ALL SELECT eid, country, {drop}, 'short' FROM (SELECT eid, country, name_words, {d.rows(d.upto(d.n('name_words')))} AS m FROM {source} WHERE {d.n('name_words')} >= 2) z"
-    return with_(d, *_base(d), f"sk AS ({some('st')})", f"qk AS ({some('qt')})", "rare AS (SELECT country, k FROM (SELECT DISTINCT country, k, eid FROM sk) x GROUP BY country, k HAVING count(*) <= 3)") + "SELECT DISTINCT q.eid AS rid, s.eid AS s1 FROM qk q JOIN rare r ON r.country = q.country AND r.k = q.k JOIN sk s ON s.country = r.country AND s.k = r.k"
-
-
 @dual
 def oov_gate(d):
     """Records without an owner that have a word of three or more letters which the registry doesn't know."""
     anti = "LEFT ANTI" if d.name == "spark" else "ANTI"
-    return with_(d, scored(d), "free AS (SELECT * FROM qt WHERE eid NOT IN (SELECT rid FROM scored WHERE p >= 0.5))", f"vocab AS (SELECT DISTINCT w FROM (SELECT {d.rows('name_words')} AS w FROM st) v)", f"words AS (SELECT DISTINCT eid, w FROM (SELECT eid, {d.rows('name_words')} AS w FROM free) x WHERE length(w) >= 3)") + f"SELECT eid, count(*) AS unknown FROM words {anti} JOIN vocab v ON v.w = words.w GROUP BY eid"
-
-
-@dual
-def rescue_select(d):
-    """Pairs from all families under their caps for records whose name no entity has, the best five of each record by
-    families and rarity."""
-    kinds = ("aexact", "corenum", "anum", "aalpha", "cat")
-    both = lambda s: " UNION ALL ".join(f"SELECT eid, country, k, '{x}' AS fam FROM ({_keys(d, x, s)}) f{i}" for i, x in enumerate(kinds))
-    return with_(d, *_base(d), "free AS (SELECT * FROM qt WHERE NOT EXISTS (SELECT 1 FROM s1 WHERE s1.country = qt.country AND s1.name_core = qt.name_core))", f"rsk AS ({both('st')})", f"rqk AS ({both('free')})", "df AS (SELECT country, fam, k, count(DISTINCT eid) AS df FROM rsk GROUP BY country, fam, k HAVING count(DISTINCT eid) <= 3)", "hit AS (SELECT q.eid AS rid, s.eid AS s1, q.fam, min(f.df) AS df, count(*) AS n FROM rqk q JOIN df f ON f.country = q.country AND f.fam = q.fam AND f.k = q.k JOIN rsk s ON s.country = f.country AND s.fam = f.fam AND s.k = f.k GROUP BY q.eid, s.eid, q.fam)", f"ok AS (SELECT * FROM hit WHERE fam <> 'anum' OR df <= {CAP} OR df <= {WIDE_CAP} AND n >= 2)", f"agg AS (SELECT rid, s1, {d.listed('fam', 'fam')} AS families, count(*) AS nfam, min(df) AS mindf FROM ok GROUP BY rid, s1)", "top AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY nfam DESC, mindf, s1) AS r FROM agg)") + "SELECT rid, s1, families, nfam, mindf, cast(r as bigint) AS r FROM top WHERE r <= 5"
-
-
-@dual
-def rescue_features(d):
-    return with_(d, scored(d)) + f"SELECT c.rid, c.s1, {d.n(d.common('q.name_words', 's.name_words'))} AS common_words, CASE WHEN q.address = '' THEN -1 ELSE {d.n(d.common('q.address_words', 's.address_words'))} END AS address_words, CASE WHEN {letters(d, 'q.name_core')} = {letters(d, 's.name_core')} THEN 1 ELSE 0 END AS same_letters FROM cand c JOIN qt q ON q.eid = c.rid JOIN st s ON s.eid = c.s1"
+    return with_(d, scored(d), "free AS (SELECT * FROM qt WHERE NOT EXISTS (SELECT 1 FROM scored c WHERE c.rid = qt.eid AND c.p >= 0.5))", f"vocab AS (SELECT DISTINCT w FROM (SELECT {d.rows('name_words')} AS w FROM st) v)", f"words AS (SELECT DISTINCT eid, w FROM (SELECT eid, {d.rows('name_words')} AS w FROM free) x WHERE length(w) >= 3)") + f"SELECT eid, count(*) AS unknown FROM words {anti} JOIN vocab v ON v.w = words.w GROUP BY eid"
 
 
 @dual
