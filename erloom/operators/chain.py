@@ -105,7 +105,7 @@ def decided(scores: DataFrame, cand: DataFrame, qt: DataFrame, st: DataFrame, de
 
 def stage1(pairs: DataFrame, **how) -> DataFrame:
     """pairs with p, the first model's out-of-fold probability; folds by record."""
-    return models.out_of_fold(pairs, models.STAGE1, F.col("rid") % 2, "p", **how)
+    return models.out_of_fold(pairs, models.STAGE1, models.halves("rid"), "p", **how)
 
 
 def stage2(pairs: DataFrame, qt: DataFrame, st: DataFrame, decoys: DataFrame, replacements: DataFrame, **how) -> DataFrame:
@@ -114,7 +114,7 @@ def stage2(pairs: DataFrame, qt: DataFrame, st: DataFrame, decoys: DataFrame, re
     context = features.context_features(pairs.select("rid", "s1", "p", "combined"))
     odd = features.odd_features(pairs.select("rid", "s1", "p"), qt, st, decoys, replacements)
     both = staged(pairs.join(context, ["rid", "s1"]).join(odd, ["rid", "s1"], "left"), "stage2")
-    return models.out_of_fold(both, models.STAGE2, F.col("rid") % 2, "p2", **how)
+    return models.out_of_fold(both, models.STAGE2, models.halves("rid"), "p2", **how)
 
 
 def band(scored: DataFrame) -> DataFrame:
@@ -129,10 +129,10 @@ def stacked(scored: DataFrame, qt: DataFrame, st: DataFrame, **how) -> DataFrame
     text = lambda df, k, key: df.select(F.col("eid").alias(key), F.concat("name_full", F.lit(" | "), F.coalesce("address", F.lit(""))).alias(f"{k}_text"))
     rows = band(scored).join(text(qt, "q", "rid"), "rid").join(text(st, "s", "s1"), "s1")
     rows = staged(rows.select("rid", "s1", "label", "q_text", "s_text", "address_missing", "source", "rk", models.logit("p").alias("logit_p1"), models.logit("p2").alias("logit_p2")), "band")
-    seen = rows.groupBy((F.col("s1") % 2).alias("half")).agg(F.countDistinct("label").alias("n")).collect()  # two rows
+    seen = rows.groupBy(models.halves("s1").alias("half")).agg(F.countDistinct("label").alias("n")).collect()  # two rows
     if len(seen) < 2 or min(r.n for r in seen) < 2:
         return rows.select("rid", "s1", F.lit(None).cast("double").alias("ps")).where("false")
-    ce = staged(models.out_of_fold(rows, ["q_text", "s_text"], F.col("s1") % 2, "ce", fit=models.fit_text, apply=models.score_text), "text")
+    ce = staged(models.out_of_fold(rows, ["q_text", "s_text"], models.halves("s1"), "ce", fit=models.fit_text, apply=models.score_text), "text")
     return models.stack(ce, ["logit_p2", "ce", "logit_p1", "address_missing", "source", "rk"], **how).select("rid", "s1", "ps")
 
 

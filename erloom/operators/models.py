@@ -42,6 +42,11 @@ def _held(*keys: str) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(VALID)) == 0
 
 
+def halves(key: str) -> Column:
+    """0 or 1 by a hash of the key: folds of records or entities, told apart by nothing else."""
+    return F.pmod(F.xxhash64(key, F.lit(3)), F.lit(2))
+
+
 def fit_trees(df: DataFrame, names: list[str], label: str = "label", rounds: int = ROUNDS, depth: int = DEPTH, weight: str | None = None, keys: tuple[str, ...] = ("rid", "s1")) -> PipelineModel:
     """Boosted trees with early stopping; `weight` names a column of row weights."""
     trees = GBTClassifier(labelCol=label, featuresCol="_x", maxIter=rounds, maxDepth=depth, seed=1, validationIndicatorCol="_valid", validationTol=GAIN)
@@ -71,8 +76,8 @@ def score(model: PipelineModel, df: DataFrame, names: list[str], name: str = "p"
 
 def out_of_fold(df: DataFrame, names: list[str], fold: Column, name: str, fit=fit_trees, apply=score, **how) -> DataFrame:
     """Each half scored by the model of the other half; `fold` is 0 or 1."""
-    halves = [df.where(fold == k) for k in (0, 1)]
-    parts = [apply(fit(halves[1 - k], names, **how), halves[k], names, name) for k in (0, 1)]
+    both = [df.where(fold == k) for k in (0, 1)]
+    parts = [apply(fit(both[1 - k], names, **how), both[k], names, name) for k in (0, 1)]
     return parts[0].unionByName(parts[1])
 
 
@@ -109,7 +114,7 @@ def score_text(model: PipelineModel, df: DataFrame, names: list[str], name: str
 
 def stack(df: DataFrame, names: list[str], name: str = "ps", label: str = "label", fold: Column | None = None, rounds: int = 20, depth: int = 3) -> DataFrame:
     """df with out-of-fold scores of trees over `names`, folds by entity: no row is scored by a model that saw its entity."""
-    fold = F.col("s1") % 2 if fold is None else fold
+    fold = halves("s1") if fold is None else fold
     return out_of_fold(df, names, fold, name, label=label, rounds=rounds, depth=depth)
 
 
@@ -152,9 +157,9 @@ def ranking(scored: DataFrame, label: str = "label", p: str = "p") -> DataFrame:
     up = W.orderBy("r").rowsBetween(W.unboundedPreceding, -1)  # one row for each range
     starts = totals.select("r", F.coalesce(F.sum("rn").over(up), F.lit(0)).alias("below"), F.coalesce(F.sum("rp").over(up), F.lit(0)).alias("pos_below"))
     inside = W.partitionBy("r").orderBy(p).rowsBetween(W.unboundedPreceding, W.currentRow)
-    all_ = totals.agg(F.sum("rp").alias("P"), F.sum("rn").alias("N"))
+    all_ = totals.agg(F.sum("rp").alias("pos_all"), F.sum("rn").alias("n_all"))
     d = each.withColumns({"n_to": F.sum("n").over(inside), "p_to": F.sum("pos").over(inside)}).join(starts, "r").crossJoin(F.broadcast(all_))
-    d = d.withColumns({"rank": F.col("below") + F.col("n_to") - F.col("n") + (F.col("n") + 1) / 2.0, "tp": F.col("P") - F.col("pos_below") - F.col("p_to") + F.col("pos"), "taken": F.col("N") - F.col("below") - F.col("n_to") + F.col("n")})
-    auc = (F.sum(F.col("pos") * F.col("rank")) - F.max("P") * (F.max("P") + 1) / 2.0) / (F.max("P") * (F.max("N") - F.max("P")))
-    ap = F.sum(F.col("pos") * F.col("tp") / F.col("taken")) / F.max("P")
-    return d.agg(F.round(auc, 6).alias("auc"), F.round(ap, 6).alias("average_precision"), F.max("P").cast("long").alias("positives"))
+    d = d.withColumns({"rank": F.col("below") + F.col("n_to") - F.col("n") + (F.col("n") + 1) / 2.0, "tp": F.col("pos_all") - F.col("pos_below") - F.col("p_to") + F.col("pos"), "taken": F.col("n_all") - F.col("below") - F.col("n_to") + F.col("n")})
+    auc = (F.sum(F.col("pos") * F.col("rank")) - F.max("pos_all") * (F.max("pos_all") + 1) / 2.0) / (F.max("pos_all") * (F.max("n_all") - F.max("pos_all")))
+    ap = F.sum(F.col("pos") * F.col("tp") / F.col("taken")) / F.max("pos_all")
+    return d.agg(F.round(auc, 6).alias("auc"), F.round(ap, 6).alias("average_precision"), F.max("pos_all").cast("long").alias("positives"))

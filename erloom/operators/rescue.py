@@ -142,7 +142,7 @@ def accepted(pairs: DataFrame, truth: DataFrame, qt: DataFrame, st: DataFrame, t
     FEATURES with a text score, is out of fold by entity; without both classes in both folds nothing is accepted."""
     label = truth.select("rid", "s1", F.lit(1).alias("label"))
     rows = staged(acceptance_features(pairs.select("rid", "s1", "family"), qt, st).join(label, ["rid", "s1"], "left").fillna(0, ["label"]), "acceptance")
-    fold = F.col("s1") % 2
+    fold = models.halves("s1")
     seen = rows.groupBy(fold.alias("half")).agg(F.countDistinct("label").alias("n")).collect()  # two rows
     if len(seen) < 2 or min(r.n for r in seen) < 2:
         return rows.select("rid", "s1").where("false")
