@@ -111,7 +111,7 @@ def _tokens(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
-            for rows, texts in chunks(batch, limit=4_000_000):
+            for rows, texts in chunks(batch, limit=8_000_000):
                 starts, ids = coder.encode(texts)
                 full = np.full(len(ids) + len(texts), END_ID, dtype=ids.dtype)
                 full[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), np.diff(starts))] = ids

@@ -132,7 +132,7 @@ def _pieces(path: str, length: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
-            for rows, texts in chunks(batch, limit=4_000_000):
+            for rows, texts in chunks(batch, limit=8_000_000):
                 starts, ids = coder.encode(texts)
                 sums, n = [], np.diff(starts) + 1
                 for a, b in zip(starts[:-1], starts[1:], strict=True):
