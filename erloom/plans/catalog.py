@@ -287,10 +287,3 @@ def pair_text(d):
 @dual
 def logit_clip(d):
     return with_(d, scored(d)) + "SELECT rid, s1, round(ln(least(greatest(p, 0.000001), 0.999999) / (1 - least(greatest(p, 0.000001), 0.999999))), 6) AS z FROM scored"
-
-
-@dual
-def weighted_rerank(d):
-    """0.7 of the name's and 0.3 of the address's overlap, the best 50 of each entity, repeats by their best score."""
-    j = lambda a, b: f"({d.n(d.common(a, b))} / cast(greatest({d.n(d.united(a, b))}, 1) as double))"
-    return with_(d, blocked(d)) + f"SELECT rid, s1, sim, cast(r as bigint) AS r FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY sim DESC, rid) AS r FROM (SELECT rid, s1, max(round(0.7 * {j('q.name_words', 's.name_words')} + 0.3 * {j('q.address_words', 's.address_words')}, 6)) AS sim FROM cand c JOIN qt q ON q.eid = c.rid JOIN st s ON s.eid = c.s1 GROUP BY rid, s1) a) b WHERE r <= 50"

@@ -99,18 +99,6 @@ def candidate_union(d):
     return with_(d, scored(d)) + "SELECT rid, s1 FROM cand UNION SELECT rid, s1 FROM truth"
 
 
-@dual
-def uncertain_band(d):
-    """Training pairs for a text model: the uncertain band and a small share of the rest."""
-    return with_(d, scored(d)) + f"SELECT rid, s1, p, rk = 1 AS first FROM scored WHERE p BETWEEN 0.003 AND 0.997 AND rk <= 2 OR {d.md5n('concat(cast(rid as varchar(12)), chr(45), cast(s1 as varchar(12)))')} % 1000 < 15"
-
-
-@dual
-def negative_sampling(d):
-    """All true pairs of rank 2000 or better and up to 100 others from the best 300 of each entity."""
-    return with_(d, scored(d), "r AS (SELECT c.rid, c.s1, CASE WHEN t.s1 = c.s1 THEN 1 ELSE 0 END AS label, row_number() OVER (PARTITION BY c.s1 ORDER BY c.score DESC, c.rid) AS rank_ FROM cand c LEFT JOIN truth t ON t.rid = c.rid AND t.s1 = c.s1)", "n AS (SELECT *, row_number() OVER (PARTITION BY s1, label ORDER BY rank_) AS i FROM r)") + "SELECT rid, s1, label, CASE WHEN s1 % 5 = 0 THEN 'valid' ELSE 'train' END AS part FROM n WHERE label = 1 AND rank_ <= 2000 OR label = 0 AND rank_ <= 300 AND i <= 100"
-
-
 @dual
 def partial_filter(d):
     """Keep what both runs agree on, drop new pairs that are clearly apart, bring back old pairs that are clearly one."""

@@ -59,7 +59,7 @@ def scored(d: Spark) -> str:
 
 
 def _load() -> None:
-    from . import catalog, decisions, fuzzy, linkage, rescue  # noqa: F401
+    from . import baseline, catalog, decisions, fuzzy, linkage, rescue  # noqa: F401
 
 
 _load()
