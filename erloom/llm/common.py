@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 import numpy as np
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from erloom.sources.store import remove, scratch_dir
+
 #: Texts handled at once inside a Python worker, in UTF-8 bytes; a longer text is handled alone. Spark itself bounds an
 #: Arrow batch by spark.sql.execution.arrow.maxBytesPerBatch.
 CHUNK_BYTES = 3_000_000
@@ -21,22 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_fallback: list[str] = []
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a temporary one serves a session
-    whose executors are threads of one machine; on a cluster it must be set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        if not _fallback:
-            _fallback.append(tempfile.mkdtemp(prefix="erloom-"))
-        found = _fallback[0]
-    return found.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder, removed when the process ends."""
     path = f"{scratch_dir(spark)}/erloom-{what}-{uuid.uuid4().hex}"
@@ -44,14 +29,6 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return path
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the JVM is gone already; the folder is scratch space
-        pass
-
-
 def staged(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage ends there,
     and a lost executor costs only its own tasks."""
