@@ -144,6 +144,48 @@ def substituted(scored: DataFrame, stack: DataFrame, guarded: Column | None = No
     return d.select("rid", "s1", (p if guarded is None else F.when(guarded, F.least("p2", p)).otherwise(p)).alias("p"))
 
 
+#: Features of pairs that blocking from the registry's side brings up, and of their second model.
+REVERSE1 = ["score", "nkeys", "rk", "name_jaccard", "address_jaccard", "num_common", "nums_subset", "first_num_equal", "first_num_diff", "legal_clash", *[n for n, _, _ in features.FUZZY]]
+REVERSE2 = [*REVERSE1, "p", "ce", "competitor"]
+REVERSE_SHARE, REVERSE_RIVAL, REVERSE_P = 0.01, 0.2, 0.6
+
+
+def reverse_pairs(found: DataFrame, cand: DataFrame, scores: DataFrame, qt: DataFrame, st: DataFrame) -> DataFrame:
+    """Pairs of reverse blocking (rid, s1, score, nkeys, rk) outside the candidates, with features and the highest
+    probability that the record has with any other entity."""
+    fresh = found.join(cand.select("rid", "s1"), ["rid", "s1"], "left_anti")
+    made = features.overlap_columns() | features.number_columns() | features.legal_columns()
+    d = features.with_texts(fresh, qt, st)
+    text = {f"{k}_text": F.concat(F.col(f"{k}_name_full"), F.lit(" | "), F.col(f"{k}_address")) for k in "qs"}
+    d = d.withColumns(made | text).select(*fresh.columns, *[c for c in REVERSE1 if c in made], *text).join(features.fuzzy_features(fresh, qt, st), ["rid", "s1"])
+    rival = scores.groupBy("rid").agg(F.max("p").alias("competitor"))
+    return d.join(rival, "rid", "left").fillna(0.0, ["competitor"])
+
+
+def reverse_accepted(pairs: DataFrame, truth: DataFrame, share: float = REVERSE_SHARE) -> DataFrame:
+    """(rid, s1): of reverse pairs the one of each record that two models take, both out of fold by entity: the best share by
+    the first goes to a text score and the second; a record with a likely entity of its own takes none. Without both
+    classes in both folds nothing is accepted."""
+    label = truth.select("rid", "s1", F.lit(1).alias("label"))
+    rows = staged(pairs.join(label, ["rid", "s1"], "left").fillna(0, ["label"]), "reverse")
+
+    def both_classes(df: DataFrame) -> bool:
+        seen = df.groupBy(models.halves("s1").alias("half")).agg(F.countDistinct("label").alias("n")).collect()  # two rows
+        return len(seen) == 2 and min(r.n for r in seen) == 2
+
+    if not both_classes(rows):
+        return rows.select("rid", "s1").where("false")
+    one = staged(models.out_of_fold(rows, REVERSE1, models.halves("s1"), "p", rounds=20, depth=4), "reverse1")
+    cut = one.agg(F.percentile_approx("p", F.lit(1 - share))).first()[0]
+    top = one.where(F.col("p") >= cut)
+    if not both_classes(top):
+        return rows.select("rid", "s1").where("false")
+    ce = staged(models.out_of_fold(top, ["q_text", "s_text"], models.halves("s1"), "ce", fit=models.fit_text, apply=models.score_text), "reverse_text")
+    two = models.out_of_fold(ce, REVERSE2, models.halves("s1"), "p2", rounds=20, depth=3)
+    at = F.row_number().over(W.partitionBy("rid").orderBy(F.desc("p2"), "s1"))
+    return two.where((F.col("competitor") < REVERSE_RIVAL) & (F.col("p2") >= REVERSE_P)).withColumn("at", at).where("at = 1").select("rid", "s1")
+
+
 def metric(assigned: DataFrame, truth: DataFrame, entities: DataFrame, decoy_weight: float = 1.0) -> DataFrame:
     """One row (entities, f05, f05_weighted): macro F0.5 over all entities, plain and with false positives of records that
     nobody owns at their weight."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from erloom.functions import similarity, text
-from erloom.operators import chain, decide, features, rescue
+from erloom.operators import blocking, chain, decide, features, rescue
 
 from .dialect import Duck
 from .registry import ORACLES, QUERIES, blocked, opened, query, scored, with_
@@ -262,6 +262,15 @@ def link_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain.decided(t("final"), t("cand"), t("qt"), t("st"), t("decoys"), rescued)
 
 
+@query()
+def reverse_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two models take of the pairs that blocking from the registry's side alone brings up. The fixture has few such
+    pairs, so half of them go to the second model."""
+    t = _store(spark, sf_dir).table
+    found = blocking.block(t("qt"), t("st"), per="s1", other="rid", top=20)
+    return chain.reverse_accepted(chain.reverse_pairs(found, t("cand"), t("final"), t("qt"), t("st")), t("truth"), share=0.5)
+
+
 _NM = f"(CASE WHEN len(w) BETWEEN 2 AND 8 THEN list_concat([array_to_string(w, ' ')], list_transform(w, lambda x: array_to_string(list_filter(w, lambda y: y <> x), ' '))) WHEN len(w) = 1 THEN w ELSE [] END)"
 _HC = f"list_concat({_NM}, CASE WHEN len(w) BETWEEN 2 AND 8 THEN list_transform(list_filter(w, lambda x: length(x) >= 3), lambda x: array_to_string(list_filter(w, lambda y: y <> x), ' ') || '|' || x[1]) ELSE [] END)"
 _ADR = "list_distinct(flatten(list_transform(list_filter(list_transform(string_split(address, ' '), lambda x: regexp_extract(x, '([0-9]+)', 1)), lambda n: n <> '')[1:2], lambda n: list_transform(list_filter(string_split(address, ' '), lambda x: regexp_full_match(x, '[a-z]{4,}'))[1:6], lambda x: n || '|' || x))))"
