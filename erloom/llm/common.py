@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 
 import numpy as np
@@ -75,6 +76,15 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     return star.unionAll(e.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
 
 
+def _give_back() -> None:
+    """Return memory that a batch has left free to the system: a worker lives on between stages, beside the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES):
     """Slices of a batch with about `limit` bytes of text each; null texts count as empty."""
     col = pc.fill_null(batch.column(text).cast(pa.large_string()), "")
@@ -84,6 +94,7 @@ def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES):
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, side="right")) - 1)
         yield batch.slice(at, to - at), col.slice(at, to - at)
         at = to
+    _give_back()
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
