@@ -2,15 +2,12 @@
 
 from collections import Counter
 
-from erloom.plans.dialect import Spark
-from erloom.plans.registry import QUERIES, with_
-from erloom.sources.fixtures import registry, texts
+from erloom.plans.registry import QUERIES, opened
 
 
 def test_blocks(spark, sf):
-    d = Spark(sf)
-    both = [spark.sql(with_(d, registry(d), texts(d, "t", x)) + f"SELECT t.eid, t.country, {x}.name_core AS name, t.name_words, t.address_words FROM t JOIN {x} ON t.eid = {x}.eid").collect() for x in ("q", "s1")]
-    q, s1 = both
+    store = opened(spark, sf).store
+    q, s1 = (store.table(x).selectExpr("eid", "country", "name_core AS name", "name_words", "address_words").collect() for x in ("qt", "st"))
     near = [(a, b) for a in q for b in s1 if a.country == b.country]
     want = {(a.eid, b.eid) for a, b in near if len(b.name) >= 4 and a.name[:4] == b.name[:4]}
     assert {(r.rid, r.s1) for r in QUERIES["prefix_block"](spark, sf).collect()} == want
