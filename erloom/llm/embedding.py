@@ -36,7 +36,7 @@ SEED = 20_011
 #: or more to another one.
 SAMPLE, LEAST, NEAR = 2048, 8, 0.6
 #: Vectors on a side of a tile: a sixteenth of the component, inside these bounds.
-TILES, LEAST_TILE, MOST_TILE = 16, 128, 4096
+TILES, LEAST_TILE, MOST_TILE = 16, 64, 4096
 
 
 def planned_passes(n: int, window: int = WINDOW, cosine: float = COSINE) -> int:

@@ -27,7 +27,7 @@ BANDS, ROWS = 30, 5
 #: Members of a bucket whose pairs are listed; those of a larger bucket are compared in tiles.
 SMALL_BUCKET = 8
 #: Members on a side of a tile, and different shingles that a tile multiplies at once.
-TILE, TILE_SHINGLES = 256, 8192
+TILE, TILE_SHINGLES = 128, 8192
 #: Rank cells below 1 are [0, FIRST), [FIRST, 2 FIRST), ... ; above 1 they have length 1.
 FIRST = 2.0**-3
 _ONE = 1 << 48  # fixed point of ranks
