@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import chunks, scratch_path, staged, table
+from .common import chunks, scratch_path, small_batches, staged, table
 from .tokens import default_tokenizer, encoder
 
 END_ID = 0
@@ -172,7 +172,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> np.ndarray:
     coder = encoder(tokenizer)
     kind = coder.ids.dtype
     # a document is encoded once; its ids, shorter than its text, are what is counted and put in order
-    tokens = staged(docs.select("doc_id", "text").mapInArrow(_tokens(tokenizer), "doc_id long, ids binary"), "tokens")
+    tokens = staged(small_batches(docs).select("doc_id", "text").mapInArrow(_tokens(tokenizer), "doc_id long, ids binary"), "tokens")
     counted = tokens.select("ids").mapInArrow(_count(coder.size, kind), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row for each id
     counts = np.zeros(coder.size, dtype=np.int64)
     for i, n in counted:

@@ -23,6 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch that may hold whole texts, on both sides of a worker's pipe at once.
+BATCH_ROWS = 2000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df itself. A plan takes the size of its Arrow batches from its session when it runs, which may be long after it is
+    made, so the session keeps the smaller size; one that the user has set stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder, removed when the process ends."""
     path = f"{scratch_dir(spark)}/erloom-{what}-{uuid.uuid4().hex}"

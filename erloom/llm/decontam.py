@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import chunks, split_words, table
+from .common import chunks, small_batches, split_words, table
 from .minhash import word_hashes
 
 #: A tile has so many words at least; seeds are as long, so that no tile is missed.
@@ -201,7 +201,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
     """The rows of docs, all columns, that hold no test item. Null and empty texts hold none and stay; repeated rows are
     judged alike; an empty table or benchmark removes nothing. All blocks of items run in one pass over the documents."""
     for held in _blocks(benchmark):
-        docs = docs.mapInArrow(_clean(held, threshold), docs.schema)
+        docs = small_batches(docs).mapInArrow(_clean(held, threshold), docs.schema)
     return docs
 
 
@@ -214,7 +214,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = COVER
     have its words and no others. Null and empty items and null or empty documents match nothing; items of the same text
     are items of their own; repeated rows are searched once each; of matches as long as each other the earlier in the
     item goes first; other columns are ignored. An empty table or benchmark gives no rows."""
-    passes = [docs.select("doc_id", "text").mapInArrow(_search(b, threshold), "doc_id long, item_id long, coverage double, n_tiles long, longest long") for b in _blocks(benchmark)]
+    passes = [small_batches(docs).select("doc_id", "text").mapInArrow(_search(b, threshold), "doc_id long, item_id long, coverage double, n_tiles long, longest long") for b in _blocks(benchmark)]
     out = passes[0]
     for p in passes[1:]:
         out = out.unionAll(p)

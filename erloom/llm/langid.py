@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, chunks, split_words, table
+from .common import GOLDEN, chunks, small_batches, split_words, table
 from .sample import bounded, held_out
 
 UNKNOWN = "und"
@@ -288,7 +288,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     is `und` with score 0, as is every text if there was nothing to learn from. Repeated rows are scored once each, a
     text of any length is one sequence, and an empty table gives no rows."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select("doc_id", "text").mapInArrow(_predict(held), _SCHEMA)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(_predict(held), _SCHEMA)
 
 
 def _keep(held, sure: float):
@@ -308,7 +308,7 @@ def _keep(held, sure: float):
 def keep_identified(docs: DataFrame, model: Model | None, sure: float = SURE) -> DataFrame:
     """The rows of docs, all columns, whose language is identified; all of them if there was nothing to learn from.
     Null and empty texts and those without a letter go; repeated rows are judged once each, alike."""
-    return docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(model), sure), docs.schema)
+    return small_batches(docs).mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(model), sure), docs.schema)
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

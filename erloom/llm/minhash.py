@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import _M1, _M2, GOLDEN, chunks, components, mix, split_words, staged, table
+from .common import GOLDEN, _M1, _M2, chunks, components, mix, small_batches, split_words, staged, table
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -285,7 +285,7 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): the id, digest and node of every row of docs (no node for a null or empty text), and the
     component of every node that has a link. A node is a 64-bit hash of the text's digest."""
     node = F.xxhash64("digest").alias("node")
-    rows = staged(docs.select("doc_id", "text").mapInArrow(_sign, "doc_id long, digest string, bands array<long>"), "signatures")
+    rows = staged(small_batches(docs).select("doc_id", "text").mapInArrow(_sign, "doc_id long, digest string, bands array<long>"), "signatures")
     reps = staged(rows.where("digest is not null").groupBy("digest").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("doc_id")).select(node, "bands", "doc_id"), "representatives")
     member = reps.select(F.col("node").alias("x"), F.explode("bands").alias("band"))
     # leaders are the first in one order for all bands, so that few different documents lead

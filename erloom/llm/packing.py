@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import chunks, staged, table
+from .common import chunks, small_batches, staged, table
 from .tokens import default_tokenizer, encoder
 
 LENGTH = 2048
@@ -160,7 +160,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END_I
     and rows that share an id are packed once each; of lengths that tie the order is that of a hash of id and text. An empty table gives no rows;
     other columns are ignored. The plan that reaches the executors has at most a few rows for each size class."""
     spark = docs.sparkSession
-    kept = docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, length, end), "doc_id long, n long, sums array<long>, full long, rest long, class int")
+    kept = small_batches(docs).select("doc_id", "text").mapInArrow(_pieces(tokenizer, length, end), "doc_id long, n long, sums array<long>, full long, rest long, class int")
     kept = staged(kept, "lengths")
     parts = max(64, -(-kept.count() // RANK_ROWS))
     # dealt by id and text, so that rows of one id lie in all parts

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, split_words, table
+from .common import chunks, small_batches, split_words, table
 from .sample import held_out, sampled
 
 #: Rows that are learned from, about: trusted positives and unlabelled documents.
@@ -210,7 +210,7 @@ def score(docs: DataFrame, model: Scorer | None) -> DataFrame:
     """(doc_id, score) of every row of docs (doc_id, text; other columns are ignored). A null text counts as empty;
     empty texts are scored by their statistics, all zero; with nothing to learn from every score is 0.5. Equal texts
     have equal scores, repeated rows are scored once each, and an empty table gives no rows."""
-    return docs.select("doc_id", "text").mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, score double")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, score double")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
