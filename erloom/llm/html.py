@@ -181,6 +181,13 @@ class _Lines(HTMLParser):
             if own in _SCOPE and tag not in ("table", "body", "html", "article", "main"):
                 return
 
+    def parse_marked_section(self, i, report=1):
+        """The end of what starts with <![ at i: CDATA ends at ]]>; everything else, and CDATA without that end, at the
+        next >, as in browsers. The library refuses unknown and unnamed sections, and ends some far below."""
+        cdata = self.rawdata[i + 3 : i + 9].lower() == "cdata["
+        end = self.rawdata.find("]]>", i) if cdata else -1
+        return end + 3 if end >= 0 else self.parse_bogus_comment(i, report)
+
     def handle_data(self, data):
         if self.stack and self.stack[-1][0] == "head" and data.strip():
             self._pop()
@@ -192,11 +199,8 @@ class _Lines(HTMLParser):
 
 def _read(page: str, unclosed: frozenset[int] = frozenset(), keep: bool = False) -> _Lines:
     parser = _Lines(unclosed, keep)
-    try:
-        parser.feed(page)
-        parser.close()
-    except AssertionError:  # the parser's way to refuse a broken declaration
-        pass
+    parser.feed(page)
+    parser.close()
     while parser.stack:
         parser._pop()
     parser.end_line()

@@ -35,6 +35,25 @@ def test_pages(page, text):
     assert html.main_text(page) == "\n\n".join(text)
 
 
+@pytest.mark.parametrize("broken", ["<![foo[x]]>", "<![ x ]>", "<![>", "<![]]>", "<![endif]-->", "<![if x>", "<![CDATA[ x>", "<![endif", "<!ELEMENT x [>", "<!>"])
+def test_text_after_a_broken_declaration_stays(broken):
+    end = "" if broken.endswith(">") else "<p>"  # one that is never closed ends with the next tag
+    assert html.main_text(f"<article><p>Before</p>{broken}{end}<p>After</p><p>x[1] ]&gt; y ]></p></article>") == "Before\n\nAfter\n\nx[1] ]> y ]>"
+
+
+def test_a_declaration_without_any_end_loses_no_text():
+    assert html.main_text("<p>Before <![b and more") == "Before <![b and more"
+
+
+def test_a_failing_parser_gives_no_result(monkeypatch):
+    def fail(self, tag):
+        raise AssertionError("broken")
+
+    monkeypatch.setattr(html._Lines, "handle_endtag", fail)
+    with pytest.raises(AssertionError):
+        html.main_text("<p>Before</p><p>After</p>")
+
+
 def test_no_region_is_lost_beside_an_advert():
     second = "A second section of eighty characters or so, after an advert, on a plain page."
     page = f"<nav>menu</nav><div>{BODY}<div class=ad>Buy</div><p>{second}</p><aside>s</aside><p>End.</p></div><footer>x</footer>"
