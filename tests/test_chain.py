@@ -1,6 +1,7 @@
 """Features, learners and decisions of the chain against plain Python on the fixture."""
 
 import re
+import shutil
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -248,3 +249,19 @@ def test_synthetic_pairs(spark, t):
         if r.change in synthetic.DECOYS:
             assert r.label == 0 and (r.name, r.address) != (x.name_full, x.address)
     assert {tuple(r) for r in rows} == {tuple(r) for r in synthetic.generated(e.repartition(7)).collect()}
+
+
+def test_reverse_additions_fit_no_model_that_they_do_not_need(spark, sf, tmp_path):
+    shutil.copy(f"{sf}/part.parquet", tmp_path)
+    found = QUERIES["reverse_accept"](spark, str(tmp_path)).collect()
+    assert found == [] and not {"stage1", "stage2", "final"} & set(opened(spark, str(tmp_path)).store.frames)
+
+
+def test_reverse_additions_are_those_with_all_scores_made_first(t):
+    found = t("cand")
+    cand = found.where("rid % 3 = 0")
+    scores = found.select("rid", "s1", (F.col("rid") % 10 / 20.0).alias("p"))
+    plain = chain.reverse_accepted(chain.reverse_pairs(found, cand, scores, t("qt"), t("st")), t("truth"), 1.0)
+    made = chain.reverse_additions(found, cand, lambda: scores, t("qt"), t("st"), t("truth"), 1.0)
+    want = sorted(map(tuple, plain.collect()))
+    assert want and sorted(map(tuple, made.collect())) == want
