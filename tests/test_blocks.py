@@ -2,7 +2,9 @@
 
 from collections import Counter
 
-from erloom.plans.registry import QUERIES, opened
+import duckdb
+
+from erloom.plans.registry import ORACLES, QUERIES, opened
 
 
 def test_blocks(spark, sf):
@@ -20,3 +22,21 @@ def test_blocks(spark, sf):
         n = Counter(w for a in q for w in set(a[col]) if len(w) >= 4)
         want |= {(a.eid, b.eid) for a, b in near if any(n[w] <= 500 for w in set(a[col]) & set(b[col]) if len(w) >= 4)}
     assert {(r.rid, r.s1) for r in QUERIES["rare_token_block"](spark, sf).collect()} == want
+
+
+def test_fallback_looks_no_pair_up_and_takes_keys_that_repeat(spark, tmp_path):
+    names = ["blue box", "red pen", "red cup", "a b", "old jar"]
+    rows = [(k % 40, names[k % 5], f"Brand#{k % 3}", None if k % 17 == 0 else f"type {k % 2 + k // 40}", k % 7, 1.0) for k in range(100)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    found = QUERIES["prefix_block_fallback"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    want = con.execute(ORACLES["prefix_block_fallback"]).fetchall()
+    assert {w[2] for w in want} == {"prefix", "country"} and sorted(map(tuple, found.collect())) == sorted(want)
+    todo, anti = [found._jdf.queryExecution().optimizedPlan()], []
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Join" and node.joinType().toString() == "LeftAnti":
+            anti.append(node.right().toString())
+    assert anti and not any("Join Inner" in right for right in anti)
