@@ -63,3 +63,17 @@ def test_whole_blocks_are_the_join(spark):
     key = lambda d: sorted(map(repr, map(tuple, d.collect())))
     assert key(blocking.whole_blocks(left, right, ["c"])) == key(left.join(right, "c").select("rid", "s1"))
     assert not blocking.whole_blocks(left.limit(0), right, ["c"]).collect()
+
+
+def test_prefix_block_fallback_takes_little_space_for_its_rows(spark, tmp_path):
+    names = spark.range(4000).selectExpr("id AS p_partkey", "CASE WHEN id % 50 = 0 THEN 'red pen' WHEN id % 70 = 0 THEN 'a b' WHEN id % 3 = 0 THEN 'old jar' ELSE 'blue box' END AS p_name", "'Brand#1' AS p_brand", "CASE WHEN id % 90 > 0 THEN concat('type ', id % 16 div 15) END AS p_type", "cast(id % 7 as int) AS p_size", "1.0D AS p_retailprice")
+    names.unionAll(names.where("p_partkey < 40")).write.parquet(f"{tmp_path}/part.parquet")
+    QUERIES["prefix_block_fallback"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    con.execute(f"CREATE TABLE found AS SELECT rid, s1, how FROM read_parquet('{tmp_path}/out/*.parquet')")
+    con.execute(f"CREATE TABLE want AS {ORACLES['prefix_block_fallback']}")
+    rows = dict(con.execute("SELECT how, count(*) FROM want GROUP BY how").fetchall())
+    assert min(rows["prefix"], rows["country"]) > 1_000_000 and dict(con.execute("SELECT how, count(*) FROM found GROUP BY how").fetchall()) == rows
+    assert not con.execute("(FROM found EXCEPT ALL FROM want) UNION ALL (FROM want EXCEPT ALL FROM found) LIMIT 5").fetchall()
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.25 * sum(rows.values())
