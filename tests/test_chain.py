@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from erloom.functions import similarity as sim
-from erloom.operators import baseline, chain, decide, features, locale, models, rescue, synthetic
+from erloom.operators import baseline, blocking, chain, decide, features, locale, models, rescue, synthetic
 from erloom.plans.registry import QUERIES, opened
 
 SHIFTS = {3, 4, 5, 7, 9, 11, 13, 21}
@@ -265,3 +265,15 @@ def test_reverse_additions_are_those_with_all_scores_made_first(t):
     made = chain.reverse_additions(found, cand, lambda: scores, t("qt"), t("st"), t("truth"), 1.0)
     want = sorted(map(tuple, plain.collect()))
     assert want and sorted(map(tuple, made.collect())) == want
+
+
+def test_reverse_additions_make_keys_once_for_both_sides(spark, sf, tmp_path, monkeypatch):
+    shutil.copy(f"{sf}/part.parquet", tmp_path)
+    asked, keys = [], blocking.keys
+    monkeypatch.setattr(blocking, "keys", lambda texts: asked.append(texts) or keys(texts))
+    QUERIES["reverse_accept"](spark, str(tmp_path)).collect()
+    assert len(asked) == 2
+    store = opened(spark, str(tmp_path)).store
+    for how in ({}, {"per": "s1", "other": "rid", "top": 20}):
+        anew = sorted(map(tuple, blocking.block(store.table("qt"), store.table("st"), **how).collect()))
+        assert anew and sorted(map(tuple, blocking.ranked(*store.keyed(), **how).collect())) == anew
